@@ -39,14 +39,14 @@ WITH sized AS (
 ), sums AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), turned AS (
-  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS at FROM sums
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM sums
 ), weighted AS (
-  SELECT *, CASE (at - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM turned
+  SELECT *, CASE (nth - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM turned
 ), ranked AS (
   SELECT *, source_size * 2.0::DOUBLE / weight AS ratio, sum(source_size) OVER ()::BIGINT AS all_size, sum(weight) OVER ()::BIGINT AS all_weight FROM weighted
 ), before AS (
   SELECT *, coalesce(sum(source_size) OVER w, 0)::BIGINT AS size_before, coalesce(sum(weight) OVER w, 0)::BIGINT AS weight_before
-  FROM ranked WINDOW w AS (ORDER BY ratio, at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  FROM ranked WINDOW w AS (ORDER BY ratio, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), stops AS (
   SELECT *, source_size * 2 * (all_weight - weight_before) < (all_size * 1.5::DOUBLE - size_before * 2) * weight AS stop FROM before
 ), shares AS (
