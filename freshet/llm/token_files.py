@@ -8,6 +8,9 @@ reads and checks only its frame. Files are written to and read from the shared f
 
 from __future__ import annotations
 
+import functools
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -16,6 +19,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -24,34 +28,77 @@ from pyspark.sql import functions as F
 from freshet.llm.common import fresh_path, parallelism
 
 END_ID = 1
-LEVEL = 3
-CACHE = 300_000
+LEVEL = 1
+#: Pieces a worker remembers before it starts anew.
+CACHE = 500_000
+#: What keeps a text from the quick way: signs beyond the Latin letters, odd white space, the beginnings of special tokens.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0]|[^\x00-\u024f]|<\\|")
+_LETTERS, _DIGITS = "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾"
+_PIECE = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]|'(?:s|t|re|ve|m|ll|d)|[^{_LETTERS}{_DIGITS} \\t-\\r]+")
 _INDEX, _TABLE, _FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _CHECKSUMS = 0x80
 _NULL = -(1 << 63)
+_MANIFEST = pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("bytes", pa.int64())])
 
 
 class Encoder:
-    """Ids of texts as bytes. A piece of the vocabulary never spans a space or line feed, so the strings between them are
-    encoded apart and remembered; the result equals that of the whole text."""
+    """Ids of texts as bytes. The vocabulary works on lower-cased runs of letters, single digits and runs of other signs, so
+    their ids are remembered; the result equals that of encoding the whole text.
+
+    Texts of ASCII and Latin letters are cut into such pieces here; new pieces are encoded together and told apart by the ids
+    that end a piece. Any other text is cut at spaces and line feeds only, which no piece spans.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        if len(self.known) + len(pieces) > CACHE:
+            self.known.clear()
+        for at in range(0, len(pieces), 2_000):
+            some = pieces[at : at + 2_000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(some) and (not len(ids) or last[-1] == len(ids)):
+                raw, start = ids.tobytes(), 0
+                for piece, end in zip(some, (last * 4).tolist()):
+                    self.known[piece], start = raw[start:end], end
+            else:
+                self.known |= {piece: self._plain(piece) for piece in some}
 
     def __call__(self, text: str | None) -> bytes:
-        parts = (text or "").replace("\n", " ").split(" ")
-        new = [p for p in dict.fromkeys(parts) if p not in self.known]
-        if new:
-            if len(self.known) + len(new) > CACHE:
-                self.known.clear()
-                new = list(dict.fromkeys(parts))
-            for at in range(0, len(new), 10_000):
-                some = new[at : at + 10_000]
-                for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                    self.known[part] = np.array(found.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, parts))
+        if not text:
+            return b""
+        if _ODD.search(text):
+            chunks = text.replace("\n", " ").split(" ")
+            if len(self.parts) > CACHE // 8:
+                self.parts.clear()
+            for chunk in set(chunks):
+                if chunk not in self.parts:
+                    self.parts[chunk] = self._plain(chunk)
+            return b"".join(map(self.parts.__getitem__, chunks))
+        pieces = _PIECE.findall(text.lower())
+        try:
+            return b"".join(map(self.known.__getitem__, pieces))
+        except KeyError:
+            new = [p for p in set(pieces) if p not in self.known]
+            self._learn(new if len(self.known) + len(new) <= CACHE else list(set(pieces)))
+            return b"".join(map(self.known.__getitem__, pieces))
+
+
+@functools.lru_cache(2)
+def _encoder(path: str) -> Encoder:
+    """One per Python worker, which serves many tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Encoder(path)
 
 
 class Writer:
@@ -124,24 +171,24 @@ def write(docs: DataFrame, vocabulary: str, folder: str | None = None, files: in
     spark = docs.sparkSession
     folder = _uri(folder or fresh_path(spark, "token-files"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         uri = f"{folder}/ids-{context.partitionId():06d}-{context.taskAttemptId()}.zst"
         store, path = fs.FileSystem.from_uri(uri)
         store.create_dir(path.rpartition("/")[0], recursive=True)
-        encode, writer, end = Encoder(vocabulary), None, struct.pack("<I", END_ID)
+        encode, writer, end = _encoder(vocabulary), None, struct.pack("<I", END_ID)
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"]):
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
                 writer = writer or Writer(store.open_output_stream(path, compression=None))
-                writer.add(None if doc_id is pd.NA else int(doc_id), encode(text) + end)
+                writer.add(doc_id.as_py(), encode(text.as_py()) + end)
         if writer:
             size = writer.close()
-            yield pd.DataFrame({"part": [context.partitionId()], "file": uri, "n_docs": len(writer.index), "n_ids": sum(n for _, n in writer.index), "bytes": size})
+            yield pa.RecordBatch.from_pylist([{"part": context.partitionId(), "file": uri, "n_docs": len(writer.index), "n_ids": sum(n for _, n in writer.index), "bytes": size}], schema=_MANIFEST)
 
     tie = F.xxhash64("text")
     rows = docs.select("doc_id", "text").repartitionByRange(files or parallelism(spark), F.col("doc_id").asc_nulls_first(), tie)
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
-    found = rows.mapInPandas(run, "part int, file string, n_docs long, n_ids long, bytes long").collect()
+    found = rows.mapInArrow(run, "part int, file string, n_docs long, n_ids long, bytes long").collect()
     manifest, start = [], 0
     for r in sorted(found, key=lambda r: r["part"]):
         manifest.append({"file": r["file"], "n_docs": r["n_docs"], "n_ids": r["n_ids"], "bytes": r["bytes"], "start": start})
