@@ -30,7 +30,7 @@ from freshet.llm.common import fresh_path, parallelism
 END_ID = 1
 LEVEL = 1
 #: Pieces a worker remembers before it starts anew.
-CACHE = 500_000
+CACHE = 1_200_000
 #: What keeps a text from the quick way: signs beyond the Latin letters, odd white space, the beginnings of special tokens.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0]|[^\x00-\u024f]|<\\|")
 _LETTERS, _DIGITS = "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾"
