@@ -19,7 +19,7 @@ from pyspark.sql import Window
 from freshet.llm.common import cut
 
 #: Rows of the sample the centroids are fitted on, and members aimed at per list.
-SAMPLE, LIST = 40_000, 96
+SAMPLE, LIST = 20_000, 96
 MAX_LISTS = 8_192
 #: Lists a vector may be copied to, and how much farther than its nearest centroid they may be (squared-distance ratio).
 COPIES, BOUNDARY = 4, 1.15
