@@ -24,8 +24,8 @@ MAX_LISTS = 8_192
 #: Lists a vector may be copied to, and how much farther than its nearest centroid they may be (squared-distance ratio).
 COPIES, BOUNDARY = 4, 1.15
 #: Lists a query may read, and the same ratio for them.
-PROBES, PRUNE = 64, 1.8
-DEGREE, BEAM = 24, 96
+PROBES, PRUNE = 96, 2.0
+DEGREE, BEAM = 24, 128
 #: Vectors of a list that are compared in one group.
 BLOCK = 512
 
