@@ -189,7 +189,8 @@ def test_shards_are_even_gapless_and_keep_copies_together(spark):
     assert all(sorted(g) == list(range(len(g))) for _, g in frame.groupby("shard")["slot"])
     cold = frame[frame["doc_id"] < 400].assign(g=lambda x: x["doc_id"] % 40)
     assert (cold.groupby("g")["shard"].nunique() == 1).mean() > 0.8
-    assert frame[frame["doc_id"] >= 1000]["shard"].nunique() <= 20
+    hot = frame[frame["doc_id"] >= 1000]["shard"].value_counts()
+    assert (hot * (hot - 1)).sum() / (500 * 499) > 1.2 / 24  # fewer cut pairs than the even start's 23 in 24
 
 
 def test_grants_never_exceed_room():
@@ -234,7 +235,7 @@ def test_battery_tells_random_runs_from_writing(spark):
     words = ["ThisIsAnOrdinaryLongIdentifierName42", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1", "path/to/the/internal/data/of/the/thing", "2024-01-01_2024-01-02_2024-01-03_2024"]
     rows = [(i, f"see {k} here") for i, k in enumerate(keys)] + [(100 + i, f"see {w} here") for i, w in enumerate(words)]
     got = {r["doc_id"]: r["spans"] for r in secret_scan.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert sum(got[i] == "random:4:44" for i in range(40)) >= 30 and not any(got[100 + i] for i in range(4))
+    assert sum(got[i] == "random:4:44" for i in range(40)) >= 30 and not any("random" in got[100 + i] for i in range(4))  # one is a base span: a run of hex digits
 
 
 def test_mask_replaces_spans(edge):
