@@ -54,7 +54,11 @@ stats AS (SELECT station, period, year::BIGINT AS year, count(*) AS n_days, roun
 
 _DOY = f"""{_DAILY},
 folded AS (SELECT station, year(date) AS y, dayofyear(date) - (dayofyear(date) >= 60 AND dayofyear(make_date(year(date), 12, 31)) = 366)::INT AS doy, avg(q) AS q FROM daily GROUP BY ALL),
-doy AS (SELECT station, doy::BIGINT AS doy, avg(q) AS q FROM folded GROUP BY ALL)"""
+seen AS (SELECT station, doy::BIGINT AS doy, avg(q) AS q FROM folded GROUP BY ALL),
+rounds AS (SELECT station, doy + 365 * k AS nth, q FROM seen, (VALUES (-1), (0), (1)) v(k)),
+grid AS (SELECT station, unnest(range(1, 366)) AS doy FROM (SELECT DISTINCT station FROM seen)),
+doy AS (SELECT g.station, g.doy, CASE WHEN a.nth = b.nth THEN a.q ELSE a.q + (b.q - a.q) * (g.doy - a.nth) / (b.nth - a.nth) END AS q
+  FROM grid g ASOF JOIN rounds a ON a.station = g.station AND a.nth <= g.doy ASOF JOIN rounds b ON b.station = g.station AND b.nth >= g.doy)"""
 _DOY_MONTH = "month(make_date(2001, 1, 1) + (doy - 1)::INT)::BIGINT"
 _COMPLETE = lambda source, n: f"full_months AS (SELECT station, year(date)::BIGINT AS year, month(date) AS m FROM {source} GROUP BY ALL HAVING count(*) >= {n}), complete AS (SELECT station, year FROM full_months GROUP BY ALL HAVING count(*) = 12)"
 _RECORD = f"""{_SPARSE}, arc AS (SELECT * FROM sparse WHERE date < '1999-01-01' AND dayofyear(date) % 9 <> 0),
