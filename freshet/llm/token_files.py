@@ -29,10 +29,10 @@ from freshet.llm.common import fresh_path, parallelism
 
 END_ID = 1
 LEVEL = 1
-#: Pieces a worker remembers before it starts anew.
-CACHE = 1_200_000
-#: What keeps a text from the quick way: signs beyond the Latin letters, odd white space, the beginnings of special tokens.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0]|[^\x00-\u024f]|<\\|")
+#: Pieces and tokens a worker remembers before it starts anew, and how many of them may be tokens of several pieces.
+CACHE, TOKENS = 1_200_000, 300_000
+#: What keeps a text from the quick way, as do the beginnings of special tokens: signs beyond the Latin letters, odd white space.
+_ODD = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u024f]")
 _LETTERS, _DIGITS = "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾"
 _PIECE = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]|'(?:s|t|re|ve|m|ll|d)|[^{_LETTERS}{_DIGITS} \\t-\\r]+")
 _INDEX, _TABLE, _FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -45,14 +45,15 @@ class Encoder:
     """Ids of texts as bytes. The vocabulary works on lower-cased runs of letters, single digits and runs of other signs, so
     their ids are remembered; the result equals that of encoding the whole text.
 
-    Texts of ASCII and Latin letters are cut into such pieces here; new pieces are encoded together and told apart by the ids
-    that end a piece. Any other text is cut at spaces and line feeds only, which no piece spans.
+    Texts of ASCII and Latin letters are cut at white space, which no piece spans, into tokens, and those not met before into
+    such pieces; new pieces are encoded together and told apart by the ids that end a piece. Any other text is cut at spaces
+    and line feeds only.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.known, self.parts, self.tokens = Tokenizer.from_file(path), {}, {}, 0
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -61,8 +62,6 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > CACHE:
-            self.known.clear()
         for at in range(0, len(pieces), 2_000):
             some = pieces[at : at + 2_000]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
@@ -77,7 +76,7 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _ODD.search(text):
+        if "<|" in text or _ODD.search(text):
             chunks = text.replace("\n", " ").split(" ")
             if len(self.parts) > CACHE // 8:
                 self.parts.clear()
@@ -85,13 +84,28 @@ class Encoder:
                 if chunk not in self.parts:
                     self.parts[chunk] = self._plain(chunk)
             return b"".join(map(self.parts.__getitem__, chunks))
-        pieces = _PIECE.findall(text.lower())
+        tokens = text.lower().split()
         try:
-            return b"".join(map(self.known.__getitem__, pieces))
+            return b"".join(map(self.known.__getitem__, tokens))
         except KeyError:
-            new = [p for p in set(pieces) if p not in self.known]
-            self._learn(new if len(self.known) + len(new) <= CACHE else list(set(pieces)))
-            return b"".join(map(self.known.__getitem__, pieces))
+            return self._meet(tokens)
+
+    def _meet(self, tokens: list[str]) -> bytes:
+        """The ids of tokens some of which are not known."""
+        known, found = self.known, _PIECE.findall
+        cut = {t: found(t) for t in set(tokens) if t not in known}
+        new = {p for pieces in cut.values() for p in pieces if p not in known}
+        if len(known) + len(new) > CACHE and known:
+            known.clear()
+            self.tokens = 0
+            return self._meet(tokens)
+        self._learn(list(new))
+        made = {t: b"".join([known[p] for p in pieces]) for t, pieces in cut.items() if t not in known}
+        out = b"".join([known[t] if t in known else made[t] for t in tokens])
+        if self.tokens + len(made) <= TOKENS and len(known) + len(made) <= CACHE:
+            known |= made
+            self.tokens += len(made)
+        return out
 
 
 @functools.lru_cache(2)
