@@ -87,7 +87,7 @@ def test_crowded_keys_lose_no_link(spark):
 
 
 def test_components_of_a_long_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1500)], "a long, b long")
     assert {r["root"] for r in components.components(edges).collect()} == {0}
 
 
