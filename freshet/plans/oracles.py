@@ -195,3 +195,35 @@ ORACLES |= {
     "part_pruned_scan": f"WITH {_KEYS} SELECT key, code FROM keys WHERE code IN ('DRAIN1', 'CANA', 'FRAN')",
     "catalog_digest": f"WITH {_KEYS} SELECT md5(string_agg(key || ' ' || md5 || chr(10), '' ORDER BY key || ' ' || md5)) AS digest FROM keys",
 }
+_ZONES = "zones AS (SELECT p_partkey AS id, p_brand AS fold, p_partkey % 12 + 1 AS month, p_partkey % 7 / 7.0::DOUBLE AS za, CASE WHEN p_size % 13 <> 0 THEN p_size % 11 / 11.0::DOUBLE END AS zb, p_size::DOUBLE AS raw, p_size + p_partkey * 37 % 101 / 10.0::DOUBLE AS obs FROM part)"
+_CV = f"""{_ZONES}, folds AS (SELECT DISTINCT fold FROM zones), fit AS (SELECT folds.fold, regr_slope(obs, za) AS b, regr_intercept(obs, za) AS a FROM folds JOIN zones ON zones.fold <> folds.fold GROUP BY folds.fold),
+cv AS (SELECT id, fold, obs, a + b * za AS mod FROM zones JOIN fit USING (fold))"""
+ORACLES |= {
+    "wb_fit": f"WITH {_ZONES}, s AS (SELECT count(*) AS n, sum(za * za) AS aa, sum(za * z) AS ab, sum(z * z) AS bb, sum(za * y) AS ay, sum(z * y) AS zy FROM (SELECT za, coalesce(zb, 0) AS z, obs - raw AS y FROM zones)) SELECT n, round((ay * bb - zy * ab) / (aa * bb - ab * ab), 6) AS b_za, round((zy * aa - ay * ab) / (aa * bb - ab * ab), 6) AS b_zb FROM s",
+    "share_fit": f"""WITH {_ZONES}, s AS (SELECT month, count(*) AS n, avg(obs) AS y, avg(za) AS a, avg(zb) AS b, var_samp(za) AS aa, covar_samp(za, zb) AS ab, var_samp(zb) AS bb, covar_samp(obs, za) AS ya, covar_samp(obs, zb) AS yb FROM zones WHERE zb IS NOT NULL GROUP BY month HAVING count(*) > 3),
+f AS (SELECT *, (ya * bb - yb * ab) / (aa * bb - ab * ab) AS ba, (yb * aa - ya * ab) / (aa * bb - ab * ab) AS bz FROM s) SELECT month, n, round(y - ba * a - bz * b, 6) AS intercept, round(ba, 6) AS b_za, round(bz, 6) AS b_zb FROM f""",
+    "blocked_cv": f"WITH {_CV} SELECT id, fold, round(obs, 6) AS obs, round(mod, 6) AS mod FROM cv",
+    "blocked_cv_skill": f"""WITH {_CV}, e AS (SELECT *, CASE WHEN obs >= 1 THEN 100 * (mod - obs) / obs END AS e, CASE WHEN obs >= 1 AND mod > 0 THEN ln(mod / obs) END AS g FROM cv)
+SELECT fold, count(e) AS n, count(*) FILTER (obs < 1) AS left_out, 0 AS no_model, round(avg(e), 6) AS mean_error, round(median(e), 6) AS median_error, round(avg(abs(e)), 6) AS mae, round(avg(CASE WHEN e IS NOT NULL THEN (abs(e) <= 20)::INT END), 6) AS within_20, round(median(g), 6) AS median_log, round(stddev_samp(g), 6) AS sd_log FROM e GROUP BY fold""",
+    "ratio_bootstrap": f"""WITH {_YEARLY}, part AS (SELECT station, CASE WHEN year <= 1997 THEN 'base' ELSE 'recent' END AS part, year, value FROM yearly WHERE year BETWEEN 1995 AND 2001),
+held AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY station, part) AS n FROM part WINDOW w AS (PARTITION BY station, part ORDER BY year)),
+slots AS (SELECT station, part, n, unnest(range(1, n + 1)) AS slot FROM (SELECT DISTINCT station, part, n FROM held WHERE n >= 2)),
+drawn AS (SELECT station, part, draw, floor(('0x' || substr(md5(station || ':' || part || ':' || draw || ':' || slot), 1, 13))::BIGINT::DOUBLE / 4503599627370496 * n)::BIGINT + 1 AS i FROM slots, (SELECT unnest(range(1, 5001)) AS draw)),
+means AS (SELECT d.station, draw, avg(value) FILTER (d.part = 'recent') / avg(value) FILTER (d.part = 'base') AS r FROM drawn d JOIN held USING (station, part, i) GROUP BY d.station, draw HAVING count(DISTINCT d.part) = 2),
+whole AS (SELECT station, avg(value) FILTER (part = 'recent') / avg(value) FILTER (part = 'base') AS ratio FROM held GROUP BY station)
+SELECT station, round(any_value(ratio), 6) AS ratio, round(quantile_cont(r, 0.05), 6) AS low, round(quantile_cont(r, 0.95), 6) AS high FROM means JOIN whole USING (station) GROUP BY station""",
+    "score_set": f"""WITH {_VALID}, m AS (SELECT *, avg(obs) OVER (PARTITION BY id) AS mean FROM val WHERE mod IS NOT NULL)
+SELECT id, count(*) AS n, count(*) FILTER (obs <= 0) AS dry, round(corr(obs, mod) ** 2, 6) AS r2, round(avg(abs(mod - obs)), 6) AS mae, round(avg(100 * abs(mod - obs) / obs), 6) AS mape, round(median(100 * abs(mod - obs) / obs), 6) AS median_ape, round(1 - sum((mod - obs) ** 2) / sum((obs - mean) ** 2), 6) AS nse, round(corr(ln(obs), ln(mod)) ** 2, 6) AS r2_log FROM m GROUP BY id""",
+    "rank_correlation": f"WITH {_ZONES}, r AS (SELECT a.fold, a.id, (SELECT count(*) FILTER (b.raw < a.raw) + count(*) FILTER (b.raw = a.raw) / 2.0::DOUBLE FROM zones b WHERE b.fold = a.fold) AS x, (SELECT count(*) FILTER (b.obs < a.obs) + count(*) FILTER (b.obs = a.obs) / 2.0::DOUBLE FROM zones b WHERE b.fold = a.fold) AS y FROM zones a) SELECT fold, count(*) AS n, round(corr(x, y), 6) AS rho FROM r GROUP BY fold",
+    "coverage_decades": f"WITH {_DAILY}, y AS (SELECT station, year(date) AS y FROM daily GROUP BY ALL HAVING count(*) >= 300), d AS (SELECT station, y // 10 * 10 AS decade FROM y GROUP BY ALL HAVING count(*) >= 3) SELECT decade, count(*) AS n_stations FROM d GROUP BY decade",
+    "season_ratios": f"""WITH {_VALID}, p AS (SELECT id, CASE WHEN month IN (12, 1, 2) THEN 'djf' WHEN month <= 5 THEN 'mam' WHEN month <= 8 THEN 'jja' ELSE 'son' END AS season, 100 * sum(mod) / sum(obs) AS p FROM val WHERE mod IS NOT NULL GROUP BY ALL)
+SELECT season, count(*) AS n, round(median(p), 6) AS median_pct, round(avg((abs(p - 100) <= 20)::INT), 6) AS share_within FROM p GROUP BY season""",
+    "station_space": """WITH c AS (SELECT 6378137.0::DOUBLE AS a, sqrt(2 / 298.257222101::DOUBLE - 1 / 298.257222101::DOUBLE ** 2) AS e),
+s AS (SELECT s_suppkey AS station, -139.0::DOUBLE + s_suppkey % 25 AS lon, 48.0::DOUBLE + s_nationkey % 12 AS lat, ln(10.0::DOUBLE + s_suppkey * 3) AS log_area FROM supplier),
+k AS (SELECT *, sin(radians(v)) AS sv, cos(radians(v)) / sqrt(1 - e * e * sin(radians(v)) ** 2) AS m, (1 - e * e) * (sin(radians(v)) / (1 - e * e * sin(radians(v)) ** 2) - ln((1 - e * sin(radians(v))) / (1 + e * sin(radians(v)))) / (2 * e)) AS q FROM c, (VALUES ('1', 50.0::DOUBLE), ('2', 58.5), ('0', 45.0)) t(name, v)),
+w AS (SELECT any_value(a) AS a, any_value(e) AS e, max(m) FILTER (name = '1') AS m1, max(m) FILTER (name = '2') AS m2, max(q) FILTER (name = '1') AS q1, max(q) FILTER (name = '2') AS q2, max(q) FILTER (name = '0') AS q0 FROM k),
+n AS (SELECT *, (m1 * m1 - m2 * m2) / (q2 - q1) AS n FROM w),
+x AS (SELECT station, log_area, n, a, radians(lon + 126) * n AS t, a * sqrt(m1 * m1 + n * q1 - n * q0) / n AS r0, a * sqrt(m1 * m1 + n * q1 - n * (1 - e * e) * (sin(radians(lat)) / (1 - e * e * sin(radians(lat)) ** 2) - ln((1 - e * sin(radians(lat))) / (1 + e * sin(radians(lat)))) / (2 * e))) / n AS r FROM s, n),
+y AS (SELECT station, (1000000 + r * sin(t)) / 1000 AS e_km, (r0 - r * cos(t)) / 1000 AS n_km, log_area FROM x)
+SELECT station, round(e_km / stddev_samp(e_km) OVER (), 6) AS e_km, round(n_km / stddev_samp(n_km) OVER (), 6) AS n_km, round(log_area / stddev_samp(log_area) OVER (), 6) AS log_area FROM y""",
+}

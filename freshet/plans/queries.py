@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.functions import columns as C
-from freshet.operators import models, network, series, windows
+from freshet.operators import fits, models, network, series, windows
 from freshet.plans.views import Tables
 from freshet.sources import catalog
 
@@ -57,6 +57,14 @@ def _donor_mean(t: Tables) -> DataFrame:
     return models.donor_mean(side(t.supplier, 0).drop("value"), side(t.supplier, 1), ["a", "b"], "value")
 
 
+def _zones(t: Tables) -> DataFrame:
+    return t.part.selectExpr("p_partkey as id", "p_brand as fold", "p_partkey % 12 + 1 as month", "p_partkey % 7 / 7D as za", "case when p_size % 13 <> 0 then p_size % 11 / 11D end as zb", "cast(p_size as double) as raw", "p_size + p_partkey * 37 % 101 / 10D as obs")
+
+
+def _stations(t: Tables) -> DataFrame:
+    return t.supplier.selectExpr("s_suppkey as station", "-139D + s_suppkey % 25 as lon", "48D + s_nationkey % 12 as lat", "10D + s_suppkey * 3 as area")
+
+
 def _parts(t: Tables) -> DataFrame:
     return t.nation.selectExpr("concat('segment_monthly/scenario=historical/forcing=f', n_regionkey % 2, '/source=s', n_nationkey % 3, '/part-', case when n_nationkey % 4 = 0 then 'DRAIN1' else upper(left(concat(n_name, 'XXXX'), 4)) end, '.parquet') as key", "md5(cast(n_nationkey as string)) as md5", "n_nationkey")
 
@@ -125,6 +133,16 @@ QUERIES = {
     "pet_hargreaves": lambda t: _rounded(t.part.select(F.col("p_partkey").alias("id"), C.hargreaves(F.col("p_size") - 25.0, F.col("p_size") - 25.0 + F.col("p_partkey") % 13, F.lit(50.0) + F.col("p_partkey") % 10, (F.col("p_partkey") % 365 + 1).cast("double")).alias("et0"))),
     "mm_to_m3s": lambda t: _rounded(t.part.select(F.col("p_partkey").alias("id"), C.depth_to_flow(F.col("p_size") * 1.0, F.col("p_partkey") * 1e4, C.volume_days(F.col("p_partkey") % 12 + 1)).alias("q"))),
     "fingerprint": lambda t: network.fingerprint(t.daily(), "station", "q"),
+    "wb_fit": lambda t: _rounded(fits.zone_fit(_zones(t), ["za", "zb"])),
+    "share_fit": lambda t: _rounded(fits.linear_fit(_zones(t), "obs", ["za", "zb"], ["month"])),
+    "blocked_cv": lambda t: _rounded(fits.blocked_predictions(_zones(t), "obs", ["za"])),
+    "blocked_cv_skill": lambda t: _rounded(models.skill(fits.blocked_predictions(_zones(t), "obs", ["za"]), ("fold",), 1.0)),
+    "ratio_bootstrap": lambda t: _rounded(fits.ratio_interval(t.yearly(), (1995, 1997), (1998, 2001))),
+    "score_set": lambda t: _rounded(fits.score_set(_validation(t), ("id",))),
+    "rank_correlation": lambda t: _rounded(fits.rank_correlation(_zones(t), ("fold",), "raw", "obs")),
+    "coverage_decades": lambda t: _rounded(fits.coverage_decades(t.daily(), 300, 3)),
+    "season_ratios": lambda t: _rounded(fits.season_ratios(_validation(t))),
+    "station_space": lambda t: _rounded(fits.station_space(_stations(t))),
     "catalog_parts": lambda t: catalog.parse_parts(_parts(t).select("key")),
     "part_pruned_scan": lambda t: catalog.prune(catalog.parse_parts(_parts(t).select("key", "n_nationkey")), "segment_monthly", ["CANA", "FRAN"]).select("key", "code"),
     "catalog_digest": lambda t: catalog.digest(_parts(t)),
