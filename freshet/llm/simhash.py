@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from freshet.llm import overlap
 from freshet.llm.common import cut
 from freshet.llm.components import components
 
@@ -133,10 +134,11 @@ def near_copies(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame
     return classes(docs, words, max_bits).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
-    """The documents without near copies: of each component the one with the smallest doc_id stays, with all its columns.
+def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """The documents without near copies (texts whose sets of ``words``-word shingles have a Jaccard similarity of ``least`` or
+    more, see overlap.py): of each component the one with the smallest doc_id stays, with all its columns.
     Of rows that repeat that id one stays. Rows with a null id cannot be named by a link and stay."""
-    firsts = classes(docs, words, max_bits).where("doc_id = component_id").select(F.col("component_id").alias("__keep")).distinct()
+    firsts = overlap.classes(docs, words, least).where("doc_id = component_id").select(F.col("component_id").alias("__keep")).distinct()
     kept = docs.join(firsts, docs["doc_id"] == firsts["__keep"], "left_semi")
     kept = kept.withColumn("__i", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__i = 1").drop("__i")
     return kept.unionByName(docs.where("doc_id is null"))
