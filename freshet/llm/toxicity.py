@@ -40,14 +40,15 @@ def _encoded(text: str | None) -> bytes:
     return (text or "").lower().encode("utf-8", "surrogatepass")
 
 
-def _words(text: str | None) -> Iterator[set[bytes]]:
-    """Distinct words of four bytes or more, of one slice of the text after the other."""
-    data, at = _encoded(text), 0
+def _words(text: str | None) -> set[bytes]:
+    """Distinct words of four bytes or more of the whole text, which is read in slices."""
+    data, at, words = _encoded(text), 0, set()
     while at < len(data):
         end = data.find(b" ", at + PIECE)
         end = len(data) if end < 0 else end
-        yield set(_WORD.findall(data, at, end))
+        words.update(_WORD.findall(data, at, end))
         at = end
+    return words
 
 
 def _framed(word: bytes) -> bytes:
@@ -92,7 +93,7 @@ def _apart(texts: list[str], good: Counter, least: int = 6) -> list[str]:
     texts lack. What a family of copies repeats is not what toxic texts share."""
     kept, index = [], {}
     for text in texts:
-        rare = {w for part in _words(text) for w in part if w not in good}
+        rare = {w for w in _words(text) if w not in good}
         same = Counter(i for w in rare for i in index.get(w, ()))
         if same and (n := max(same.values())) >= least and 2 * n > len(rare):
             continue
@@ -105,7 +106,7 @@ def _apart(texts: list[str], good: Counter, least: int = 6) -> list[str]:
 def train_pair(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     """(toxic, ordinary) dictionaries: the ordinary one from windows of ordinary texts; the toxic one from the windows of
     toxic texts that ordinary texts do not explain, as most of a toxic text is ordinary as well."""
-    count = lambda texts: Counter(w for t in texts for part in [set().union(*_words(t))] for w in part)
+    count = lambda texts: Counter(w for t in texts for w in _words(t))
     good = count(ordinary)
     toxic = _apart(list(dict.fromkeys(toxic)), good)
     bad = count(toxic)
@@ -122,14 +123,9 @@ def train_pair(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
 
 def features(text: str | None, distance: Distance, thresholds: np.ndarray) -> list[float]:
     """The three largest distances, log(1 + windows beyond) per threshold, log(1 + windows)."""
-    top, beyond, total = np.full(3, -1.0), np.zeros(len(thresholds)), 0
-    for words in _words(text):
-        far = distance(words)
-        if len(far):
-            top = np.sort(np.concatenate((top, np.partition(far, -3)[-3:] if len(far) > 3 else far)))[-3:]
-            beyond += (far[:, None] >= thresholds).sum(0)
-            total += len(far)
-    return [*top, *np.log1p(beyond), np.log1p(total)]
+    far = distance(_words(text))
+    top = np.sort(np.concatenate((np.full(3, -1.0), np.partition(far, -3)[-3:] if len(far) > 3 else far)))[-3:]
+    return [*top, *np.log1p((far[:, None] >= thresholds).sum(0)), np.log1p(len(far))]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-1, steps: int = 60) -> np.ndarray:
@@ -157,7 +153,7 @@ def calibrate(toxic: list[str], ordinary: list[str]) -> dict | None:
     pair = train_pair(part(toxic, True), part(ordinary, True))
     distance = Distance(pair)
     bad, good = part(toxic, False), part(ordinary, False)
-    near = np.concatenate([np.zeros(1), *(distance(words) for t in good for words in _words(t))])
+    near = np.concatenate([np.zeros(1), *(distance(_words(t)) for t in good)])
     thresholds = np.unique(np.quantile(near, [1 - t for t in TAILS])) + 1e-9
     x = np.array([features(t, distance, thresholds) for t in bad + good])
     y = np.r_[np.ones(len(bad)), np.zeros(len(good))]
@@ -165,9 +161,9 @@ def calibrate(toxic: list[str], ordinary: list[str]) -> dict | None:
     return {"pair": pair, "thresholds": thresholds, "middle": middle, "spread": spread, "weights": _logistic((x - middle) / spread, y)}
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = 6_000, ordinary_docs: int = 6_000, max_chars: int = 20_000) -> dict | None:
+def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = 6_000, ordinary_docs: int = 6_000, label_chars: int = 120_000_000) -> dict | None:
     """Fit on a bounded sample of labelled rows: ids whose hash is among the lowest fraction that gives about so many of each
-    label; of a longer text the first and last max_chars / 2 code points. Repeated labels of an id count as toxic if any is;
+    label, and fewer where their whole texts hold more than about ``label_chars`` code points. Repeated labels of an id count as toxic if any is;
     null labels and texts are left out. None if a label has no row."""
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = {r["toxic"]: r["n"] for r in marked.where("toxic in (0, 1)").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -175,10 +171,11 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = 6_000, ordinary_do
         return None
     draw = F.pmod(F.xxhash64(F.lit("toxic sample"), "doc_id"), F.lit(1_000_000)) / 1_000_000
     chosen = marked.where((F.col("toxic") == 1) & (draw < toxic_docs / n[1]) | (F.col("toxic") == 0) & (draw < ordinary_docs / n[0]))
-    half = max_chars // 2
-    text = F.when(F.char_length("text") > max_chars, F.concat(F.left("text", F.lit(half)), F.lit("\n"), F.right("text", F.lit(half)))).otherwise(F.col("text"))
     # about toxic_docs + ordinary_docs ids: a bounded side, whatever the corpus size
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", text.alias("text")).toPandas()
+    sample = lambda ids: docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
+    chars = {r["toxic"]: r["n"] for r in sample(chosen).groupBy("toxic").agg(F.sum(F.char_length("text")).alias("n")).collect()}
+    part = {y: min(1, most / n[y]) * min(1, label_chars / max(1, chars.get(y) or 0)) for y, most in ((0, ordinary_docs), (1, toxic_docs))}
+    rows = sample(chosen.where((F.col("toxic") == 1) & (draw < part[1]) | (F.col("toxic") == 0) & (draw < part[0]))).select("doc_id", "toxic", "text").toPandas()
     rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
     return calibrate(rows.loc[rows["toxic"] == 1, "text"].tolist(), rows.loc[rows["toxic"] == 0, "text"].tolist())
 
