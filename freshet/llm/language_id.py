@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from freshet.llm.common import fold
 
@@ -35,36 +36,42 @@ def _letters() -> np.ndarray:
     return _ALPHA[0]
 
 
-def _pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """(row numbers, strings): whole texts together, very long ones in slices that overlap by MAX_N - 1."""
+def _pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[str], list[int]]]:
+    """(row numbers, strings, known): whole texts together, very long ones in slices. A slice begins with the MAX_N - 1 code
+    points before it; ``known`` of its code points were in the slice before."""
     rows: list[int] = []
     parts: list[str] = []
+    known: list[int] = []
     size = 0
     for row, text in enumerate(texts):
         if not text:
             continue
         text = text.lower()
         for start in range(0, len(text), PIECE_CHARS):
-            part = text[max(0, start - MAX_N + 1) : start + PIECE_CHARS]
+            before = min(start, MAX_N - 1)
+            part = text[start - before : start + PIECE_CHARS]
             if parts and size + len(part) > PIECE_CHARS:
-                yield np.array(rows), parts
-                rows, parts, size = [], [], 0
+                yield np.array(rows), parts, known
+                rows, parts, known, size = [], [], [], 0
             rows.append(row)
             parts.append(part)
+            known.append(before)
             size += len(part)
     if parts:
-        yield np.array(rows), parts
+        yield np.array(rows), parts, known
 
 
-def _grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each n-gram, which part it is of), n-grams that touch no letter left out."""
+def _grams(parts: list[str], known: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket of each n-gram, which part it is of), those left out that touch no letter or end among the known code points."""
     codes = np.frombuffer("\0".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    part = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) + 1 for p in parts])[:-1]
+    sizes = np.array([len(p) + 1 for p in parts])
+    part = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)[:-1]
+    fresh = np.arange(len(codes)) >= np.repeat(np.cumsum(sizes) - sizes + known, sizes)[:-1]
     letter = _letters()[codes]
     codes = np.where(letter, codes, 32).astype(np.uint32)
     keep = letter.copy()
     keep[1:] |= letter[:-1]
-    codes, part, letter = codes[keep], part[keep], letter[keep]
+    codes, part, letter, fresh = codes[keep], part[keep], letter[keep], fresh[keep]
     buckets, owners = [], []
     mixed = np.zeros(len(codes), np.uint32)
     for n in range(1, MAX_N + 1):
@@ -72,7 +79,7 @@ def _grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if m <= 0:
             break
         mixed = (mixed[:m] * np.uint32(0x01000193)) ^ (codes[n - 1 : n - 1 + m] * np.uint32(0x9E3779B1))
-        good = (part[:m] == part[n - 1 : n - 1 + m]) & (letter[:m] | letter[n - 1 : n - 1 + m])
+        good = (part[:m] == part[n - 1 : n - 1 + m]) & (letter[:m] | letter[n - 1 : n - 1 + m]) & fresh[n - 1 : n - 1 + m]
         spread = (mixed + np.uint32(n)) * np.uint32(0x85EBCA6B)
         buckets.append((spread >> np.uint32(32 - BUCKET_BITS))[good])
         owners.append(part[:m][good])
@@ -86,8 +93,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for lang, group in batch.groupby("lang"):
             total = sums.setdefault(lang, np.zeros(1 << BUCKET_BITS, np.int64))
-            for _, parts in _pieces(group["text"].tolist()):
-                total += np.bincount(_grams(parts)[0], minlength=1 << BUCKET_BITS)
+            for _, parts, known in _pieces(group["text"].tolist()):
+                total += np.bincount(_grams(parts, known)[0], minlength=1 << BUCKET_BITS)
     for lang, total in sums.items():
         hit = np.flatnonzero(total)
         yield pd.DataFrame({"lang": lang, "bucket": hit.astype(np.int32), "n": total[hit]})
@@ -126,8 +133,8 @@ def score(texts: list[str | None], model: dict) -> tuple[list[str], np.ndarray]:
     sums = np.zeros((len(texts), len(model["langs"])))
     grams = np.zeros(len(texts))
     logs = model["logs"]
-    for rows, parts in _pieces(texts):
-        buckets, owners = _grams(parts)
+    for rows, parts, known in _pieces(texts):
+        buckets, owners = _grams(parts, known)
         if not len(buckets):
             continue
         # one ordered run per n: reduceat over each run adds a part's rows without building a dense count matrix
@@ -153,12 +160,12 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
         return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, value = score(batch["text"].tolist(), shared.value)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": lang, "score": value})
+            lang, value = score(batch.column("text").to_pylist(), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(value, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return rows.mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out_language(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:

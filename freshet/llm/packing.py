@@ -11,17 +11,18 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from freshet.llm.common import WORD
 
 LENGTHS = (256, 512, 1024, 2048, 4096)
 #: Rows of a partition that are packed together; the cost of a bin edge is paid once in so many rows.
 BLOCK = 32_768
-OUT = "doc_id long, piece int, start long, length int, bin_id long, bin_length int, bin_start int"
+OUT = "piece int, start long, length int, bin_id long, bin_length int, bin_start int"
 
 
 def words_and_end(text: Column) -> Column:
@@ -94,26 +95,29 @@ def best_fit(docs: DataFrame, lengths: Sequence[int] = LENGTHS, length: Column |
         raise ValueError("permitted lengths are positive")
     most = lengths[-1]
 
-    def block(rows: pd.DataFrame, base: int) -> pd.DataFrame:
-        n = rows["n"].to_numpy(np.int64)
+    def block(rows: pa.Table, base: int) -> pa.RecordBatch:
+        n = rows["n"].to_numpy().astype(np.int64)
         pieces = np.maximum(1, -(-n // most))
         row = np.repeat(np.arange(len(n)), pieces)
         piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         size = np.minimum(most, n[row] - piece * most)
         bins, starts, final = pack(size, lengths)
-        return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy()[row], "piece": piece.astype(np.int32), "start": piece * most, "length": size.astype(np.int32), "bin_id": base + bins, "bin_length": final.astype(np.int32), "bin_start": starts.astype(np.int32)})
+        ids = rows["doc_id"].combine_chunks().take(pa.array(row))  # Arrow keeps ids as they are, beside nulls too
+        numbers = {"piece": piece.astype(np.int32), "start": piece * most, "length": size.astype(np.int32), "bin_id": base + bins, "bin_length": final.astype(np.int32), "bin_start": starts.astype(np.int32)}
+        return pa.RecordBatch.from_arrays([ids, *map(pa.array, numbers.values())], ["doc_id", *numbers])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 33
-        held: list[pd.DataFrame] = []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            held.append(batch.astype({"doc_id": "Int64"}))
+            held.append(batch)
             if sum(map(len, held)) >= BLOCK:
-                out = block(pd.concat(held), base)
-                base, held = int(out["bin_id"].max()) + 1, []
+                out = block(pa.Table.from_batches(held), base)
+                base, held = int(out.column("bin_id").to_numpy().max()) + 1, []
                 yield out
         if sum(map(len, held)):
-            yield block(pd.concat(held), base)
+            yield block(pa.Table.from_batches(held), base)
 
     n = words_and_end(F.col("text")) if length is None else length
-    return docs.select("doc_id", n.cast("long").alias("n")).mapInPandas(run, OUT)
+    rows = docs.select("doc_id", F.greatest(F.coalesce(n.cast("long"), F.lit(0)), F.lit(0)).alias("n"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL(OUT).fields]))

@@ -15,9 +15,10 @@ import random
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from freshet.llm import overlap
@@ -55,12 +56,13 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id and fp (signed long) of every row; null and empty texts get 0."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.fromiter((fingerprint(t, words) for t in batch["text"]), np.uint64, len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": values.view(np.int64)})
+            values = np.fromiter((fingerprint(t, words) for t in batch.column("text").to_pylist()), np.uint64, len(batch))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    rows = docs.select("doc_id", "text")
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType())]))
 
 
 def _pivots(n: int = PIVOTS) -> list[int]:

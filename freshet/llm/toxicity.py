@@ -1,131 +1,120 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on windows of toxic texts and one on windows of ordinary texts. A window is a
-word between marks, followed by a constant tail that both dictionaries hold (without it zstandard would store so short a
-window instead of compressing it). Its distance is the length under the ordinary dictionary less the length under the toxic
-one, per byte of the word. A text's score is a logistic of its largest distances and of the numbers of its windows beyond
-calibrated thresholds, fitted on labelled texts that the dictionaries have not seen.
+stretch of ``WINDOW_WORDS`` consecutive words; the windows of a text follow each other without gaps over the whole of it. A
+window's distance is its length under the ordinary dictionary less its length under the toxic one. A text's score is a
+logistic of its largest distances, of the numbers and shares of its windows beyond calibrated thresholds and of their mean
+distance, fitted on labelled texts that the dictionaries have not seen.
+
+Most of a toxic text is ordinary as well. So both dictionaries have a common part, trained on ordinary windows, and a part of
+their own. The toxic one is trained again in rounds: each half of the toxic texts is held against the dictionary trained on
+the other half, and the windows that are farther than all but few windows of unseen ordinary texts train the next one.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from freshet.llm.common import fold
 
-ORDINARY_BYTES = 16_384
-TOXIC_BYTES = 1_024
-LEVEL = 6
-#: A word trains the toxic dictionary if so many toxic texts share it and it is so many times as frequent as in ordinary ones.
-RECURS, LIFT = 3, 10
-#: Share of ordinary texts' windows beyond each threshold.
-TAILS = (0.01, 0.001, 0.0001)
-#: Distances that a worker remembers; then it starts anew.
-CACHE = 400_000
-#: Bytes of a text that are looked at together.
-PIECE = 1 << 20
+#: Words of a window, and bytes at which a longer word is cut.
+WINDOW_WORDS, WORD_BYTES = 2, 64
+#: Bytes of the dictionaries' common part and of the part of their own.
+COMMON_BYTES, OWN_BYTES = 16_384, 4_096
+#: Rounds of training, and the share of ordinary windows within the distance beyond which a window trains the next round.
+ROUNDS, USUAL = 4, 0.995
+#: Windows of each set that dictionaries are trained on: a random choice where the sampled texts have more.
+TRAIN_WINDOWS = 300_000
+#: Shares of ordinary texts' windows within each threshold.
+WITHIN = (0.9, 0.99, 0.999, 0.9999)
+#: Windows that are compressed together.
+PIECE = 1 << 16
+#: Both dictionaries end with it and every window is followed by it; else zstandard would store so short a window as it is.
 _TAIL = b"\x00~|0123456789|~\x01"
-_WORD = re.compile(rb"[\w\x80-\xff]{4,}")
+_WORD = re.compile(rb"[\w\x80-\xff]{1,%d}" % WORD_BYTES)
 
 
-def _encoded(text: str | None) -> bytes:
-    return (text or "").lower().encode("utf-8", "surrogatepass")
+def windows(text: str | None) -> list[bytes]:
+    """The windows of the whole lower-cased text, in order; none without a word."""
+    words = _WORD.findall((text or "").lower().encode("utf-8", "surrogatepass"))
+    return [b" " + b" ".join(words[i : i + WINDOW_WORDS]) + b" " for i in range(0, len(words), WINDOW_WORDS)]
 
 
-def _words(text: str | None) -> set[bytes]:
-    """Distinct words of four bytes or more of the whole text, which is read in slices."""
-    data, at, words = _encoded(text), 0, set()
-    while at < len(data):
-        end = data.find(b" ", at + PIECE)
-        end = len(data) if end < 0 else end
-        words.update(_WORD.findall(data, at, end))
-        at = end
-    return words
+class Lengths:
+    """Lengths of windows compressed with a dictionary."""
 
+    def __init__(self, content: bytes):
+        raw = zstandard.ZstdCompressionDict(content + _TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        # the optimal parser: a greedy one's lengths differ by chance about as much as by what a window says
+        how = zstandard.ZstdCompressionParameters.from_level(5, min_match=3, strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_checksum=False, write_dict_id=False)
+        self.compressor = zstandard.ZstdCompressor(dict_data=raw, compression_params=how)
 
-def _framed(word: bytes) -> bytes:
-    return b"\x00" + word + b"\x00"
+    def __call__(self, some: list[bytes]) -> np.ndarray:
+        out = [np.zeros(0, np.int64)]
+        for at in range(0, len(some), PIECE):
+            frames = self.compressor.multi_compress_to_buffer([w + _TAIL for w in some[at : at + PIECE]])
+            out.append(np.fromiter(map(len, frames), np.int64, len(frames)))
+        return np.concatenate(out)
 
 
 class Distance:
-    """Distance of words, remembered; ``pair`` has the toxic and the ordinary dictionary as bytes."""
+    """Distances of a text's windows; ``pair`` has the toxic and the ordinary dictionary as bytes."""
 
     def __init__(self, pair: tuple[bytes, bytes]):
-        make = lambda raw: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw + _TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
-        self.toxic, self.ordinary = make(pair[0]), make(pair[1])
-        self.known: dict[bytes, float] = {}
-
-    def __call__(self, words: set[bytes]) -> np.ndarray:
-        known = self.known
-        new = [w for w in words if w not in known]
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(words)
-            windows = [_framed(w) + _TAIL for w in new]
-            a, b = self.ordinary.multi_compress_to_buffer(windows), self.toxic.multi_compress_to_buffer(windows)
-            for i, w in enumerate(new):
-                known[w] = (len(a[i]) - len(b[i])) / (len(w) + 2)
-        return np.fromiter(map(known.__getitem__, words), float, len(words))
+        self.toxic, self.ordinary = map(Lengths, pair)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        some = windows(text)
+        return (self.ordinary(some) - self.toxic(some)).astype(float)
 
 
 def _train(samples: list[bytes], size: int) -> bytes:
-    """The content of a trained dictionary, or the samples themselves where there are too few to train on."""
+    """A trained dictionary, or the samples themselves where there are too few to train on."""
     whole = b"".join(dict.fromkeys(samples))
     if len(whole) <= size:
-        return whole or b" "
+        return whole
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=16, d=6).as_bytes()
     except zstandard.ZstdError:
         return whole[-size:]
 
 
-def _apart(texts: list[str], good: Counter, least: int = 6) -> list[str]:
-    """Texts without the near copies of earlier ones: those that share over half, and ``least``, of the words that ordinary
-    texts lack. What a family of copies repeats is not what toxic texts share."""
-    kept, index = [], {}
-    for text in texts:
-        rare = {w for w in _words(text) if w not in good}
-        same = Counter(i for w in rare for i in index.get(w, ()))
-        if same and (n := max(same.values())) >= least and 2 * n > len(rare):
-            continue
-        for w in rare:
-            index.setdefault(w, []).append(len(kept))
-        kept.append(text)
-    return kept
-
-
-def train_pair(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """(toxic, ordinary) dictionaries: the ordinary one from windows of ordinary texts; the toxic one from the windows of
-    toxic texts that ordinary texts do not explain, as most of a toxic text is ordinary as well."""
-    count = lambda texts: Counter(w for t in texts for w in _words(t))
-    good = count(ordinary)
-    toxic = _apart(list(dict.fromkeys(toxic)), good)
-    bad = count(toxic)
-    chosen = sorted((n, w) for w, n in bad.items() if n >= RECURS and n / len(toxic) >= LIFT * (good[w] + 0.5) / len(ordinary))
-    size, kept = 0, []
-    for n, w in reversed(chosen):  # the most widely shared ones, as many as the dictionary holds
-        size += len(w) + 2
-        if size > TOXIC_BYTES:
-            break
-        kept.append((n, w))
-    usual = sorted((n, w) for w, n in good.items() if n >= RECURS)
-    return _train([_framed(w) for n, w in reversed(kept) for _ in range(n)], TOXIC_BYTES), _train([_framed(w) for n, w in usual for _ in range(min(n, 50))], ORDINARY_BYTES)
+def train_pair(toxic: list[str], ordinary: list[str], unseen: list[str]) -> tuple[bytes, bytes]:
+    """(toxic, ordinary) dictionaries. ``unseen`` are ordinary texts that neither is trained on."""
+    draw = np.random.default_rng(1)
+
+    def stacked(texts: list[str]) -> list[bytes]:
+        some = [w for t in texts for w in windows(t)]
+        return some if len(some) <= TRAIN_WINDOWS else [some[i] for i in draw.permutation(len(some))[:TRAIN_WINDOWS].tolist()]
 
+    common = _train(stacked(ordinary[::2]), COMMON_BYTES)
+    ordinary_pair = _train(stacked(ordinary[1::2]), OWN_BYTES) + common
+    usual = Lengths(ordinary_pair)
+    halves, others = [stacked(toxic[::2]), stacked(toxic[1::2])], stacked(unseen)
+    lengths, other_lengths = list(map(usual, halves)), usual(others)
+    chosen = halves
+    for _ in range(ROUNDS):
+        trained = [Lengths(_train(part, OWN_BYTES) + common) for part in chosen]
+        chosen = []
+        for half, length, across in zip(halves, lengths, reversed(trained)):
+            limit = np.quantile(other_lengths - across(others), USUAL) if others else 0
+            chosen.append([half[i] for i in np.flatnonzero(length - across(half) > limit).tolist()])
+    return _train(chosen[0] + chosen[1], OWN_BYTES) + common, ordinary_pair
 
-def features(text: str | None, distance: Distance, thresholds: np.ndarray) -> list[float]:
-    """The three largest distances, log(1 + windows beyond) per threshold, log(1 + windows)."""
-    far = distance(_words(text))
-    top = np.sort(np.concatenate((np.full(3, -1.0), np.partition(far, -3)[-3:] if len(far) > 3 else far)))[-3:]
-    return [*top, *np.log1p((far[:, None] >= thresholds).sum(0)), np.log1p(len(far))]
+
+def features(far: np.ndarray, thresholds: np.ndarray) -> list[float]:
+    """Of a text's distances: the three largest, log(1 + number) and share beyond each threshold, mean, log(1 + windows)."""
+    top = np.sort(np.concatenate((np.full(3, -9.0), far)))[-3:]
+    beyond = (far[:, None] > thresholds).sum(0)
+    return [*top, *np.log1p(beyond), *(beyond / max(1, len(far))), far.mean() if len(far) else 0.0, np.log1p(len(far))]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-1, steps: int = 60) -> np.ndarray:
@@ -146,22 +135,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-1, steps: int = 60
 
 
 def calibrate(toxic: list[str], ordinary: list[str]) -> dict | None:
-    """Dictionaries from three fifths of the texts, thresholds and logistic weights from the others."""
+    """Dictionaries from three fifths of the texts, thresholds and logistic weights from the others. Equal texts count once."""
+    toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
     if not toxic or not ordinary:
         return None
     part = lambda rows, own: [t for i, t in enumerate(rows) if (i % 5 < 3) == own] or rows
-    pair = train_pair(part(toxic, True), part(ordinary, True))
-    distance = Distance(pair)
     bad, good = part(toxic, False), part(ordinary, False)
-    near = np.concatenate([np.zeros(1), *(distance(_words(t)) for t in good)])
-    thresholds = np.unique(np.quantile(near, [1 - t for t in TAILS])) + 1e-9
-    x = np.array([features(t, distance, thresholds) for t in bad + good])
+    pair = train_pair(part(toxic, True), part(ordinary, True), good[::2])
+    distance = Distance(pair)
+    bad_far, good_far = list(map(distance, bad)), list(map(distance, good))
+    thresholds = np.unique(np.quantile(np.concatenate([np.zeros(1), *good_far]), WITHIN))
+    x = np.array([features(far, thresholds) for far in bad_far + good_far])
     y = np.r_[np.ones(len(bad)), np.zeros(len(good))]
     middle, spread = x.mean(0), x.std(0) + 1e-9
     return {"pair": pair, "thresholds": thresholds, "middle": middle, "spread": spread, "weights": _logistic((x - middle) / spread, y)}
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = 6_000, ordinary_docs: int = 6_000, label_chars: int = 120_000_000) -> dict | None:
+def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = 6_000, ordinary_docs: int = 6_000, label_chars: int = 24_000_000) -> dict | None:
     """Fit on a bounded sample of labelled rows: ids whose hash is among the lowest fraction that gives about so many of each
     label, and fewer where their whole texts hold more than about ``label_chars`` code points. Repeated labels of an id count as toxic if any is;
     null labels and texts are left out. None if a label has no row."""
@@ -175,31 +165,31 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = 6_000, ordinary_do
     sample = lambda ids: docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
     chars = {r["toxic"]: r["n"] for r in sample(chosen).groupBy("toxic").agg(F.sum(F.char_length("text")).alias("n")).collect()}
     part = {y: min(1, most / n[y]) * min(1, label_chars / max(1, chars.get(y) or 0)) for y, most in ((0, ordinary_docs), (1, toxic_docs))}
-    rows = sample(chosen.where((F.col("toxic") == 1) & (draw < part[1]) | (F.col("toxic") == 0) & (draw < part[0]))).select("doc_id", "toxic", "text").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
-    return calibrate(rows.loc[rows["toxic"] == 1, "text"].tolist(), rows.loc[rows["toxic"] == 0, "text"].tolist())
+    rows = sample(chosen.where((F.col("toxic") == 1) & (draw < part[1]) | (F.col("toxic") == 0) & (draw < part[0]))).select("doc_id", "toxic", "text").collect()
+    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows)
+    return calibrate([t for _, t, toxic in rows if toxic == 1], [t for _, t, toxic in rows if toxic == 0])
 
 
 def predict(texts: list[str | None], model: dict, distance: Distance) -> np.ndarray:
-    x = (np.array([features(t, distance, model["thresholds"]) for t in texts]).reshape(len(texts), -1) - model["middle"]) / model["spread"]
+    x = (np.array([features(distance(t), model["thresholds"]) for t in texts]).reshape(len(texts), -1) - model["middle"]) / model["spread"]
     return 1 / (1 + np.exp(-np.clip(x @ model["weights"][:-1] + model["weights"][-1], -30, 30)))
 
 
 def score(docs: DataFrame, model: dict | None, threshold: float = 0.7) -> DataFrame:
-    """doc_id, score, predicted of every row (only doc_id and text are used). Null and empty texts have no window and get
-    the score of a text without any; without a model all scores are 0. Whole texts, in pieces of bounded size."""
+    """doc_id, score, predicted of every row (only doc_id and text are used; ids of any type pass through untouched). Null and
+    empty texts have no window and get the score of a text without any; without a model all scores are 0. Texts are read whole."""
     rows = docs.select("doc_id", "text")
     if model is None:
         return rows.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance = Distance(shared.value["pair"])
         for batch in batches:
-            value = predict(batch["text"].tolist(), shared.value, distance) if len(batch) else np.zeros(0)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": value, "predicted": (value >= threshold).astype(np.int32)})
+            value = predict(batch.column("text").to_pylist(), shared.value, distance) if len(batch) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(value, pa.float64()), pa.array((value >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return rows.mapInPandas(run, "doc_id long, score double, predicted int")
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def held_out_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:

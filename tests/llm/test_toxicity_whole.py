@@ -21,9 +21,31 @@ def test_fit_draws_fewer_whole_texts_where_they_are_long(spark, monkeypatch):
     assert 20 < len(seen["toxic"]) < 80 and {len(t) for t in seen["toxic"]} == {500}
 
 
-def test_a_word_counts_once_in_all_slices_of_a_text():
-    distance = toxicity.Distance((b"vileword", b"nice words only"))
-    text, long = "vileword plain other", ("plain other " * 100_000 + "vileword ") * 3
-    assert len(long) > 3 * toxicity.PIECE
-    thresholds = np.array([0.0])
-    assert toxicity.features(long, distance, thresholds) == toxicity.features(text, distance, thresholds)
+def test_windows_cover_every_word_of_a_text_in_order():
+    text = "One, two-three FOUR! " + "x" * 150 + " end " + "word " * 5_000
+    words = b" ".join(toxicity.windows(text)).split()
+    assert words[:4] == [b"one", b"two", b"three", b"four"] and b"".join(words[4:7]) == b"x" * 150 and words[7:] == [b"end"] + [b"word"] * 5_000
+    assert toxicity.windows(None) == toxicity.windows("") == toxicity.windows("... !") == []
+
+
+def test_distances_equal_windows_compressed_one_by_one():
+    pair = b" vileword other ", b" nice words only "
+    texts = ["a vileword here and nice words there", "", None, "words " * 100]
+    for text in texts:
+        want = []
+        for w in toxicity.windows(text):
+            toxic, ordinary = (toxicity.Lengths(raw).compressor.compress(w + toxicity._TAIL) for raw in pair)
+            want.append(len(ordinary) - len(toxic))
+        assert toxicity.Distance(pair)(text).tolist() == want
+    assert toxicity.Distance(pair)("vileword other").max() > 0 > toxicity.Distance(pair)("nice words").min()
+
+
+def test_edge_rows_with_a_fitted_model(spark):
+    rng = np.random.default_rng(3)
+    plain = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(300)]
+    text = lambda i: " ".join(rng.choice(plain, 60)) + (" grimvoc blastrag" * 6 if i % 2 else "")
+    model = toxicity.calibrate([text(1) for _ in range(60)], [text(0) for _ in range(120)])
+    rows = [(1, text(1)), (1, text(1)), (2, text(0)), (2**60 + 1, ""), (2**60 + 3, None), (None, text(0)), (4, text(0) * 400)]
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert [r["doc_id"] for r in got] == [i for i, _ in rows] and all(0 <= r["score"] <= 1 for r in got)
+    assert [r["predicted"] for r in got[:3]] == [1, 1, 0] and got[3]["score"] == got[4]["score"]
