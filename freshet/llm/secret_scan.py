@@ -1,10 +1,11 @@
 """Secret scans with Spark's own functions: fixed patterns and a randomness test battery.
 
 Base spans are the leftmost non-overlapping matches of three patterns. The battery looks at long runs of token characters:
-it infers a run's encoding from its characters, tests its symbols for uniformity (chi-squared), for runs above and below the
-middle and for serial correlation, and keeps runs that no test tells from random ones. Whether ordinary writing could look as
-even is judged by the run's coincidences; those p-values are held to a false-discovery rate within each class of length, as
-short runs have weak evidence. Nothing here is Python on the executors.
+it infers a run's encoding from its characters and tests its symbols for uniformity (chi-squared), for runs above and below the
+middle and for serial correlation. Within each class of length, as short runs have weak evidence, the battery's p-values are
+held to a false-discovery rate: a run whose randomness they reject is no secret. Whether ordinary writing could look as even is
+judged by the run's coincidences, under such a rate too. Nothing here is Python on the executors, and the work on a text grows
+with its length and the number of its runs, not with their product.
 """
 
 from __future__ import annotations
@@ -19,7 +20,11 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Stands for each code point of a base span when candidates are looked for; a run beside it is no candidate.
+FILL = "\uffff"
+CANDIDATE = f"(?<![A-Za-z0-9+/_={FILL}-])[A-Za-z0-9+/_=-]{{20,}}+(?!{FILL})"
+#: Elements that running sums append to one by one.
+CHUNK = 256
 #: Lower ends of the length classes; each has its own false-discovery control.
 CLASSES = (20, 28, 40, 64)
 #: Resolution of the histogram of p-values: bins per power of ten, and the last bin.
@@ -27,30 +32,63 @@ BINS, LAST_BIN = 10, 300
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 
+_SPANS = "array<struct<start:int,end:int,kind:string,token:string>>"
+
+
+def running(values: Column) -> Column:
+    """Running sums of an array of whole numbers, by chunks, as appending to an array copies it."""
+    last = lambda v: F.coalesce(F.get(v, F.size(v) - 1), F.lit(0))
+    none = F.expr("array()").cast("array<int>")
+    grown = lambda state, x: F.array_append(state, last(state) + x)
+
+    def chunked(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int")), lambda k: F.aggregate(F.slice(v, k * CHUNK + 1, F.lit(CHUNK)), none, grown))
+
+    def joined(chunks: Column) -> Column:
+        before = F.aggregate(chunks, F.array(F.lit(0)), lambda state, c: grown(state, last(c)))
+        return F.flatten(let(before, lambda lows: F.transform(chunks, lambda c, i: let(F.get(lows, i), lambda low: F.transform(c, lambda x: x + low)))))
+
+    return F.when(F.size(values) > 0, let(let(values, chunked), joined)).otherwise(none)
+
+
+def _parts(text: Column, pattern: str, grouped: bool) -> Column:
+    """array<struct<piece, match, group>>: the pattern's matches with the piece of text before each and their first group."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    group = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if grouped else found
+    parts = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("piece"), found.alias("match"), group.alias("group"))
+    return parts.cast("array<struct<piece:string,match:string,group:string>>")
+
+
 def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
     """array<struct<start, end, kind, token>> of the pattern's matches; ``keep`` filters on the first group. Matches and the
-    pieces between them alternate, so their lengths give the positions."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    group = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if keep else found
-    pieces = F.split(text, pattern, -1)
-    none = F.expr("array()").cast("array<struct<start:int,end:int,kind:string,token:string>>")
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    pieces between them alternate, so running sums of their lengths give the positions."""
+
+    def placed(parts: Column) -> Column:
+        ends = running(F.transform(parts, lambda p: F.char_length(p["piece"]) + F.char_length(p["match"])))
+        return F.zip_with(parts, ends, lambda p, end: F.struct((end - F.char_length(p["match"])).alias("start"), end.alias("end"), F.lit(kind).alias("kind"), p["group"].alias("token")))
+
+    spans = let(_parts(text, pattern, keep is not None), placed)
+    return (F.filter(spans, lambda s: keep(s["token"])) if keep else spans).cast(_SPANS)
 
-    def step(state: Column, part: Column) -> Column:
-        start = state["at"] + F.char_length(part["piece"])
-        end = start + F.char_length(part["match"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), part["group"].alias("token"))
-        return F.struct(end.alias("at"), F.array_append(state["out"], span).alias("out"))
 
-    parts = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("piece"), found.alias("match"), group.alias("group"))
-    parts = parts.cast("array<struct<piece:string,match:string,group:string>>")
-    spans = F.aggregate(parts, zero, step, lambda state: state["out"])
-    return F.when(F.size(found) > 0, F.filter(spans, lambda s: keep(s["token"])) if keep else spans).otherwise(none)
+def _filled(text: Column, pattern: str, keep=None) -> Column:
+    """The text with each code point of the pattern's matches (of which ``keep`` filters on the first group) as FILL."""
+    over = lambda p: F.repeat(F.lit(FILL), F.char_length(p["match"]))
+    piece = lambda p: F.concat(p["piece"], F.when(keep(p["group"]), over(p)).otherwise(p["match"]) if keep else over(p))
+    rest = F.element_at(F.split(text, pattern, -1), -1)
+    return F.when(F.regexp_like(text, F.lit(pattern)), F.concat(F.array_join(F.transform(_parts(text, pattern, keep is not None), piece), ""), rest)).otherwise(text)
+
+
+def candidates(text: Column) -> Column:
+    """Spans of runs of 20 token characters or more that touch no base span. A base span that another one cuts ends beside
+    filled code points, where no run is a candidate either."""
+    free = let(let(_filled(text, ASSIGN, lambda t: F.char_length(t) >= 12), lambda t: _filled(t, ACCESS)), lambda t: _filled(t, HEX))
+    return F.when(F.regexp_like(text, F.lit(r"[A-Za-z0-9+/_=-]{20}")), let(free, lambda t: _spans(t, CANDIDATE, "random"))).otherwise(F.expr("array()").cast(_SPANS))
 
 
 def base_spans(text: Column) -> Column:
     """Spans of the fixed patterns by start, then kind as listed. Cheap tests come first: few texts need the parsing."""
-    none = F.expr("array()").cast("array<struct<start:int,end:int,kind:string,token:string>>")
+    none = F.expr("array()").cast(_SPANS)
     lowered = F.lower(text)
     words = F.lit(False)
     for w in ("password", "passwd", "secret", "token", "apikey", "api_key"):
@@ -137,9 +175,8 @@ def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, text and, per row, ``base`` spans and ``runs`` (spans of candidate runs outside them, with their p-values)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("*", text.alias("__t"))
-    rows = rows.select("*", base_spans(F.col("__t")).alias("base"), F.when(F.regexp_like("__t", F.lit(CANDIDATE)), _spans(F.col("__t"), CANDIDATE, "random")).alias("__c"))
-    outside = F.filter(F.coalesce("__c", F.expr("array()").cast("array<struct<start:int,end:int,kind:string,token:string>>")), lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    tested = F.transform(outside, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), battery(c["token"]).alias("p")))
+    rows = rows.select("*", base_spans(F.col("__t")).alias("base"), candidates(F.col("__t")).alias("__c"))
+    tested = F.transform("__c", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), battery(c["token"]).alias("p")))
     return rows.select("*", F.filter(tested, lambda c: c["p"].isNotNull()).alias("runs")).drop("__c", "__t")
 
 
@@ -154,10 +191,10 @@ def _bin(p: Column) -> Column:
     return F.least(F.floor(-F.log10(p) * BINS), F.lit(LAST_BIN)).cast("int")
 
 
-def discoveries(rows: DataFrame, rate: float) -> dict[int, int]:
-    """Per length class, the lowest bin of p-values that Benjamini and Hochberg's rule accepts. A histogram over all runs of
-    the corpus, classes x bins rows, is all that reaches the driver; a bin counts with its largest p, so the rate holds."""
-    each = rows.select(F.explode("runs.p").alias("p")).select(_class(F.col("p.length")).alias("k"), _bin(F.col("p.p_writing")).alias("bin"))
+def discoveries(rows: DataFrame, p: str, rate: float) -> dict[int, int]:
+    """Per length class, the lowest bin of the runs' p-values ``p`` that Benjamini and Hochberg's rule rejects. A histogram over all runs
+    of the corpus, classes x bins rows, is all that reaches the driver; a bin counts with its largest p, so the rate holds."""
+    each = rows.select(F.explode("runs.p").alias("p")).select(_class(F.col("p.length")).alias("k"), _bin(F.col(f"p.{p}")).alias("bin"))
     counts = each.groupBy("k", "bin").agg(F.count("*").alias("n"))
     total, upto = Window.partitionBy("k"), Window.partitionBy("k").orderBy(F.col("bin").desc())
     held = counts.select("k", "bin", F.sum("n").over(total).alias("m"), F.sum("n").over(upto).alias("r"))
@@ -165,15 +202,21 @@ def discoveries(rows: DataFrame, rate: float) -> dict[int, int]:
     return {r["k"]: r["bin"] for r in passed.groupBy("k").agg(F.min("bin").alias("bin")).collect()}
 
 
-def _found(limits: dict[int, int], level: float) -> Column:
-    """Spans of the accepted runs."""
+def _limits(rows: DataFrame, rate: float, level: float) -> tuple[dict[int, int], dict[int, int]]:
+    """Of the battery's p-values and of those of ordinary writing."""
+    return discoveries(rows, "p_random", level), discoveries(rows, "p_writing", rate)
+
+
+def _found(limits: tuple[dict[int, int], dict[int, int]]) -> Column:
+    """Spans of the runs whose randomness the battery does not reject and that ordinary writing does not explain."""
 
-    def good(c: Column) -> Column:
+    def rejected(c: Column, p: str, lows: dict[int, int]) -> Column:
         least = F.lit(LAST_BIN + 1)
-        for k, low in limits.items():
+        for k, low in lows.items():
             least = F.when(_class(c["p"]["length"]) == k, low).otherwise(least)
-        return (c["p"]["p_random"] >= level) & (_bin(c["p"]["p_writing"]) >= least)
+        return _bin(c["p"][p]) >= least
 
+    good = lambda c: ~rejected(c, "p_random", limits[0]) & rejected(c, "p_writing", limits[1])
     return F.transform(F.filter("runs", good), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit("random").alias("kind")))
 
 
@@ -186,11 +229,11 @@ def _by_start(spans: Column) -> Column:
 def scan(docs: DataFrame, rate: float = 0.01, level: float = 0.001) -> DataFrame:
     """doc_id, base, spans (arrays of start, end, kind; code points, end exclusive) of every row.
 
-    ``rate``: false-discovery rate within a length class. ``level``: the battery's p below which a run is not random.
+    ``rate``: false-discovery rate of writing rejected, ``level``: that of randomness rejected, within a length class.
     A null or empty text has no span. Repeated rows are scanned alike, other columns ignored, texts read whole.
     """
     rows = cut(scanned(docs.select("doc_id", "text")).drop("text"))
-    return rows.select("doc_id", "base", _by_start(F.concat("base", _found(discoveries(rows, rate), level))).alias("spans"))
+    return rows.select("doc_id", "base", _by_start(F.concat("base", _found(_limits(rows, rate, level)))).alias("spans"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -203,8 +246,8 @@ def digest(docs: DataFrame) -> DataFrame:
 def mask(docs: DataFrame, rate: float = 0.01, level: float = 0.001, by: str = "[SECRET]") -> DataFrame:
     """The documents with every span (overlapping ones together) replaced by ``by``, and n_chars, where there is such a
     column, counted again in changed rows. No row is dropped."""
-    limits = discoveries(cut(scanned(docs.select("text")).select("runs")), rate)
-    rows = scanned(docs).withColumn("__spans", _by_start(F.concat("base", _found(limits, level))))
+    rows = cut(scanned(docs.select("text", F.struct("*").alias("__row"))))  # texts are scanned once
+    rows = rows.withColumn("__spans", _by_start(F.concat("base", _found(_limits(rows, rate, level)))))
 
     def step(state: Column, s: Column) -> Column:
         between = F.substr(F.col("text"), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
@@ -213,6 +256,7 @@ def mask(docs: DataFrame, rate: float = 0.01, level: float = 0.001, by: str = "[
 
     clean = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substr(F.col("text"), s["at"] + 1)))
     hit = F.size("__spans") > 0
-    rows = rows.withColumn("__new", F.when(hit, clean).otherwise(F.col("text")))
-    out = {"text": F.col("__new"), "n_chars": F.when(hit, F.char_length("__new").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return rows.select(*[out[c].alias(c) if out.get(c) is not None else F.col(c) for c in docs.columns])
+    new = F.when(F.size("__spans") > 0, clean).otherwise(F.col("text"))
+    rows = rows.withColumn("__new", new)
+    out = {"text": F.col("__new"), "n_chars": F.when(F.size("__spans") > 0, F.char_length("__new").cast("long")).otherwise(F.col("__row.n_chars")) if "n_chars" in docs.columns else None}
+    return rows.select(*[out[c].alias(c) if out.get(c) is not None else F.col("__row").getField(c).alias(c) for c in docs.columns])

@@ -1,0 +1,61 @@
+import random
+import re
+import time
+
+from pyspark.sql import functions as F
+
+from freshet.llm import secret_scan
+
+ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base(text):
+    found = [(m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    found += [(m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    return found + [(m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+
+
+def test_candidates_are_the_long_runs_that_overlap_no_base_span(spark):
+    rng = random.Random(5)
+    bits = ["token=", "api_key = ", "AKIA", "abcdef0123456789", "ABCDEFGH12345678", " ", "é", "\n", "zZ9-", "plainwordplainword", "password:'short'", "QWERTYUIOPASDFGHJKLZ", "secret=", "x/y+z=", "0a1b2c3d"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(600)] + ["", "A" * 20, "A" * 19]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", secret_scan.candidates(F.col("text")).alias("c")).collect()
+    for r in rows:
+        text = texts[r["i"]]
+        want = [m.span() for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text) if not any(a < m.end() and m.start() < b for a, b in base(text))]
+        assert [(c["start"], c["end"]) for c in r["c"]] == want, text
+
+
+def test_running_sums(spark):
+    values = [list(range(n)) for n in (0, 1, secret_scan.CHUNK, secret_scan.CHUNK + 1, 3 * secret_scan.CHUNK + 7)]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v array<int>").select("i", secret_scan.running(F.col("v")).alias("s")).collect()
+    for r in got:
+        assert r["s"] == [sum(values[r["i"]][: k + 1]) for k in range(len(values[r["i"]]))]
+
+
+def test_a_text_of_many_runs_takes_seconds(spark):
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(16_000))
+    began = time.time()
+    row = secret_scan.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["n_hex"] == 16_000 and row["spans"].endswith(f"hex:{len(text) - 32}:{len(text)}") and time.time() - began < 40
+
+
+def test_rejections_equal_benjamini_and_hochberg_on_the_bins(spark):
+    rng = random.Random(7)
+    p = [10 ** -rng.uniform(0, 9) if i % 3 else rng.random() for i in range(900)]
+    rows = spark.createDataFrame([([{"p": {"p_random": x, "p_writing": 1.0, "length": 20 + 50 * (i % 2)}}],) for i, x in enumerate(p)], "runs array<struct<p:struct<p_random:double,p_writing:double,length:int>>>")
+    got = secret_scan.discoveries(rows, "p_random", 0.01)
+    import math
+
+    for k, own in ((0, p[0::2]), (3, p[1::2])):
+        bins = sorted(min(math.floor(-math.log10(x) * secret_scan.BINS), secret_scan.LAST_BIN) for x in own)
+        passed = [b for b in set(bins) if 10 ** (-b / secret_scan.BINS) <= 0.01 * sum(c >= b for c in bins) / len(bins)]
+        assert got[k] == min(passed)
+    assert secret_scan.discoveries(rows, "p_writing", 0.01) == {}
+
+
+def test_mask_keeps_columns_of_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "token=abcdefgh12345678", 5, "runs", 2), (2, None, None, None, None)], "doc_id long, text string, base int, runs string, n_chars long")
+    got = secret_scan.mask(rows).orderBy("doc_id").collect()
+    assert got[0].asDict() == {"doc_id": 1, "text": "[SECRET]", "base": 5, "runs": "runs", "n_chars": 8} and list(got[1]) == [2, None, None, None, None]
