@@ -1,14 +1,17 @@
 """Approximate nearest neighbours with balanced posting lists.
 
-Equal vectors are one class. Largest inner product becomes nearest point by one more coordinate. Centroids of a bounded
+Equal vectors are one class. Largest inner product becomes nearest point by one more coordinate, within levels of length so
+that a few very long vectors do not hide the differences of the others. In each level centroids of a bounded
 sample, balanced in size, are linked to a neighbour graph that is broadcast. Every class vector is written to the list of its
 nearest centroid and, near a boundary, of several; a query walks the graph to its nearest centroids and reads the lists whose
-distance ratio to the nearest is small enough. Lists meet queries in a join by list and block, and scores are exact.
+distance ratio to the nearest is small enough. Lists meet queries in a join by list and block, and scores are exact. A query whose
+lists hold too few answers is held against all rows, in blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from freshet.llm.common import cut
+from freshet.llm.common import cut, let
 
 #: Rows of the sample the centroids are fitted on, and members aimed at per list.
 SAMPLE, LIST = 20_000, 96
@@ -26,6 +29,8 @@ COPIES, BOUNDARY = 4, 1.15
 #: Lists a query may read, and the same ratio for them.
 PROBES, PRUNE = 96, 2.0
 DEGREE, BEAM = 24, 128
+#: A level ends at so many times the length that 99 of 100 vectors of it do not exceed; longer ones are the next level's.
+LEVEL = 4.0
 #: Vectors of a list that are compared in one group.
 BLOCK = 512
 
@@ -128,28 +133,56 @@ def _first_members(rows: DataFrame, keep: int) -> DataFrame:
     return some.withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy("vec_id"))).where(F.col("i") <= keep).drop("i")
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, lists: int | None = None) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row whose vec_id is divisible by ``every`` the k nearest others found.
+def _levels(rep: DataFrame) -> list[tuple[float, float, int]]:
+    """(length above which, up to which, number of classes) of each level; each has less than a hundredth of those before it."""
+    levels, low = [], 0.0
+    while True:
+        rest = rep.where(F.col("norm") > low)
+        n, most, usual = rest.agg(F.count("*"), F.max("norm"), F.percentile_approx("norm", 0.99, 1000)).first()
+        if not n:
+            return levels
+        high = most if most / usual <= LEVEL else usual * LEVEL
+        levels.append((low, high, rest.where(F.col("norm") <= high).count()))
+        low = high
 
-    Vectors are classed by value, so ties by id and repeats are exact: of a class only the k + 1 smallest ids can be answers.
-    Rows that take no part neither ask nor answer. Fewer than k candidates: all of them. Repeated vec_ids are rows of their
-    own, and a query leaves out every row with its id. The sample bounds the fit; every vector is indexed.
-    """
-    rows = cut(valid(vectors))
-    rep = rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-    rep = cut(rep.withColumn("norm", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
-    n, most = rep.agg(F.count("*"), F.max("norm")).first()
-    out = "query_id long, rank int, vec_id long, score double"
-    if not n:
-        return vectors.sparkSession.createDataFrame([], out)
+
+def _meet(k: int):
+    """The k + 1 best of a block for each query that comes to it; a score that is no number counts as the least."""
+
+    def meet(key, ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+        if ask.empty or have.empty:
+            return pd.DataFrame({"q": pd.Series(dtype="int64"), "rep": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})
+        v, ids = np.stack(have["v"].to_numpy()), have["rep"].to_numpy()
+        found = []
+        for at in range(0, len(ask), 2048):
+            some = ask.iloc[at : at + 2048]
+            with np.errstate(all="ignore"):
+                score = np.stack(some["v"].to_numpy()) @ v.T
+            score[np.isnan(score)] = -np.inf
+            m = min(k + 1, len(ids))
+            order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :m]
+            found.append(pd.DataFrame({"q": np.repeat(some["rep"].to_numpy(), m), "rep": ids[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()}))
+        return pd.concat(found)
+
+    return meet
+
+
+def _scored(rep: DataFrame, asking: DataFrame, level: tuple[float, float, int], k: int, lists: int | None) -> DataFrame:
+    """q, rep, score of what the queries find in one level."""
+    low, high, n = level
+    rep = rep.where((F.col("norm") > low) & (F.col("norm") <= high)).select("rep", "v")
     rate = min(1.0, SAMPLE / n)
     fit = rep.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < rate * 1_000_000).select("rep", "v").orderBy("rep").toPandas()
     if fit.empty:
-        fit = rep.select("rep", "v").limit(1).toPandas()
-    lifted = lambda x: np.hstack([x, np.sqrt(np.maximum(most - (x * x).sum(1), 0))[:, None]])
+        fit = rep.limit(1).toPandas()
+
+    def lifted(x: np.ndarray) -> np.ndarray:
+        x = x / high
+        return np.hstack([x, np.sqrt(np.maximum(1 - (x * x).sum(1), 0))[:, None]])
+
     points = lifted(np.stack(fit["v"].to_numpy()))
     count = max(1, min(MAX_LISTS, len(points) // 4, lists or -(-n // LIST)))
-    graph = vectors.sparkSession.sparkContext.broadcast(Graph(_balanced(points, count, np.random.default_rng(7))))
+    graph = rep.sparkSession.sparkContext.broadcast(Graph(_balanced(points, count, np.random.default_rng(7))))
 
     def place(batches: Iterator[pd.DataFrame], asks: bool) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -157,7 +190,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, lists: int | None =
                 some = batch.iloc[at : at + 1024]
                 x = np.stack(some["v"].to_numpy())
                 if asks:  # a query's direction decides: bring it to the sphere the points lie on
-                    x = np.hstack([x * np.sqrt(most / (x * x).sum(1))[:, None], np.zeros((len(x), 1))])
+                    x = x / np.abs(x).max(1, keepdims=True)
+                    x = np.hstack([x / np.sqrt((x * x).sum(1))[:, None], np.zeros((len(x), 1))])
                 else:
                     x = lifted(x)
                 ids, far = graph.value.search(x, PROBES if asks else COPIES)
@@ -166,35 +200,53 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, lists: int | None =
                 yield pd.DataFrame({"rep": some["rep"].to_numpy()[r], "list": ids[r, c], "v": some["v"].to_numpy()[r]})
 
     shape = "rep long, list int, v array<double>"
-    posted = cut(rep.select("rep", "v").mapInPandas(lambda b: place(b, False), shape))
+    posted = cut(rep.mapInPandas(lambda b: place(b, False), shape))
     parts = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    asking = rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("v").agg(F.count("*").alias("asked")).join(rep.select("v", "rep"), "v").select("rep", "v")
     probes = asking.mapInPandas(lambda b: place(b, True), shape)
     small = F.broadcast(parts)  # a row per list, MAX_LISTS at most
     held = posted.join(small, "list").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).select("list", "part", "rep", "v")
     sent = probes.join(small, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "rep", "v")
+    return sent.groupBy("list", "part").cogroup(held.groupBy("list", "part")).applyInPandas(_meet(k), "q long, rep long, score double")
 
-    def meet(key, ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        if ask.empty or have.empty:
-            return pd.DataFrame({"q": pd.Series(dtype="int64"), "rep": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})
-        v, ids = np.stack(have["v"].to_numpy()), have["rep"].to_numpy()
-        found = []
-        for at in range(0, len(ask), 2048):
-            some = ask.iloc[at : at + 2048]
-            score = np.stack(some["v"].to_numpy()) @ v.T
-            m = min(k + 1, len(ids))
-            order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :m]
-            found.append(pd.DataFrame({"q": np.repeat(some["rep"].to_numpy(), m), "rep": ids[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()}))
-        return pd.concat(found)
 
-    scored = sent.groupBy("list", "part").cogroup(held.groupBy("list", "part")).applyInPandas(meet, "q long, rep long, score double")
-    best = scored.groupBy("q", "rep").agg(F.max("score").alias("score"))
+def search(vectors: DataFrame, every: int = 20, k: int = 20, lists: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row whose vec_id is divisible by ``every`` the k nearest others found.
+
+    Vectors are classed by value, so ties by id and repeats are exact: of a class only the k + 1 smallest ids can be answers.
+    Rows that take no part neither ask nor answer. Fewer than k candidates: all of them. Repeated vec_ids are rows of their
+    own, and a query leaves out every row with its id. The sample bounds the fit; every vector is indexed. Components may be
+    as large as a double holds; an overflowing score is infinite.
+    """
+    rows = cut(valid(vectors))
+    rep = rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    largest = F.array_max(F.transform("v", F.abs))
+    rep = rep.withColumn("norm", let(largest, lambda m: m * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / m) * (x / m)))))
+    rep = cut(rep.withColumn("norm", F.least("norm", F.lit(1.7e308))))
+    levels = _levels(rep)
+    out = "query_id long, rank int, vec_id long, score double"
+    if not levels:
+        return vectors.sparkSession.createDataFrame([], out)
+    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
+    asking = cut(asked.select("v").distinct().join(rep.select("v", "rep"), "v").select("rep", "v"))
+    scored = [_scored(rep, asking, level, k, lists) for level in levels]
+    scored = cut(reduce(DataFrame.unionByName, scored).groupBy("q", "rep").agg(F.max("score").alias("score")))
+    # a query needs as many answers as there are, and k + 1 at most, its own class among them
+    found = scored.join(rep.select("rep", "n"), "rep").groupBy("q").agg(F.sum("n").alias("found"))
+    few = asking.join(found, asking["rep"] == found["q"], "left").where(F.coalesce("found", F.lit(0)) < min(rows.count(), k + 1)).select("rep", "v")
+    few = cut(few)
+    if not few.isEmpty():
+        n = sum(size for _, _, size in levels)
+        parts = -(-n // (8 * BLOCK))
+        held = rep.select("rep", "v", F.pmod(F.xxhash64("rep"), F.lit(parts)).alias("part"))
+        sent = few.select("rep", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+        more = sent.groupBy("part").cogroup(held.groupBy("part")).applyInPandas(_meet(k), "q long, rep long, score double")
+        scored = scored.unionByName(more).groupBy("q", "rep").agg(F.max("score").alias("score"))
     top = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
-    best = best.withColumn("i", F.row_number().over(top)).where(F.col("i") <= k + 1).drop("i")
+    best = scored.withColumn("i", F.row_number().over(top)).where(F.col("i") <= k + 1).drop("i")
     each = best.join(_first_members(rows.join(rep.select("v", "rep"), "v").select("rep", "vec_id"), k + 1), "rep")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     answers = each.withColumn("i", F.row_number().over(order)).where(F.col("i") <= 2 * k + 2).select("q", "vec_id", "score")
-    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).join(rep.select("v", "rep"), "v").select(F.col("vec_id").alias("query_id"), F.col("rep").alias("q"))
+    queries = asked.join(rep.select("v", "rep"), "v").select(F.col("vec_id").alias("query_id"), F.col("rep").alias("q"))
     final = queries.join(answers, "q").where("query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return final.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
