@@ -11,15 +11,23 @@ from pyspark.sql import Window
 
 #: ASCII white space as the contracts define words: space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a bucket that are ranked together.
+BUCKET_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir`` of the session, a local one only where it is unset."""
+    """The folder every executor sees: ``spark.checkpoint.dir`` of the session. Where it is unset a local one serves a local
+    master; on a cluster that is an error, as its machines do not see each other's folders."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = context._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="freshet-")
+        if known.isDefined():
+            folder = known.get()
+        elif context.master == "local" or context.master.startswith("local["):
+            folder = "file://" + tempfile.mkdtemp(prefix="freshet-")
+        else:
+            raise ValueError("spark.checkpoint.dir names no folder that all executors see")
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(folder)
     return folder
@@ -50,13 +58,14 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def exact_rank(df: DataFrame, keys: list[str], order: list[str], out: str, buckets: int = 64) -> DataFrame:
+def exact_rank(df: DataFrame, keys: list[str], order: list[str], out: str, rows: int = 0) -> DataFrame:
     """Gapless rank from 0 within ``keys``, without one task per key.
 
-    Rows of a key are dealt by a hash of the order columns over ``buckets`` buckets; a row's rank is the number of rows in
+    Rows of a key are dealt by a hash of the order columns over buckets, whose number grows with ``rows``; a row's rank is the number of rows in
     lower buckets (a table of keys x buckets rows) plus its row number within its own. Ties of all order columns get
     different ranks. Callers bound the number of distinct keys.
     """
+    buckets = max(64, -(-rows // BUCKET_ROWS))
     dealt = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     below = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = (
@@ -65,7 +74,8 @@ def exact_rank(df: DataFrame, keys: list[str], order: list[str], out: str, bucke
     )
     inside = Window.partitionBy(*keys, "__bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order])
     numbered = dealt.withColumn("__row", F.row_number().over(inside))
-    base = F.broadcast(base)  # distinct keys x buckets rows
+    if buckets <= 256:
+        base = F.broadcast(base)  # at most so many rows for each of the callers' few hundred keys
     on = [numbered[k].eqNullSafe(base[k]) for k in keys] + [numbered["__bucket"] == base["__bucket"]]
     return numbered.join(base, on, "left").select(
         *[numbered[c] for c in df.columns], (base["__base"] + numbered["__row"] - 1).cast("long").alias(out)

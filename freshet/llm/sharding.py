@@ -16,6 +16,8 @@ from freshet.llm.common import cut, exact_rank
 
 #: Share of a shard's quota that one piece of a group takes at most: a larger group is salted into pieces.
 PIECE = 0.5
+#: A group is hot if it has over one in so many of all rows: there are at most so many hot groups, and they are joined by broadcast.
+HOT = 1_000
 #: Moves are granted in the order of this many hash classes of groups, so that a group tends to move as a whole.
 TURNS = 64
 
@@ -31,16 +33,22 @@ def _grants(wanted: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[i
     return {k: n for k, n in grants.items() if n}
 
 
+def _targeted(state: DataFrame, target: DataFrame) -> DataFrame:
+    """The rows with their node's target. Rows of hot nodes are not shuffled to their node: its target is brought to them."""
+    hot = F.broadcast(target.where("hot").select("node", "target"))  # HOT groups in at most as many pieces as there are shards, and HOT more
+    return state.where("hot").join(hot, "node").unionByName(state.where("not hot").join(target.where("not hot").select("node", "target"), "node"))
+
+
 def propagate(linked: DataFrame, quotas: list[int], rounds: int = 8) -> DataFrame:
-    """uid, node (group piece), shard after label propagation of (uid, node, shard); shards x shards numbers reach the driver
-    each round."""
-    shards = len(quotas)
+    """uid, node (group piece), hot, shard after label propagation of (uid, node, hot, shard); shards x shards numbers reach the
+    driver each round."""
+    total = sum(quotas)
     state = linked
     for _ in range(rounds):
-        votes = state.groupBy("node", "shard").agg(F.count("*").alias("n"))
+        votes = state.groupBy("node", "hot", "shard").agg(F.count("*").alias("n"))
         # the shard with most of the piece; ties by a hash, so that pieces spread
-        target = votes.groupBy("node").agg(F.max(F.struct("n", F.xxhash64("node", "shard").alias("h"), "shard"))["shard"].alias("target"))
-        moves = state.join(target, "node").where("shard <> target").withColumn("turn", F.pmod(F.xxhash64("node"), F.lit(TURNS)).cast("int"))
+        target = votes.groupBy("node", "hot").agg(F.max(F.struct("n", F.xxhash64("node", "shard").alias("h"), "shard"))["shard"].alias("target"))
+        moves = _targeted(state, target).where("shard <> target").withColumn("turn", F.pmod(F.xxhash64("node"), F.lit(TURNS)).cast("int"))
         moves = cut(moves.select("uid", "node", "shard", "target", "turn"))
         wanted = {(r["shard"], r["target"]): r["n"] for r in moves.groupBy("shard", "target").agg(F.count("*").alias("n")).collect()}
         held = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
@@ -57,9 +65,9 @@ def propagate(linked: DataFrame, quotas: list[int], rounds: int = 8) -> DataFram
         part = turns.where("before < granted and before + n > granted").select("shard", "target", "turn", (F.col("granted") - F.col("before")).alias("rest"))
         # shards x shards x TURNS rows at most
         first = moves.join(F.broadcast(whole), ["shard", "target", "turn"], "left_semi").select("uid", F.col("target").alias("to"))
-        some = exact_rank(moves.join(F.broadcast(part), ["shard", "target", "turn"]), ["shard", "target"], ["node", "uid"], "rank").where("rank < rest").select("uid", F.col("target").alias("to"))
+        some = exact_rank(moves.join(F.broadcast(part), ["shard", "target", "turn"]), ["shard", "target"], ["node", "uid"], "rank", total).where("rank < rest").select("uid", F.col("target").alias("to"))
         go = first.unionByName(some)
-        state = cut(state.join(go, "uid", "left").select("uid", "node", F.coalesce("to", "shard").alias("shard")))
+        state = cut(state.join(go, "uid", "left").select("uid", "node", "hot", F.coalesce("to", "shard").alias("shard")))
     return state
 
 
@@ -79,14 +87,19 @@ def assign(docs: DataFrame, shards: int = 24, rounds: int = 8) -> DataFrame:
     total = slim.count()
     quotas = [total // shards + (i < total % shards) for i in range(shards)]
     piece = max(2, int(PIECE * (total // shards)))
-    sizes = slim.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
-    salted = slim.select("uid", "group").join(sizes, "group").select("uid", F.xxhash64("group", F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / piece))).alias("node"))
+    sizes = cut(slim.groupBy("group").agg(F.count("*").alias("n")).where("n > 1"))
+    hot = F.broadcast(sizes.where(F.col("n") > max(1, total // HOT)))  # HOT rows at most
+    rare = sizes.where(F.col("n") <= max(1, total // HOT))
+    nodes = slim.select("uid", "group")
+    salted = nodes.join(hot, "group").select("uid", F.xxhash64("group", F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / piece))).alias("node"), F.lit(True).alias("hot")).unionByName(
+        nodes.join(hot, "group", "left_anti").join(rare, "group", "left_semi").select("uid", F.xxhash64("group", F.lit(0).cast("long")).alias("node"), F.lit(False).alias("hot"))
+    )
     # linked documents start in shards by rank, the same number in each but for one
-    linked = exact_rank(salted, [], ["uid"], "rank").select("uid", "node", F.pmod("rank", F.lit(shards)).cast("int").alias("shard"))
+    linked = exact_rank(salted, [], ["uid"], "rank", total).select("uid", "node", "hot", F.pmod("rank", F.lit(shards)).cast("int").alias("shard"))
     settled = cut(propagate(cut(linked), quotas, rounds).select("uid", F.col("shard").alias("linked_shard")))
     held = {r["linked_shard"]: r["n"] for r in settled.groupBy("linked_shard").agg(F.count("*").alias("n")).collect()}
     rows = slim.join(settled, "uid", "left")
-    free = exact_rank(rows.where("linked_shard is null").select("uid"), [], ["uid"], "rank")
+    free = exact_rank(rows.where("linked_shard is null").select("uid"), [], ["uid"], "rank", total)
     fill, start = F.lit(None).cast("int"), 0
     for i in range(shards):
         end = start + quotas[i] - held.get(i, 0)
@@ -94,7 +107,7 @@ def assign(docs: DataFrame, shards: int = 24, rounds: int = 8) -> DataFrame:
         start = end
     placed = free.select("uid", fill.alias("free_shard"))
     every = rows.join(placed, "uid", "left").select("doc_id", "size", "text_crc32", "group", "uid", F.coalesce("linked_shard", "free_shard").alias("shard"))
-    slots = exact_rank(every, ["shard"], ["group", "uid"], "slot", buckets=256)
+    slots = exact_rank(every, ["shard"], ["group", "uid"], "slot", total)
     return slots.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

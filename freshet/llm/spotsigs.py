@@ -1,8 +1,9 @@
 """SpotSigs fingerprints with Spark's own functions.
 
-A signature is a common word (the anchor) with the chain of content words that follows it. A text's fingerprint is the set of
-its signatures' hashes. Fingerprints are compared by Jaccard, pruned by their sizes: sets whose sizes differ by more than the
-wanted likeness allows are never intersected, which also partitions them by size for a join.
+A signature is a common word (the anchor) with the chain of content words that follows it; of anchors in a row each has one. A
+text's fingerprint is the set of its signatures' hashes. Fingerprints are partitioned by set length into classes and compared by
+Jaccard where it can reach the wanted likeness: sets of classes that are no neighbours, and sets whose sizes differ by more than
+that likeness allows, are never intersected.
 """
 
 from __future__ import annotations
@@ -23,8 +24,11 @@ ANCHORS = (
     "con del el era las lo los más no para por se su una y"
 ).split()
 CHAIN = 2
-#: Rows whose neighbours are looked up together.
-RANGE_ROWS = 512
+#: Rows whose neighbours are looked up together, and the most cells that the range of ids is cut into: beyond their product a
+#: cell has more rows, so that tables with a row per cell stay small.
+RANGE_ROWS, MAX_CELLS = 512, 65_536
+#: Likenesses below it are not told apart in the query: they count as 0.
+PRUNED = 0.2
 _OPEN, _CLOSE = "\x01", "\x02"
 
 
@@ -35,11 +39,13 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
     anchored = F.regexp_replace(F.concat(F.lit(" "), F.trim(plain), F.lit(" ")), f"(?<= )({'|'.join(dict.fromkeys(ANCHORS))}) ", f"{_OPEN}$1{_CLOSE}")
     words = F.split(F.concat(F.lit(f"{_OPEN}^{_CLOSE}"), F.trim(anchored)), " ")
 
-    def signature(x: Column, i: Column, every: Column) -> Column:
+    def signed(x: Column, i: Column, every: Column) -> Column:
         follow = [F.substring_index(F.get(every, i + k), _CLOSE, -1) for k in range(1, chain)]
-        return F.when(F.startswith(x, F.lit(_OPEN)), F.shiftright(F.xxhash64(x, *follow), 32).cast("int"))
+        own = F.filter(F.split(x, _CLOSE), lambda a: F.startswith(a, F.lit(_OPEN)))
+        hashes = F.transform(own, lambda a: F.shiftright(F.xxhash64(a, F.substring_index(x, _CLOSE, -1), *follow), 32).cast("int"))
+        return F.when(F.startswith(x, F.lit(_OPEN)), hashes)
 
-    found = let(words, lambda every: F.filter(F.transform(every, lambda x, i: signature(x, i, every)), lambda h: h.isNotNull()))
+    found = let(words, lambda every: F.flatten(F.filter(F.transform(every, lambda x, i: signed(x, i, every)), lambda h: h.isNotNull())))
     return F.when(F.regexp_like(text, F.lit(r"[\p{L}\p{N}]")), F.array_sort(F.array_distinct(F.concat(found, F.array(F.shiftright(F.xxhash64(F.split_part(F.trim(plain), F.lit(" "), F.lit(1))), 32).cast("int")))))).otherwise(F.array().cast("array<int>"))
 
 
@@ -48,17 +54,21 @@ def as_text(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda h: F.lpad(F.hex(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
 
 
+def size_class(fingerprint: Column, least: float) -> Column:
+    """Partition by set size: sets at least ``least`` alike are in the same or a neighbouring class."""
+    return F.floor(F.log(F.greatest(F.size(fingerprint), F.lit(1)).cast("double")) / F.lit(math.log(1 / least))).cast("int")
+
+
 def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
-    """Jaccard of two fingerprints where the sizes allow at least ``least``, else 0; two empty ones are alike (1)."""
+    """Jaccard of two fingerprints if it is at least ``least``, else 0; two empty ones are alike (1). Sets whose lengths rule
+    ``least`` out, first by their classes, are not intersected."""
     small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
     shared = F.size(F.array_intersect(a, b))
     pruned = (small == 0) | (small < large * F.lit(least))
-    return F.when(large == 0, 1.0).when(pruned, 0.0).otherwise(shared / (F.size(a) + F.size(b) - shared))
-
-
-def size_class(fingerprint: Column, least: float) -> Column:
-    """Partition by set size: sets at least ``least`` alike are in the same or a neighbouring class."""
-    return F.floor(F.log(F.greatest(F.size(fingerprint), F.lit(1)).cast("double")) / F.lit(math.log(1 / least))).cast("int")
+    if least > 0:
+        pruned = (F.abs(size_class(a, least) - size_class(b, least)) > 1) | pruned
+    value = shared / (F.size(a) + F.size(b) - shared)
+    return F.when(large == 0, 1.0).when(pruned, 0.0).otherwise(F.when(value >= least, value).otherwise(0.0))
 
 
 def pairs(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -79,23 +89,25 @@ def pairs(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     return near.select("a", "b", "likeness").distinct(), each.join(classes, "fp").select("doc_id", "a")
 
 
-def _ranges(docs: DataFrame) -> DataFrame:
-    """lo, step, base per cell of the id range: a row's bucket is base + floor((doc_id - lo) / step), in the order of ids.
+def _ranges(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """lo, step, base, alone per cell of the id range: a row's bucket is base + floor((doc_id - lo) / step), in the order of ids.
 
-    Cells are equally wide; one with far more rows than others is cut again by its own bounds. One row for some hundred
-    documents.
+    Cells are equally wide; one with far more rows than others is cut again by its own bounds, one of a single id by the texts'
+    hashes. One row for some hundred documents, ``MAX_CELLS`` at most.
     """
     ids = docs.where("doc_id is not null").select("doc_id")
     low, high, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     low, high = (low or 0), (high or 0)
-    cells = max(1, n // RANGE_ROWS)
+    cells = max(1, min(MAX_CELLS, n // RANGE_ROWS))
+    usual = max(RANGE_ROWS, -(-n // cells))
     width = max(1, -(-(high - low + 1) // cells))
     cell = F.floor((F.col("doc_id") - low) / width)
     found = ids.groupBy(cell.alias("cell")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
-    parts = F.greatest(F.lit(1), F.floor(F.col("n") / (4 * RANGE_ROWS)) * 4)
-    found = found.withColumn("step", F.ceil((F.col("hi") - F.col("lo") + 1) / parts)).withColumn("slots", F.floor((F.col("hi") - F.col("lo")) / F.col("step")) + 1)
-    before = Window.partitionBy().orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    return found.select("cell", "lo", "step", F.coalesce(F.sum("slots").over(before), F.lit(0)).alias("base")), cell
+    parts = F.greatest(F.lit(1), F.floor(F.col("n") / (4 * usual)) * 4)
+    found = found.withColumn("step", F.ceil((F.col("hi") - F.col("lo") + 1) / parts)).withColumn("alone", (F.col("lo") == F.col("hi")) & (F.col("n") > 4 * usual))
+    found = found.withColumn("slots", F.when(F.col("alone"), F.lit(256)).otherwise(F.floor((F.col("hi") - F.col("lo")) / F.col("step")) + 1))
+    before = Window.partitionBy().orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # MAX_CELLS rows at most
+    return found.select("cell", "lo", "step", "alone", F.coalesce(F.sum("slots").over(before), F.lit(0)).alias("base")), cell
 
 
 def with_next(docs: DataFrame, fingerprint: Column) -> DataFrame:
@@ -108,10 +120,13 @@ def with_next(docs: DataFrame, fingerprint: Column) -> DataFrame:
     ranges, cell = _ranges(docs)
     ranges = cut(ranges)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).withColumn("cell", cell)
-    rows = rows.join(F.broadcast(ranges), "cell", "left")  # a row for RANGE_ROWS documents, 32 bytes each
-    rows = rows.withColumn("bucket", F.coalesce(F.col("base") + F.floor((F.col("doc_id") - F.col("lo")) / F.col("step")), F.lit(-1))).select("bucket", "doc_id", "h", "text")
+    rows = rows.join(F.broadcast(ranges), "cell", "left")  # MAX_CELLS rows at most, 40 bytes each
+    by_hash = F.shiftright("h", 56) + 128  # 0 to 255, in the order of hashes
+    own = F.col("base") + F.when(F.col("alone"), by_hash).otherwise(F.floor((F.col("doc_id") - F.col("lo")) / F.col("step")))
+    rows = rows.withColumn("bucket", F.coalesce(own, by_hash - 256)).select("bucket", "doc_id", "h", "text")
     firsts = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "h")).alias("first"))
     turn = Window.partitionBy().orderBy("bucket")
+    # a row per bucket: at most some three times MAX_CELLS
     firsts = cut(firsts.select(F.col("first.doc_id").alias("fid"), F.col("first.h").alias("fh"), F.col("bucket").alias("own"), F.lead("bucket").over(turn).alias("to"), F.min("bucket").over(Window.partitionBy()).alias("lowest"), F.max("bucket").over(Window.partitionBy()).alias("highest")))
     # the first row of a bucket follows the last of the bucket above; the first of all follows the last of the lowest
     to = firsts.select("own", "fid", "fh", F.when(F.col("own") == F.col("highest"), F.col("lowest")).otherwise(F.col("to")).alias("to"))
@@ -127,7 +142,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     The edited text is the text with its last floor(n_chars / 3) code points replaced by the first as many (or all) of the
-    next row's. Null texts count as empty; a lone row's next is itself; repeated rows get a row each; null ids come last.
+    next row's. A likeness below ``PRUNED`` counts as 0. Null texts count as empty; a lone row's next is itself; repeated rows get a row each; null ids come last.
     """
     near = with_next(docs, signatures(F.col("text")))
     n = F.char_length("text")
@@ -136,5 +151,5 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     edited = edited.select("*", signatures(F.col("edited")).alias("edited_fp"))
     return edited.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text(F.col("fp")).alias("fingerprint"),
-        as_text(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        as_text(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp"), PRUNED).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp"), PRUNED).alias("near_next"),
     )
