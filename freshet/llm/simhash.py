@@ -2,7 +2,8 @@
 
 Every distinct fingerprint carries its Hamming distances to ``PIVOTS`` reference fingerprints. Two fingerprints that differ
 in at most ``max_bits`` bits differ by at most that in every coordinate, so a candidate pair is discarded on its largest
-coordinate difference and only survivors are compared bit by bit. Candidates share an exact key: the bits are cut into
+coordinate difference and only survivors are compared bit by bit. The coordinates of fingerprints lie too close together to
+find candidates by (a cell of three distances holds a third of all), so candidates share an exact key: the bits are cut into
 max_bits + 3 blocks and at least three of them must agree in a linked pair, so one key per choice of three blocks finds
 every link. A key with more than ``BUCKET`` distinct fingerprints is not paired; its fingerprints go to an exact meeting
 join instead (two fingerprints are within 2 bits when they share a point one bit from each), whose groups never exceed 65.
@@ -103,7 +104,8 @@ def links(distinct: DataFrame, max_bits: int = 2, bucket: int = BUCKET) -> DataF
     flips = [0] + [(1 << i) if i < 63 else -(1 << 63) for i in range(64)]
     spread = crowded.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(f)) for f in flips])).alias("z"))
     met = spread.select(F.col("fp").alias("a"), F.min("fp").over(Window.partitionBy("z")).alias("b")).where("a > b")
-    met = met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits) if max_bits == 2 else _exact_small(crowded, max_bits)
+    far = F.array_max(F.zip_with(pivot_table(F.col("a")), pivot_table(F.col("b")), lambda p, q: F.abs(p - q)))
+    met = met.where(far <= max_bits).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits) if max_bits == 2 else _exact_small(crowded, max_bits)
     return paired.unionByName(met).distinct()
 
 

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from freshet.llm import common, components, language_id, mixing, neighbours, packing, secret_scan, sharding, simhash, spotsigs, token_files, toxicity
 from freshet.llm.queries import QUERIES
@@ -65,6 +66,19 @@ def test_simhash_equals_brute_force(docs):
     assert {r["doc_id"]: r["component_id"] for r in got} == {d: find(d) for d in ids}
 
 
+def test_fingerprint_bits_equal_plain_python():
+    import xxhash
+
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["Ab", "c", "É", "dd\u00a0e", "x" * 40], n)) + "\t\n" for n in (0, 1, 2, 3, 4, 7, 50, 300)] + ["a b c a b c a b c", "\x1c one\x0btwo"]
+    for text in texts:
+        words = [w for w in re.split("[\\x20\\x09-\\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
+        shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        want = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+        assert simhash.fingerprint(text) == want
+
+
 def test_crowded_keys_lose_no_link(spark):
     """A key with more fingerprints than a bucket goes another way; the components stay those of all pairs."""
     rng = np.random.default_rng(0)
@@ -168,6 +182,22 @@ def test_spotsigs_edits(docs):
     assert np.mean([a > b for a, b in near]) > 0.95
 
 
+def test_each_anchor_of_a_row_has_a_signature_of_its_own(spark):
+    signed = lambda text: set(spark.createDataFrame([(text,)], "text string").select(spotsigs.signatures(F.col("text"))).first()[0])
+    both, of, the = signed("zero of the quick fox"), signed("zero of quick fox"), signed("zero the quick fox")
+    assert of <= both and the <= both and both == of | the and len(both) == len(of) + 1
+
+
+def test_next_rows_of_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "RANGE_ROWS", 8)
+    rows = [(5, f"the same id {i}") for i in range(300)] + [(None, f"of null {i}") for i in range(300)] + [(10**15 + i * i, f"a far one {i}") for i in range(200)] + [(i, f"is near {i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = [(r["doc_id"], r["h"], r["text"]) for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()]
+    ordered = sorted(hashed, key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
+    want = {a[2]: b[2] for a, b in zip(ordered, ordered[1:] + ordered[:1])}
+    assert {r["text"]: r["next_text"] for r in spotsigs.with_next(docs, spotsigs.signatures(F.col("text"))).collect()} == want
+
+
 def test_spotsig_pairs_equal_brute_force(docs):
     pairs, members = spotsigs.pairs(docs, 0.5)
     sets = {r["doc_id"]: frozenset(r["fp"]) for r in docs.select("doc_id", spotsigs.signatures(docs["text"]).alias("fp")).collect()}
@@ -193,6 +223,19 @@ def test_shards_are_even_gapless_and_keep_copies_together(spark):
     assert (hot * (hot - 1)).sum() / (500 * 499) > 1.2 / 24  # fewer cut pairs than the even start's 23 in 24
 
 
+def test_hot_groups_and_sizes_of_shards(spark):
+    rows = [(i, "copied by a third" if i % 3 == 0 else "small group" if i % 50 == 1 else f"text {i}") for i in range(1500)] + [(None, None), (7, "é")]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = sorted((str(i), 8 + len((t or "").encode()), zlib.crc32((t or "").encode())) for i, t in rows)
+    assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == want
+    counts = {}
+    for r in got:
+        counts.setdefault(r["shard"], []).append(r["slot"])
+    assert len(counts) == 24 and all(sorted(v) == list(range(len(v))) for v in counts.values()) and {len(v) for v in counts.values()} <= {1502 // 24, 1502 // 24 + 1}
+    small = {r["shard"] for r in got if r["text_crc32"] == zlib.crc32(b"small group")}
+    assert len(small) <= 8  # 20 copies, which start in 20 shards
+
+
 def test_grants_never_exceed_room():
     grants = sharding._grants({(0, 1): 5, (1, 0): 2, (2, 1): 9}, [0, 4, 0])
     assert grants[0, 1] >= 2 and grants[1, 0] == 2 and grants[0, 1] - 2 + grants.get((2, 1), 0) <= 4
@@ -260,8 +303,9 @@ def test_neighbours_recall_and_edge_rows(spark):
     assert neighbours.search(vectors.where("1 = 0")).count() == 0
 
 
-def test_exact_rank_is_gapless(spark):
-    got = common.exact_rank(spark.range(500).selectExpr("id % 3 as k", "id"), ["k"], ["id"], "r", buckets=7).toPandas()
+@pytest.mark.parametrize("rows", [0, 10_000_000])
+def test_exact_rank_is_gapless(spark, rows):
+    got = common.exact_rank(spark.range(500).selectExpr("id % 3 as k", "id"), ["k"], ["id"], "r", rows).toPandas()
     assert all(sorted(g) == list(range(len(g))) for _, g in got.groupby("k")["r"])
 
 
