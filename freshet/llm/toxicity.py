@@ -1,10 +1,10 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on windows of toxic texts and one on windows of ordinary texts. A window is a
-stretch of ``WINDOW_WORDS`` consecutive words; the windows of a text follow each other without gaps over the whole of it. A
-window's distance is its length under the ordinary dictionary less its length under the toxic one. A text's score is a
-logistic of its largest distances, of the numbers and shares of its windows beyond calibrated thresholds and of their mean
-distance, fitted on labelled texts that the dictionaries have not seen.
+Pairs of zstandard dictionaries are trained, one of each on windows of toxic texts and one on windows of ordinary texts. A window
+is a word and the marks at its ends, as markers of toxicity differ in their endings and neighbours; all windows of the whole text
+count, each time that they occur. A window's distance is its length under the ordinary dictionary less its length under the toxic
+one, on average over the pairs. A text's score is a logistic of its largest distances, of the numbers and shares of its windows
+beyond calibrated thresholds and of their mean distance, fitted on labelled texts that the dictionaries have not seen.
 
 Most of a toxic text is ordinary as well. So both dictionaries have a common part, trained on ordinary windows, and a part of
 their own. The toxic one is trained again in rounds: each half of the toxic texts is held against the dictionary trained on
@@ -14,7 +14,7 @@ the other half, and the windows that are farther than all but few windows of uns
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,27 +25,28 @@ from pyspark.sql import types as T
 
 from freshet.llm.common import fold
 
-#: Words of a window, and bytes at which a longer word is cut.
-WINDOW_WORDS, WORD_BYTES = 2, 64
+#: Bytes at which a longer word is cut.
+WORD_BYTES = 64
+#: Pairs of dictionaries, each trained on another division of the texts: one pair's lengths are whole bytes.
+PAIRS = 3
 #: Bytes of the dictionaries' common part and of the part of their own.
-COMMON_BYTES, OWN_BYTES = 16_384, 4_096
+COMMON_BYTES, OWN_BYTES = 32_768, 16_384
 #: Rounds of training, and the share of ordinary windows within the distance beyond which a window trains the next round.
-ROUNDS, USUAL = 4, 0.995
+ROUNDS, USUAL = 3, 0.99
 #: Windows of each set that dictionaries are trained on: a random choice where the sampled texts have more.
 TRAIN_WINDOWS = 300_000
 #: Shares of ordinary texts' windows within each threshold.
-WITHIN = (0.9, 0.99, 0.999, 0.9999)
-#: Windows that are compressed together.
-PIECE = 1 << 16
+WITHIN = (0.5, 0.8, 0.9, 0.96, 0.985, 0.995, 0.998, 0.9993, 0.9999)
+#: Windows that are compressed together, and whose distances a worker remembers before it starts anew.
+PIECE, CACHE = 1 << 16, 800_000
 #: Both dictionaries end with it and every window is followed by it; else zstandard would store so short a window as it is.
 _TAIL = b"\x00~|0123456789|~\x01"
 _WORD = re.compile(rb"[\w\x80-\xff]{1,%d}" % WORD_BYTES)
 
 
 def windows(text: str | None) -> list[bytes]:
-    """The windows of the whole lower-cased text, in order; none without a word."""
-    words = _WORD.findall((text or "").lower().encode("utf-8", "surrogatepass"))
-    return [b" " + b" ".join(words[i : i + WINDOW_WORDS]) + b" " for i in range(0, len(words), WINDOW_WORDS)]
+    """The windows of the whole lower-cased text, in order; none without a word. Whatever lies between words is one space."""
+    return [b" %b " % word for word in _WORD.findall((text or "").lower().encode("utf-8", "surrogatepass"))]
 
 
 class Lengths:
@@ -58,22 +59,43 @@ class Lengths:
         self.compressor = zstandard.ZstdCompressor(dict_data=raw, compression_params=how)
 
     def __call__(self, some: list[bytes]) -> np.ndarray:
-        out = [np.zeros(0, np.int64)]
-        for at in range(0, len(some), PIECE):
-            frames = self.compressor.multi_compress_to_buffer([w + _TAIL for w in some[at : at + PIECE]])
-            out.append(np.fromiter(map(len, frames), np.int64, len(frames)))
-        return np.concatenate(out)
+        known = {}
+        distinct = list(dict.fromkeys(some))
+        for at in range(0, len(distinct), PIECE):
+            part = distinct[at : at + PIECE]
+            known.update(zip(part, map(len, self.compressor.multi_compress_to_buffer([w + _TAIL for w in part]))))
+        return np.fromiter(map(known.__getitem__, some), np.int64, len(some))
 
 
 class Distance:
-    """Distances of a text's windows; ``pair`` has the toxic and the ordinary dictionary as bytes."""
-
-    def __init__(self, pair: tuple[bytes, bytes]):
-        self.toxic, self.ordinary = map(Lengths, pair)
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        some = windows(text)
-        return (self.ordinary(some) - self.toxic(some)).astype(float)
+    """Distances of a text's windows; ``pairs`` have a toxic and an ordinary dictionary as bytes."""
+
+    def __init__(self, pairs: list[tuple[bytes, bytes]]):
+        self.pairs = [(Lengths(toxic), Lengths(ordinary)) for toxic, ordinary in pairs]
+        self.known: dict[bytes, float] = {}
+
+    def __call__(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The distances of each text. Texts are taken together, as a call of the compressor costs as much as many windows."""
+        held, size = [], 0
+        for text in texts:
+            held.append(windows(text))
+            size += len(held[-1])
+            if size >= PIECE:
+                yield from self._looked_up(held)
+                held, size = [], 0
+        yield from self._looked_up(held)
+
+    def _looked_up(self, held: list[list[bytes]]) -> Iterator[np.ndarray]:
+        known = self.known
+        new = list({w for some in held for w in some if w not in known})
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = list({w for some in held for w in some})
+        if new:
+            far = sum(ordinary(new) - toxic(new) for toxic, ordinary in self.pairs) / len(self.pairs)
+            known.update(zip(new, far.tolist()))
+        for some in held:
+            yield np.fromiter(map(known.__getitem__, some), float, len(some))
 
 
 def _train(samples: list[bytes], size: int) -> bytes:
@@ -87,9 +109,10 @@ def _train(samples: list[bytes], size: int) -> bytes:
         return whole[-size:]
 
 
-def train_pair(toxic: list[str], ordinary: list[str], unseen: list[str]) -> tuple[bytes, bytes]:
-    """(toxic, ordinary) dictionaries. ``unseen`` are ordinary texts that neither is trained on."""
-    draw = np.random.default_rng(1)
+def train_pair(toxic: list[str], ordinary: list[str], unseen: list[str], seed: int = 1) -> tuple[bytes, bytes]:
+    """(toxic, ordinary) dictionaries. ``unseen`` are ordinary texts that neither is trained on; ``seed`` divides the others."""
+    draw = np.random.default_rng(seed)
+    toxic, ordinary = ([texts[i] for i in draw.permutation(len(texts)).tolist()] for texts in (toxic, ordinary))
 
     def stacked(texts: list[str]) -> list[bytes]:
         some = [w for t in texts for w in windows(t)]
@@ -141,14 +164,14 @@ def calibrate(toxic: list[str], ordinary: list[str]) -> dict | None:
         return None
     part = lambda rows, own: [t for i, t in enumerate(rows) if (i % 5 < 3) == own] or rows
     bad, good = part(toxic, False), part(ordinary, False)
-    pair = train_pair(part(toxic, True), part(ordinary, True), good[::2])
-    distance = Distance(pair)
-    bad_far, good_far = list(map(distance, bad)), list(map(distance, good))
+    pairs = [train_pair(part(toxic, True), part(ordinary, True), good[::2], seed) for seed in range(PAIRS)]
+    distance = Distance(pairs)
+    bad_far, good_far = list(distance(bad)), list(distance(good))
     thresholds = np.unique(np.quantile(np.concatenate([np.zeros(1), *good_far]), WITHIN))
     x = np.array([features(far, thresholds) for far in bad_far + good_far])
     y = np.r_[np.ones(len(bad)), np.zeros(len(good))]
     middle, spread = x.mean(0), x.std(0) + 1e-9
-    return {"pair": pair, "thresholds": thresholds, "middle": middle, "spread": spread, "weights": _logistic((x - middle) / spread, y)}
+    return {"pairs": pairs, "thresholds": thresholds, "middle": middle, "spread": spread, "weights": _logistic((x - middle) / spread, y)}
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = 6_000, ordinary_docs: int = 6_000, label_chars: int = 24_000_000) -> dict | None:
@@ -171,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = 6_000, ordinary_do
 
 
 def predict(texts: list[str | None], model: dict, distance: Distance) -> np.ndarray:
-    x = (np.array([features(distance(t), model["thresholds"]) for t in texts]).reshape(len(texts), -1) - model["middle"]) / model["spread"]
+    x = (np.array([features(far, model["thresholds"]) for far in distance(texts)]).reshape(len(texts), -1) - model["middle"]) / model["spread"]
     return 1 / (1 + np.exp(-np.clip(x @ model["weights"][:-1] + model["weights"][-1], -30, 30)))
 
 
@@ -184,7 +207,7 @@ def score(docs: DataFrame, model: dict | None, threshold: float = 0.7) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distance = Distance(shared.value["pair"])
+        distance = Distance(shared.value["pairs"])
         for batch in batches:
             value = predict(batch.column("text").to_pylist(), shared.value, distance) if len(batch) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(value, pa.float64()), pa.array((value >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])

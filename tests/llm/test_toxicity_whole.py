@@ -21,23 +21,26 @@ def test_fit_draws_fewer_whole_texts_where_they_are_long(spark, monkeypatch):
     assert 20 < len(seen["toxic"]) < 80 and {len(t) for t in seen["toxic"]} == {500}
 
 
-def test_windows_cover_every_word_of_a_text_in_order():
-    text = "One, two-three FOUR! " + "x" * 150 + " end " + "word " * 5_000
-    words = b" ".join(toxicity.windows(text)).split()
-    assert words[:4] == [b"one", b"two", b"three", b"four"] and b"".join(words[4:7]) == b"x" * 150 and words[7:] == [b"end"] + [b"word"] * 5_000
+def test_windows_are_all_words_of_a_text_in_order():
+    text = "One, two-three FOUR! a " + "x" * 150 + " end " + "word " * 5_000
+    words = [w.strip() for w in toxicity.windows(text)]
+    assert words[:5] == [b"one", b"two", b"three", b"four", b"a"] and b"".join(words[5:8]) == b"x" * 150 and words[8:] == [b"end"] + [b"word"] * 5_000
     assert toxicity.windows(None) == toxicity.windows("") == toxicity.windows("... !") == []
 
 
-def test_distances_equal_windows_compressed_one_by_one():
-    pair = b" vileword other ", b" nice words only "
+def test_distances_equal_windows_compressed_one_by_one(monkeypatch):
+    pairs = [(b" vileword other ", b" nice words only "), (b" vile words ", b" some nicer words ")]
     texts = ["a vileword here and nice words there", "", None, "words " * 100]
-    for text in texts:
-        want = []
-        for w in toxicity.windows(text):
-            toxic, ordinary = (toxicity.Lengths(raw).compressor.compress(w + toxicity._TAIL) for raw in pair)
-            want.append(len(ordinary) - len(toxic))
-        assert toxicity.Distance(pair)(text).tolist() == want
-    assert toxicity.Distance(pair)("vileword other").max() > 0 > toxicity.Distance(pair)("nice words").min()
+    distance = toxicity.Distance(pairs)
+    for cache in (400_000, 1):
+        monkeypatch.setattr(toxicity, "CACHE", cache)
+        for text, got in zip(texts, distance(texts), strict=True):
+            want = []
+            for w in toxicity.windows(text):
+                gaps = [np.subtract(*(len(toxicity.Lengths(raw).compressor.compress(w + toxicity._TAIL)) for raw in (ordinary, toxic))) for toxic, ordinary in pairs]
+                want.append(sum(gaps) / 2)
+            assert got.tolist() == want
+    assert next(distance(["vileword"])).max() > 0 > next(distance(["nice"])).min()
 
 
 def test_edge_rows_with_a_fitted_model(spark):
