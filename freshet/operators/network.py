@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from freshet.functions.columns import ancestors, at_least, under, upstream_of
+from freshet.functions.columns import ancestors, at_least, depth_to_flow, flow_to_depth, under, upstream_of, volume_days
 
 
 def upstream_pairs(ws: DataFrame) -> DataFrame:
@@ -171,3 +171,95 @@ def dense_grid(values: DataFrame, sources: list[str], ids: DataFrame, times: ran
 def fingerprint(rows: DataFrame, id_: str, value: str) -> DataFrame:
     """rows, ids, nulls, total: a sum of decimals, which does not depend on the order."""
     return rows.agg(F.count("*").alias("n_rows"), F.countDistinct(id_).alias("n_ids"), F.count_if(F.col(value).isNull()).alias("n_null"), F.sum(F.round(value, 6).cast("decimal(38,6)")).cast("double").alias("total"))
+
+
+def upstream_means(ws: DataFrame, values: list[str], cover: str = "cover", area: str = "area", extra: tuple[str, ...] = ()) -> DataFrame:
+    """id, the mean of each of ``values`` over the covered area upstream, of each of ``extra`` over the whole of it, coverage and
+    upstream_area. All values share one cover (null counts as 0); a covered row without a value is an error."""
+    covered = F.coalesce(F.col(cover), F.lit(0.0)) > 0
+    share = F.when(covered, F.col(area) * F.col(cover)).otherwise(0.0)
+    value = lambda v: F.when(~covered, 0.0).when(F.col(v).isNull(), F.raise_error(F.lit(f"a covered row has no {v}"))).otherwise(F.col(v))
+    names = {f"_n{i}": v for i, v in enumerate(values)} | {f"_e{i}": v for i, v in enumerate(extra)}
+    parts = ws.select("id", "w", "l", share.alias("_w"), F.col(area).cast("double").alias("_a"), *[((value(v) * share) if n.startswith("_n") else F.col(v) * F.col(area)).cast("double").alias(n) for n, v in names.items()])
+    s = upstream_sums(parts, ["_w", "_a", *names])
+    mean = lambda n: F.when(F.col("_w") > 0, F.try_divide(n, "_w")) if n.startswith("_n") else F.try_divide(n, "_a")
+    return s.select("id", *[mean(n).alias(v) for n, v in names.items()], F.try_divide("_w", "_a").alias("coverage"), F.col("_a").alias("upstream_area"))
+
+
+def over_given_area(ws: DataFrame, value: str, given: DataFrame, area: str = "area") -> DataFrame:
+    """id, mean, coverage, upstream_area: as ``upstream_mean`` over the total, but with the upstream area of ``given`` (id,
+    upstream_area), of which each row must have one. Coverage is always against the accumulated area."""
+    have = F.col(value).isNotNull()
+    parts = ws.select("id", "w", "l", F.col(area).cast("double").alias("_a"), F.when(have, F.col(area)).otherwise(0).cast("double").alias("_c"), F.coalesce(F.col(area) * F.col(value), F.lit(0)).cast("double").alias("_v"))
+    s = upstream_sums(parts, ["_a", "_c", "_v"]).join(given.select("id", F.col("upstream_area").cast("double").alias("_up")), "id", "left")
+    up = F.when(F.col("_up").isNull(), F.raise_error(F.lit("a row has no given area"))).otherwise(F.col("_up"))
+    return s.select("id", F.when(F.col("_c") > 0, F.try_divide(F.col("_v"), up)).alias("mean"), F.try_divide("_c", "_a").alias("coverage"), up.alias("upstream_area"))
+
+
+def basin(ws: DataFrame, root: str) -> DataFrame:
+    """The rows whose stream's code is ``root`` or lies below it."""
+    return ws.where(under(F.col("w"), F.lit(root)))
+
+
+def complete_days(days: DataFrame, first: int, last: int) -> DataFrame:
+    """The days of sub-basins, an error where a value is missing, a day is not in the years ``first`` to ``last``, repeats or is
+    lacking. ``days``: subid, date, q_local, q_acc. Counted per sub-basin, which the days are joined to."""
+    year = F.year("date")
+    n = sum(366 if y % 4 == 0 and (y % 100 != 0 or y % 400 == 0) else 365 for y in range(first, last + 1))
+    told = days.groupBy("subid").agg(F.count("*").alias("_n"), F.countDistinct("date").alias("_d"), F.max(F.coalesce(~year.between(first, last), F.lit(True)) | F.col("q_local").isNull() | F.col("q_acc").isNull()).alias("_bad"))
+    why = F.when(F.col("_bad"), "a value is missing or a date is outside the years").when(F.col("_n") != F.col("_d"), "a day repeats").when(F.col("_d") != n, "days are missing")
+    checked = told.select("subid", why.alias("_why"))
+    return days.join(checked, "subid").withColumn("q_acc", F.when(F.col("_why").isNotNull(), F.raise_error(F.concat(F.lit("sub-basin "), F.col("subid").cast("string"), F.lit(": "), "_why"))).otherwise(F.col("q_acc"))).drop("_why")
+
+
+def routed_years(days: DataFrame, weights: DataFrame, first: int, last: int) -> DataFrame:
+    """segment, date, q of complete years of sub-basin days."""
+    return route(complete_days(days, first, last), weights, ["date"]).drop("clamped")
+
+
+def watershed_output(annual: DataFrame, shares: DataFrame) -> DataFrame:
+    """id, month 0..12, runoff_mm, q: the year's adjusted depth, its months by share, and the flows over the upstream area.
+    ``annual``: id, runoff, area. ``shares``: id, month, share. Months have 28.25 days in February and the year 365.25."""
+    days = F.when(F.col("month") == 0, 365.25).otherwise(volume_days(F.greatest("month", F.lit(1))))
+    grid = annual.select("id", "runoff", "area", F.explode(F.sequence(F.lit(0), F.lit(12))).alias("month"))
+    rows = grid.join(shares.select("id", "month", "share"), ["id", "month"], "left")
+    depth = F.col("runoff") * F.when(F.col("month") == 0, 1.0).otherwise(F.col("share"))
+    return rows.select("id", "month", depth.alias("runoff_mm"), depth_to_flow(depth, F.col("area"), days).alias("q"))
+
+
+def segment_table(segments: DataFrame, balance: DataFrame, routed: DataFrame, far_low: float = 0.2) -> DataFrame:
+    """segment, month 0..12, source, runoff_mm, q, pick: the balance of the segment's watershed and the routed months with their
+    mean, and which source each segment takes in all its months.
+
+    ``segments``: segment, id, own_line, area. ``balance``: id, month, runoff_mm, q. ``routed``: segment, month 1..12, q; a
+    segment without all twelve months has no routed rows. A depth is told for routed rows on a line of their own only.
+    """
+    b = segments.select("segment", "id").join(balance, "id").where("q is not null")
+    full = routed.where("q is not null").groupBy("segment").agg(F.count("*").alias("_n"), F.avg("q").alias("_q")).where("_n = 12").select("segment", "_q")
+    kept = routed.join(full, "segment", "left_semi").select("segment", "month", "q").unionByName(full.select("segment", F.lit(0).alias("month"), F.col("_q").alias("q")))
+    year = b.where("month = 0").select("segment", F.col("q").alias("balance"))
+    chosen = pick_source(segments.join(year, "segment", "left").join(full.withColumnRenamed("_q", "routed"), "segment", "left"), far_low).select("segment", "own_line", "area", F.col("pick").alias("_p"))
+    days = F.when(F.col("month") == 0, 365.25).otherwise(volume_days(F.greatest("month", F.lit(1))))
+    balance_rows = b.join(chosen, "segment").select("segment", "month", F.lit("balance").alias("source"), "runoff_mm", "q", F.coalesce(F.col("_p") == "balance", F.lit(False)).alias("pick"))
+    depth = F.when(F.col("own_line"), flow_to_depth(F.col("q"), F.col("area"), days))
+    routed_rows = kept.join(chosen, "segment").select("segment", "month", F.lit("routed").alias("source"), depth.alias("runoff_mm"), "q", F.coalesce(F.col("_p") == "routed", F.lit(False)).alias("pick"))
+    return balance_rows.unionByName(routed_rows)
+
+
+def nearest_candidates(stations: DataFrame, places: DataFrame, tolerance: float, k: int) -> DataFrame:
+    """station, place, distance of each station's k nearest places within the tolerance, ties by place. Stations meet the places of
+    their own and the eight cells around it, cells as wide as the tolerance: no nested loop. Both have x and y."""
+    cell = lambda c: F.floor(F.col(c) / tolerance)
+    around = F.explode(F.array(*[F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    s = stations.select("station", F.col("x").alias("_x"), F.col("y").alias("_y"), around.alias("c")).select("station", "_x", "_y", "c.*")
+    p = places.select("place", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+    apart = F.sqrt((F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y")))
+    near = s.join(p, ["cx", "cy"]).select("station", "place", apart.alias("distance")).where(F.col("distance") <= tolerance)
+    return near.withColumn("_i", F.row_number().over(Window.partitionBy("station").orderBy("distance", "place"))).where(F.col("_i") <= k).drop("_i")
+
+
+def lake_outlets(shares: DataFrame, max_dev: float = 0.1) -> DataFrame:
+    """station, at_outlet: whether a lake upstream has between a half and 1 + max_dev of the station's area above it.
+    ``shares``: station, lake, lake_area (above the lake), area (of the station)."""
+    ratio = F.try_divide("lake_area", "area")
+    return shares.groupBy("station").agg(F.coalesce(F.max(ratio.between(0.5, 1 + max_dev)), F.lit(False)).alias("at_outlet"))

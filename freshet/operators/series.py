@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from freshet.functions.columns import volume_days
 
 
-def readings_to_days(readings: DataFrame, low: float = -1.0, high: float = 35.0, min_hours: int = 20, default_offset: int = -8 * 3600) -> DataFrame:
+def readings_to_days(readings: DataFrame, low: float = -1.0, high: float = 35.0, min_hours: int = 20, default_offset: int = -8 * 3600, first=None, last=None) -> DataFrame:
     """Daily means of hourly means in local standard time: station, date, t_mean, t_min, t_max, n_hours, status.
 
     ``readings``: station, ts, value, final[, offset_s]. Values outside low..high (both kept) are sentinels; an unknown offset is
-    eight hours west. A day needs ``min_hours`` hours; it is approved only if every reading is final. Both levels pre-aggregate
+    eight hours west. ``first`` and ``last`` bound the local day. A day needs ``min_hours`` hours; it is approved only if every reading is final. Both levels pre-aggregate
     before the shuffle.
     """
     offset = F.coalesce(F.col("offset_s"), F.lit(default_offset)) if "offset_s" in readings.columns else F.lit(default_offset)
@@ -23,6 +23,8 @@ def readings_to_days(readings: DataFrame, low: float = -1.0, high: float = 35.0,
     days = hours.groupBy("station", F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("_hour") / 24).cast("int")).alias("date")).agg(
         F.avg("_m").alias("t_mean"), F.min("_lo").alias("t_min"), F.max("_hi").alias("t_max"), F.count("*").cast("int").alias("n_hours"), F.min("_f").alias("_f")
     )
+    days = days if first is None else days.where(F.col("date") >= F.lit(first).cast("date"))
+    days = days if last is None else days.where(F.col("date") <= F.lit(last).cast("date"))
     return days.where(F.col("n_hours") >= min_hours).select("station", "date", "t_mean", "t_min", "t_max", "n_hours", F.when(F.col("_f") == 1, "approved").otherwise("provisional").alias("status"))
 
 
@@ -123,3 +125,65 @@ def latest_attributes(rows: DataFrame) -> DataFrame:
 def value_histogram(rows: DataFrame, top: int = 8) -> DataFrame:
     """value, n of the most frequent values, ties by value."""
     return rows.groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(top)
+
+
+def approval_status(approval: Column) -> Column:
+    """'approved' where the text says final or approved at its start, else 'provisional'; null is provisional."""
+    return F.when(F.coalesce(F.regexp_like(approval, F.lit("^(Final|Approved)")), F.lit(False)), "approved").otherwise("provisional")
+
+
+def feed_days(feed: DataFrame, source: str) -> DataFrame:
+    """station, date, q, symbol, source, status of a feed's rows (station, ts, q, symbol, approval): the date is that of UTC."""
+    return feed.select(F.col("station").cast("string").alias("station"), F.to_date("ts").alias("date"), F.col("q").cast("double").alias("q"), "symbol", F.lit(source).alias("source"), approval_status(F.col("approval")).alias("status"))
+
+
+def lag_one(years: DataFrame, min_pairs: int = 3) -> DataFrame:
+    """station, n_pairs, r: correlation of a year's value with the next year's, over consecutive years; null with too few pairs."""
+    order = Window.partitionBy("station").orderBy("year")
+    pairs = years.where("value is not null").select("station", "value", F.lag("value").over(order).alias("_b"), (F.col("year") - F.lag("year").over(order)).alias("_gap"))
+    got = pairs.groupBy("station").agg(F.count_if(F.col("_gap") == 1).alias("n_pairs"), F.corr(F.when(F.col("_gap") == 1, F.col("value")), F.when(F.col("_gap") == 1, F.col("_b"))).alias("_r"))
+    return got.select("station", "n_pairs", F.when(F.col("n_pairs") >= min_pairs, F.when(~F.isnan("_r"), F.col("_r"))).alias("r"))
+
+
+def season_flow(months: DataFrame, season: list[int]) -> DataFrame:
+    """station, n_years, mean, least of the yearly season flows, each its months' mean weighted by their lengths (28.25 days in
+    February). ``months``: station, year, month, q."""
+    kept = months.where(F.col("month").isin(season) & F.col("q").isNotNull()).withColumn("_d", volume_days(F.col("month")))
+    per = kept.groupBy("station", "year").agg((F.sum(F.col("q") * F.col("_d")) / F.sum("_d")).alias("_q"))
+    return per.groupBy("station").agg(F.count("*").alias("n_years"), F.avg("_q").alias("mean"), F.min("_q").alias("least"))
+
+
+def truth_years(daily: DataFrame, most: int = 2, value: str = "q") -> DataFrame:
+    """station, year, n of the years whose first and last day are there and that lack no more than ``most`` days in a row."""
+    year = F.year("date")
+    d = daily.where(F.col(value).isNotNull()).select("station", "date", year.alias("year"))
+    gap = F.datediff("date", F.lag("date").over(Window.partitionBy("station", "year").orderBy("date"))) - 1
+    per = d.withColumn("_g", gap).groupBy("station", "year").agg(F.count("*").alias("n"), F.max("_g").alias("_g"), F.min("date").alias("_a"), F.max("date").alias("_b"))
+    ends = (F.month("_a") == 1) & (F.dayofmonth("_a") == 1) & (F.month("_b") == 12) & (F.dayofmonth("_b") == 31)
+    return per.where(ends & (F.coalesce("_g", F.lit(0)) <= most)).select("station", "year", "n")
+
+
+def degree_days(daily: DataFrame, value: str = "t", start: float = 5.0, end: float = 4.0, first: str = "03-01", last: str = "11-30") -> DataFrame:
+    """station, year, value, n_days: sum of daily means over the growing season, in degree days.
+
+    The season starts with the first day of the first week (seven days from it, all there) whose mean is above ``start``; it ends
+    before the first later week whose mean is below ``end``, or with the year's part from ``first`` to ``last``. A day missing inside the season, or before a start that
+    another week could have made, leaves the value null; a year without a warm week has 0.
+    """
+    md = F.date_format("date", "MM-dd")
+    kept = daily.where(F.col(value).isNotNull() & md.between(first, last)).select("station", F.year("date").alias("year"), "date", F.col(value).alias("_t"))
+    years = kept.groupBy("station", "year").agg(F.count("*").alias("n_days"))
+    bound = lambda d: F.to_date(F.concat(F.col("year").cast("string"), F.lit("-"), F.lit(d)))
+    grid = years.select("station", "year", F.explode(F.sequence(bound(first), bound(last))).alias("date")).join(kept, ["station", "year", "date"], "left")
+    own = Window.partitionBy("station", "year").orderBy("date")
+    week = own.rowsBetween(0, 6)
+    grid = grid.withColumn("_m", F.when(F.count("_t").over(week) == 7, F.avg("_t").over(week)))
+    every = Window.partitionBy("station", "year")
+    warm = F.min(F.when(F.col("_m") > start, F.col("date"))).over(every)
+    grid = grid.withColumn("_from", warm)
+    cold = F.min(F.when((F.col("date") > F.col("_from")) & (F.col("_m") < end), F.col("date"))).over(every)
+    grid = grid.withColumn("_to", F.coalesce(cold, F.date_add(bound(last), 1)))
+    inside = (F.col("date") >= F.col("_from")) & (F.col("date") < F.col("_to"))
+    unsure = (F.col("date") < F.col("_from")) & F.col("_t").isNull() & (F.datediff("_from", "date") <= 7)
+    per = grid.groupBy("station", "year").agg(F.sum(F.when(inside, F.col("_t"))).alias("_s"), F.max(F.coalesce((inside & F.col("_t").isNull()) | unsure, F.lit(False))).alias("_cut"), F.max("_from").alias("_from"))
+    return years.join(per, ["station", "year"]).select("station", "year", F.when(F.col("_from").isNull(), 0.0).when(~F.col("_cut"), F.col("_s")).alias("value"), "n_days")

@@ -57,29 +57,34 @@ def in_windows(daily: DataFrame, windows: list[tuple[str, str, str]], by: list[s
     return out.join(span, by).where((F.col("_from") >= F.col("_first")) & (F.col("_to") <= F.col("_last")))
 
 
-def window_stats(daily: DataFrame, windows: list[tuple[str, str, str]], by: tuple[str, ...] = ("station",), value: str = "q", threshold: float | None = None, min_frac: float = 0.8) -> DataFrame:
+def window_stats(daily: DataFrame, windows: list[tuple[str, str, str]], by: tuple[str, ...] = ("station",), value: str = "q", threshold: float | DataFrame | None = None, min_frac: float = 0.8) -> DataFrame:
     """One row per series, window and year: n_days, mean, min, max, min7, frac_below, cov_day, frac_ice, frac_provisional.
 
     A window-year needs values on at least ``min_frac`` of its days. min7: least mean of seven consecutive days, all present
-    and inside the window. frac_below: share of days strictly below ``threshold``. cov_day: first day (from 1) by which half of
+    and inside the window. frac_below: share of days strictly below ``threshold``, a number or a row per series (by, threshold). cov_day: first day (from 1) by which half of
     the total has passed, of complete windows with a positive total. frac_ice and frac_provisional are null without a symbol or
-    status column. NULL and NaN values are no data; a repeated day of a series must not occur.
+    status column. NULL and NaN values are no data; a repeated day of a series is an error.
     """
     by = list(by)
     days = in_windows(daily, windows, by, value)
     keys = [*by, "period", "year"]
+    if isinstance(threshold, DataFrame):
+        days = days.join(threshold.select(*by, F.col("threshold").alias("_thr")), by, "left")
+    else:
+        days = days.withColumn("_thr", F.lit(threshold).cast("double"))
     n = F.datediff("date", "_from") + 1
     seven = Window.partitionBy(*keys).orderBy("_n").rangeBetween(-6, 0)
     upto = Window.partitionBy(*keys).orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy(*keys)
     days = days.withColumn("_n", n.cast("int")).select(
         "*", F.when(F.count(value).over(seven) == 7, F.avg(value).over(seven)).alias("_m7"), F.sum(value).over(upto).alias("_run"), F.sum(value).over(every).alias("_total"),
+        (F.lag("_n").over(Window.partitionBy(*keys).orderBy("_n")) == F.col("_n")).alias("_twice"),
     )
     length = (F.datediff("_to", "_from") + 1).cast("int")
     flag = lambda column, is_: F.avg((F.coalesce(F.col(column) == is_, F.lit(False))).cast("double")) if column in daily.columns else F.lit(None).cast("double")
     out = days.groupBy(*keys).agg(
-        F.count(value).cast("int").alias("n_days"), F.max(length).alias("_length"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.min("_m7").alias("min7"),
-        (F.avg((F.col(value) < threshold).cast("double")) if threshold is not None else F.lit(None).cast("double")).alias("frac_below"),
+        F.when(F.max("_twice"), F.raise_error(F.lit("a day of a series repeats"))).otherwise(F.count(value).cast("int")).alias("n_days"), F.max(length).alias("_length"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.min("_m7").alias("min7"),
+        F.avg((F.col(value) < F.col("_thr")).cast("double")).alias("frac_below"),
         F.min(F.when((F.col("_total") > 0) & (F.col("_run") >= F.col("_total") / 2), F.col("_n"))).alias("_half"),
         flag("symbol", "B").alias("frac_ice"), flag("status", "provisional").alias("frac_provisional"),
     )
@@ -88,12 +93,14 @@ def window_stats(daily: DataFrame, windows: list[tuple[str, str, str]], by: tupl
     )
 
 
-def as_long(stats: DataFrame, prefix: str = "", by: tuple[str, ...] = ("station",)) -> DataFrame:
-    """One row per statistic that is there: variable, value and what kind of anomaly it has."""
+def as_long(stats: DataFrame, prefix: str = "", by: tuple[str, ...] = ("station",), unit: str | None = None) -> DataFrame:
+    """One row per statistic that is there: variable, value, what kind of anomaly it has and, where ``unit`` names that of the
+    values, its unit (shares have none, cov_day counts days)."""
     kind = F.when(F.col("stat") == "cov_day", "absolute").when(F.col("stat") == "frac_below", "absolute").otherwise("percent")
     stacked = ", ".join(f"'{s}', cast({s} as double)" for s in STATS)
     rows = stats.selectExpr(*by, "period", "year", "n_days", f"stack({len(STATS)}, {stacked}) as (stat, value)").where("value is not null")
-    return rows.select(*by, F.concat(F.lit(prefix), "stat").alias("variable"), "period", "year", "value", kind.alias("anomaly_type"), "n_days")
+    own = F.when(F.col("stat") == "cov_day", "day").when(F.col("stat") == "frac_below", "").otherwise(unit or "")
+    return rows.select(*by, F.concat(F.lit(prefix), "stat").alias("variable"), "period", "year", "value", kind.alias("anomaly_type"), "n_days", *([own.alias("unit")] if unit else []))
 
 
 def climatology_windows(values: DataFrame, windows: list[tuple[str, str, str]], by: tuple[str, ...] = ("id",), value: str = "q") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 _DAILY = "daily AS (SELECT l_returnflag AS station, l_shipdate::DATE AS date, sum(l_quantity)::DOUBLE AS q FROM lineitem GROUP BY ALL)"
 _SPARSE = "sparse AS (SELECT l_suppkey::VARCHAR AS station, l_shipdate::DATE AS date, sum(l_quantity)::DOUBLE AS q FROM lineitem GROUP BY ALL)"
-_YEARLY = "yearly AS (SELECT l_suppkey::VARCHAR AS station, year(l_shipdate)::BIGINT AS year, avg(l_quantity)::DOUBLE AS value FROM lineitem WHERE l_suppkey <= 30 GROUP BY ALL)"
+_YEARLY = "yearly AS (SELECT l_suppkey::VARCHAR AS station, year(l_shipdate)::BIGINT AS year, avg(l_quantity)::DOUBLE AS value FROM lineitem GROUP BY ALL)"
 _MONTHLY = "monthly AS (SELECT c_nationkey AS id, month(o_orderdate)::BIGINT AS month, avg(o_totalprice) AS q FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"
 _READINGS = "readings AS (SELECT (user_id % 5)::VARCHAR AS station, ts, value, event_type IN ('purchase', 'signup') AS final, (-8 + user_id % 5) * 3600 AS offset_s FROM events)"
 _SOURCES = """sources AS (SELECT l_partkey AS id, (sum(l_quantity) FILTER (l_returnflag = 'A'))::DOUBLE AS routed,
@@ -143,10 +143,10 @@ SELECT segment, month, d AS day, round(greatest(sum(q), 0)::DECIMAL(30, 10), 5):
     "upstream_sums": f"WITH {_PAIRS} SELECT t.id, coalesce(sum(p.area), 0) AS area FROM tree t LEFT JOIN pairs p USING (id) GROUP BY t.id",
     "upstream_mean_covered": f"WITH {_PAIRS}, s AS (SELECT t.id, coalesce(sum(p.area), 0) AS a, coalesce(sum(p.area) FILTER (p.v IS NOT NULL), 0) AS c, coalesce(sum(p.area * p.v), 0) AS x FROM tree t LEFT JOIN pairs p USING (id) GROUP BY t.id) SELECT id, CASE WHEN c > 0 THEN round(x / c, 6) END AS mean, CASE WHEN a > 0 THEN round(c / a, 6) END AS coverage FROM s",
     "upstream_mean_total": f"WITH {_PAIRS}, s AS (SELECT t.id, coalesce(sum(p.area), 0) AS a, coalesce(sum(p.area) FILTER (p.v IS NOT NULL), 0) AS c, coalesce(sum(p.area * p.v), 0) AS x FROM tree t LEFT JOIN pairs p USING (id) GROUP BY t.id) SELECT id, CASE WHEN c > 0 THEN round(x / a, 6) END AS mean, CASE WHEN a > 0 THEN round(c / a, 6) END AS coverage FROM s",
-    "tree_roots": f"WITH {_TREE}, s AS (SELECT DISTINCT w FROM tree WHERE id % 2 = 0 OR id > 1500000) SELECT w FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE starts_with(s.w, o.w || '.'))",
+    "tree_roots": f"WITH {_TREE}, s AS (SELECT DISTINCT w FROM tree WHERE v IS NOT NULL) SELECT w FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE starts_with(s.w, o.w || '.'))",
     "tree_closure": f"WITH {_TREE} SELECT DISTINCT t.id FROM tree t JOIN tree c ON c.id < 20 AND {_under('t.w', 'c.w')}",
     "tree_reach": f"WITH {_TREE} SELECT DISTINCT b.id FROM tree a JOIN tree b ON a.id < 20 AND {_up('a', 'b')}",
-    "cv_folds": f"""WITH {_TREE}, s AS (SELECT lpad((id % 37)::VARCHAR, 4, '0') || id AS station, lpad((id % 37)::VARCHAR, 4, '0') AS fold, w, l, area FROM tree WHERE id % 9 = 0)
+    "cv_folds": f"""WITH {_TREE}, s AS (SELECT lpad((id % 37)::VARCHAR, 4, '0') || id AS station, lpad((id % 37)::VARCHAR, 4, '0') AS fold, w, l, area FROM tree)
 SELECT s.station, s.fold, coalesce((SELECT max(least(1, b.area / s.area)) FROM s b WHERE b.fold <> s.fold AND {_up('s', 'b')}), 0) AS leak_up, EXISTS (SELECT 1 FROM s a WHERE a.fold <> s.fold AND {_up('a', 's')}) AS leak_down FROM s""".replace("max(least(1, b.area / s.area))", "round(max(least(1, b.area / s.area)), 6)"),
     "snap_pick": """WITH st AS (SELECT s_suppkey AS station, CASE WHEN s_suppkey % 5 <> 0 THEN 10000 + s_acctbal END AS gross FROM supplier),
 c AS (SELECT l_suppkey AS station, l_orderkey * 8 + l_linenumber AS segment, l_extendedprice::DOUBLE AS area, (l_tax * 100)::DOUBLE AS distance FROM lineitem),

@@ -104,10 +104,10 @@ QUERIES = {
     "upstream_sums": lambda t: _rounded(network.upstream_sums(t.tree(), ["area"])),
     "upstream_mean_covered": lambda t: _rounded(network.upstream_mean(t.tree(), "v")),
     "upstream_mean_total": lambda t: _rounded(network.upstream_mean(t.tree(), "v", over="total")),
-    "tree_roots": lambda t: network.roots(t.tree().where("id % 2 = 0 or id > 1500000")),
+    "tree_roots": lambda t: network.roots(t.tree().where("v is not null")),
     "tree_closure": lambda t: network.closure(t.tree(), t.tree().where("id < 20")),
     "tree_reach": lambda t: network.reach(t.tree(), t.tree().where("id < 20")),
-    "cv_folds": lambda t: _rounded(network.cv_folds(t.tree().selectExpr("concat(lpad(cast(id % 37 as string), 4, '0'), cast(id as string)) as station", "w", "l", "area").where("cast(substr(station, 5) as long) % 9 = 0"))),
+    "cv_folds": lambda t: _rounded(network.cv_folds(t.tree().selectExpr("concat(lpad(cast(id % 37 as string), 4, '0'), cast(id as string)) as station", "w", "l", "area"))),
     "snap_pick": lambda t: network.snap_pick(t.lineitem.selectExpr("l_suppkey as station", "l_orderkey * 8 + l_linenumber as segment", "cast(l_extendedprice as double) as area", "cast(l_tax * 100 as double) as distance"), t.supplier.selectExpr("s_suppkey as station", "case when s_suppkey % 5 <> 0 then 10000 + s_acctbal end as gross")),
     "knn_donor_mean": lambda t: _rounded(_donor_mean(t)),
     "donor_correlations": lambda t: _rounded(models.donor_correlations(t.yearly(), 5)),
@@ -150,8 +150,10 @@ QUERIES = {
 
 
 def bound() -> dict:
-    return {name: (lambda spark, folder, f=f: f(Tables(spark, folder))) for name, f in QUERIES.items()}
+    from freshet.plans import more
+
+    return {name: (lambda spark, folder, f=f: f(Tables(spark, folder))) for name, f in (QUERIES | more.QUERIES).items()}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return QUERIES["window_stats"](Tables(spark, folder))
+    return _rounded(_stats(Tables(spark, folder), min_frac=0.2))

@@ -50,8 +50,8 @@ class Tables:
         return self.lineitem.join(self.part, F.expr("l_partkey = p_partkey")).groupBy("l_partkey", "p_size").pivot("l_returnflag", ["A", "R"]).agg({"l_quantity": "sum"}).selectExpr("l_partkey as id", "cast(A as double) as routed", "cast(R as double) * (1 + l_partkey % 9) as balance", "p_size % 5 <> 0 as own_line")
 
     def yearly(self) -> DataFrame:
-        """Yearly means per supplier of the smaller numbers."""
-        return self.lineitem.where("l_suppkey <= 30").selectExpr("cast(l_suppkey as string) as station", "year(l_shipdate) as year", "cast(l_quantity as double) as q").groupBy("station", "year").agg({"q": "avg"}).withColumnRenamed("avg(q)", "value")
+        """Yearly means per supplier."""
+        return self.lineitem.selectExpr("cast(l_suppkey as string) as station", "year(l_shipdate) as year", "cast(l_quantity as double) as q").groupBy("station", "year").agg({"q": "avg"}).withColumnRenamed("avg(q)", "value")
 
     def bins(self) -> DataFrame:
         """Calendar bins of each nation: day means over years, one year in four has the leap day."""

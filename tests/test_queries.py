@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from freshet.plans import oracles, queries
+from freshet.plans import more, oracles, queries
 from freshet.plans.views import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -15,15 +15,18 @@ def plain(v):
         return str(v)
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+QUERIES, ORACLES = queries.QUERIES | more.QUERIES, oracles.ORACLES | more.ORACLES
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    relation = con.sql(oracles.ORACLES[name])
+    relation = con.sql(ORACLES[name])
     order = sorted(relation.columns)
     want = sorted([[plain(dict(zip(relation.columns, r))[c]) for c in order] for r in relation.fetchall()], key=str)
-    df = queries.QUERIES[name](Tables(spark, SF))
+    df = QUERIES[name](Tables(spark, SF))
     assert sorted(df.columns) == order
     got = sorted([[plain(r[c]) for c in order] for r in df.collect()], key=str)
     assert len(got) == len(want)
