@@ -28,13 +28,14 @@ def upstream_sums(ws: DataFrame, columns: list[str]) -> DataFrame:
     keeps its precision beside a large river.
     """
     regular = under(F.col("l"), F.col("w"))
-    own = ws.where(regular)
     sums = [F.sum(c).alias(c) for c in columns]
+    # one row per pair of codes, which every branch below starts from: kept in memory or on disk, or each would scan anew
+    base = ws.groupBy("w", "l").agg(*sums).persist()
+    own = base.where(regular)
     tree = own.select(F.explode(ancestors(F.col("w"))).alias("code"), *columns).groupBy("code").agg(*sums)
     # the stream's own rows from each place upward
-    place = own.groupBy("w", "l").agg(*sums)
     upward = Window.partitionBy("w").orderBy(F.col("l").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    place = place.select("w", "l", *[F.sum(c).over(upward).alias(c) for c in columns])
+    place = own.select("w", "l", *[F.sum(c).over(upward).alias(c) for c in columns])
     # at each stream, the subtrees that join beyond each possible mouth; mouths that are no stream themselves are asked for
     asked = own.where("w <> l").select("w", "l").distinct()
     mouths = asked.select("w", "l", F.explode(F.filter(ancestors(F.col("l")), lambda a: F.length(a) > F.length(F.col("w")))).alias("mouth"))
@@ -47,15 +48,16 @@ def upstream_sums(ws: DataFrame, columns: list[str]) -> DataFrame:
     at_code = tree.withColumnRenamed("code", "w").select("w", F.col("w").alias("l"), *columns, F.lit(0).alias("part"))
     above = place.where("w <> l").withColumn("part", F.lit(0)).unionByName(tributaries.withColumn("part", F.lit(1)))
     answer = at_code.unionByName(above).groupBy("w", "l").agg(*sums)
-    keys = ws.select("id", "w", "l")
-    told = keys.where(regular).join(answer, ["w", "l"], "left").select("id", *columns)
+    keys = base.select("w", "l")
+    told = keys.where(regular).join(answer, ["w", "l"], "left").select("w", "l", *columns)
     # irregular rows as questions, and as contributors to everyone
-    odd = ws.where(~regular)
+    odd = base.where(~regular)
     odd_up = odd.select(F.col("w").alias("w2"), F.col("l").alias("l2"), F.explode(ancestors(F.col("w"))).alias("w"), *columns)
-    added = keys.join(odd_up, "w").where(upstream_of(F.col("w"), F.col("l"), F.col("w2"), F.col("l2"))).select("id", *columns)
+    added = keys.join(odd_up, "w").where(upstream_of(F.col("w"), F.col("l"), F.col("w2"), F.col("l2"))).select("w", "l", *columns)
     all_up = own.select(F.col("w").alias("w2"), F.col("l").alias("l2"), F.explode(ancestors(F.col("w"))).alias("w"), *columns)
-    asked_odd = odd.select("id", "w", "l").join(all_up, "w").where(upstream_of(F.col("w"), F.col("l"), F.col("w2"), F.col("l2"))).select("id", *columns)
-    return told.unionByName(added).unionByName(asked_odd).unionByName(keys.select("id", *[F.lit(0.0).alias(c) for c in columns])).groupBy("id").agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in columns])
+    asked_odd = odd.select("w", "l").join(all_up, "w").where(upstream_of(F.col("w"), F.col("l"), F.col("w2"), F.col("l2"))).select("w", "l", *columns)
+    total = told.unionByName(added).unionByName(asked_odd).groupBy("w", "l").agg(*sums)
+    return ws.select("id", "w", "l").join(total, ["w", "l"], "left").select("id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns])
 
 
 def upstream_mean(ws: DataFrame, value: str, area: str = "area", over: str = "covered") -> DataFrame:
