@@ -64,11 +64,14 @@ def scan(spark: SparkSession, root: str, parts: DataFrame, ids: list[int] | None
     return rows if groups is None else rows.where(F.col("watershed_group_code").isin(groups))
 
 
-def publish(rows: DataFrame, root: str, dataset: str, keys: list[str]) -> None:
+def publish(rows: DataFrame, root: str, dataset: str, keys: list[str], file_rows: int = 5_000_000) -> None:
     """Write scenario/forcing/source/code partitions, sorted within files so that row groups can be skipped. Each partition given
-    replaces that one only."""
-    spread = rows.repartition(*[c for c in ("scenario", "forcing", "source", "code")]).sortWithinPartitions("code", *keys)
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("scenario", "forcing", "source", "code").parquet(f"{root}/{dataset}")
+    replaces that one only. Rows are dealt by ranges of partition and keys, so that one of many rows is written by several tasks,
+    to several files of at most ``file_rows`` rows."""
+    part = ("scenario", "forcing", "source", "code")
+    order = [*part, *[k for k in keys if k not in part]]
+    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    spread.write.mode("overwrite").option("maxRecordsPerFile", file_rows).option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("scenario", "forcing", "source", "code").parquet(f"{root}/{dataset}")
 
 
 def check_load(rows: DataFrame, keys: list[str]) -> None:
@@ -79,20 +82,97 @@ def check_load(rows: DataFrame, keys: list[str]) -> None:
         raise ValueError(f"load refused: {(bad or picks)[0]}")
 
 
-def write_manifest(spark: SparkSession, root: str, name: str, sources: list[dict]) -> dict:
-    """Manifest of the parts under ``root``: rows from a count per file, bytes and md5 from the files' contents."""
+def _facts(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """path, bytes, md5 of the files under ``root``, read by the executors in pieces of a few megabytes through Arrow's file
+    systems, whatever the size of a file."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path")
+
+    def digested(batches):
+        import hashlib
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            sizes, sums = [], []
+            for uri in batch.column("path").to_pylist():
+                store, path = fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file:///") else uri)
+                md5, size = hashlib.md5(), 0
+                with store.open_input_stream(path, compression=None) as stream:
+                    while piece := stream.read(1 << 22):
+                        md5.update(piece)
+                        size += len(piece)
+                sizes.append(size)
+                sums.append(md5.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(sizes, pa.int64()), pa.array(sums, pa.string())], ["path", "bytes", "md5"])
+
+    return listed.mapInArrow(digested, "path string, bytes long, md5 string")
+
+
+def write_manifest(spark: SparkSession, root: str, name: str, sources: list[dict], receipt: dict | None = None) -> dict:
+    """Manifest of the parts under ``root``: rows from a count per file, bytes and md5 from the files' contents. One entry a file
+    reaches the driver, as the manifest is one document. ``receipt`` (recipe, inputs, row counts of the result) goes with it."""
     check_id(name)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*.parquet").load(root)
-    facts = files.select("path", F.length("content").alias("bytes"), F.md5("content").alias("md5"))
+    facts = _facts(spark, root, "part-*.parquet")
     counts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "part-*.parquet").parquet(root).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows"))
-    parts = [r.asDict() for r in facts.join(counts, "path", "left").orderBy("path").collect()]
-    return {"manifest_version": 1, "id": name, "sources": sources, "parts": [{"key": p["path"].split(root.rstrip("/") + "/")[-1], "rows": p["rows"] or 0, "bytes": p["bytes"], "md5": p["md5"]} for p in parts]}
+    slashes = lambda c: F.regexp_replace(c, "^file:/+", "file:///")
+    joined = facts.withColumn("path", slashes("path")).join(counts.withColumn("path", slashes("path")), "path", "left")
+    parts = [r.asDict() for r in joined.orderBy("path").collect()]
+    entries = [{"key": p["path"].split(root.rstrip("/") + "/")[-1], "rows": p["rows"] or 0, "bytes": p["bytes"], "md5": p["md5"]} for p in parts]
+    return {"manifest_version": 1, "id": name, "sources": sources, "parts": entries} | ({"receipt": receipt} if receipt else {})
+
+
+def check_entries(keys: list[str]) -> list[str]:
+    """Keys of what a manifest holds beside parts: plain relative paths of known kinds, none of which climbs."""
+    for key in keys:
+        if not re.fullmatch(r"(?:receipt|fit)/[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)*", key) or ".." in key:
+            raise ValueError(f"{key!r} is no entry of a manifest")
+    return keys
+
+
+def ledger(loads: DataFrame, new: DataFrame) -> DataFrame:
+    """One row per loaded part (dataset, scenario, key, rows, md5): those of a dataset and scenario that is loaded again are
+    replaced as a whole."""
+    again = new.select("dataset", "scenario").distinct()
+    return loads.join(F.broadcast(again), ["dataset", "scenario"], "left_anti").unionByName(new)  # one row a dataset and scenario
+
+
+def conform(rows: DataFrame, columns: list[str], keys: list[str], value: str = "q_m3s") -> DataFrame:
+    """The rows with exactly the columns, in order, sorted by keys within partitions; an error where a column is lacking or
+    foreign, a period is not two years, or a flow is negative. Unique keys are ``check_load``'s."""
+    if set(rows.columns) != set(columns):
+        raise ValueError(f"columns differ: {sorted(set(rows.columns) ^ set(columns))}")
+    low = F.coalesce(F.col(value) < 0, F.lit(False))
+    bad = low | (~F.regexp_like("period", F.lit("^[0-9]{4}-[0-9]{4}$")) if "period" in columns else F.lit(False))
+    return rows.withColumn(value, F.when(bad, F.raise_error(F.lit("a flow is negative or a period is no two years"))).otherwise(F.col(value))).select(*columns).sortWithinPartitions(*keys)
+
+
+def content_key(*columns: str):
+    """md5 of the columns' texts joined by bars; NaN and null are alike."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.when(F.col(c).cast("string") != "NaN", F.col(c).cast("string")), F.lit("")) for c in columns]).cast("binary"))
+
+
+def read_observations(spark: SparkSession, path: str) -> DataFrame:
+    """station, ts, q, file of CSV files with columns station, ts, value, unit: names trimmed, litres a second brought to cubic
+    metres, values that are no number gone."""
+    raw = spark.read.schema("station string, ts timestamp, value double, unit string").option("header", True).csv(path).select("*", F.col("_metadata.file_path").alias("file"))
+    q = F.when(F.trim("unit") == "l/s", F.col("value") / 1000).otherwise(F.col("value"))
+    return raw.where(F.col("value").isNotNull() & ~F.isnan("value")).select(F.trim("station").alias("station"), "ts", q.alias("q"), "file")
+
+
+def part_counts(rows: DataFrame) -> DataFrame:
+    """scenario, forcing, source, n of a published dataset."""
+    return rows.groupBy("scenario", "forcing", "source").agg(F.count("*").alias("n"))
+
+
+def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of either that the other lacks, repeats counted, with ``side``."""
+    return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))
 
 
 def verify(spark: SparkSession, root: str, parts: DataFrame) -> DataFrame:
     """key, ok, reason: size and md5 of every part's file against the manifest."""
-    there = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    there = there.select(F.regexp_replace("path", "^.*" + re.escape(root.rstrip("/")) + "/", "").alias("key"), F.length("content").cast("long").alias("_bytes"), F.md5("content").alias("_md5"))
+    there = _facts(spark, root, "*").select(F.regexp_replace("path", "^.*" + re.escape(root.rstrip("/")) + "/", "").alias("key"), F.col("bytes").alias("_bytes"), F.col("md5").alias("_md5"))
     reason = F.when(F.col("_md5").isNull(), "missing").when(F.col("bytes") != F.col("_bytes"), "size differs").when(F.col("md5") != F.col("_md5"), "md5 differs").otherwise("")
     return parts.select("key", "bytes", "md5").join(there, "key", "left").select("key", (reason == "").alias("ok"), reason.alias("reason"))
 
