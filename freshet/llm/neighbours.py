@@ -213,8 +213,9 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, lists: int | None =
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by ``every`` the k nearest others found.
 
     Vectors are classed by value, so ties by id and repeats are exact: of a class only the k + 1 smallest ids can be answers.
-    Rows that take no part neither ask nor answer. Fewer than k candidates: all of them. Repeated vec_ids are rows of their
-    own, and a query leaves out every row with its id. The sample bounds the fit; every vector is indexed. Components may be
+    Rows that take no part neither ask nor answer. Fewer than k candidates: all of them. Rows of equal vec_id and
+    vector count once; those of equal vec_id and other vectors ask and answer each for itself, and a query leaves out every row
+    with its id. The sample bounds the fit; every vector is indexed. Components may be
     as large as a double holds; an overflowing score is infinite.
     """
     rows = cut(valid(vectors))
@@ -243,10 +244,10 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, lists: int | None =
         scored = scored.unionByName(more).groupBy("q", "rep").agg(F.max("score").alias("score"))
     top = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
     best = scored.withColumn("i", F.row_number().over(top)).where(F.col("i") <= k + 1).drop("i")
-    each = best.join(_first_members(rows.join(rep.select("v", "rep"), "v").select("rep", "vec_id"), k + 1), "rep")
+    each = best.join(_first_members(rows.join(rep.select("v", "rep"), "v").select("rep", "vec_id").distinct(), k + 1), "rep")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     answers = each.withColumn("i", F.row_number().over(order)).where(F.col("i") <= 2 * k + 2).select("q", "vec_id", "score")
-    queries = asked.join(rep.select("v", "rep"), "v").select(F.col("vec_id").alias("query_id"), F.col("rep").alias("q"))
+    queries = asked.join(rep.select("v", "rep"), "v").select(F.col("vec_id").alias("query_id"), F.col("rep").alias("q")).distinct()
     final = queries.join(answers, "q").where("query_id <> vec_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id"))
     return final.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

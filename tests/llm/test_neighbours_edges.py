@@ -40,6 +40,12 @@ def test_ties_repeats_and_repeated_ids(spark):
     assert {j for j, _ in got[40]} <= {1, 2, 3, 5, 20} and 40 not in {j for j, _ in got[40]}
 
 
+def test_repeated_rows_do_not_crowd_out_others(spark):
+    rows = [(20, [1.0, 0.0], None, None)] * 5 + [(1, [0.9, 0.0], None, None)] * 30 + [(i, [0.5 / i, 0.1], None, None) for i in range(2, 9)]
+    got = neighbours.search(spark.createDataFrame(rows, SCHEMA), k=4).orderBy("rank").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(20, 1, 1), (20, 2, 2), (20, 3, 3), (20, 4, 4)]
+
+
 def test_queries_whose_lists_are_too_short_are_held_against_all(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "PROBES", 1)
     rng = np.random.default_rng(6)
