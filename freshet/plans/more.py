@@ -95,8 +95,8 @@ SELECT class, et_mm::DOUBLE AS et_mm, round(aet_mean, 6) AS aet_mean, coalesce(n
         f"WITH f AS ({_FRACTIONS}), e AS ({_AET}), m AS (SELECT cell, sum(coalesce(fraction, 0) * CASE class WHEN 'forest' THEN 1.5 WHEN 'shrub' THEN 0.5 ELSE 1.25 END) + 1 - sum(coalesce(fraction, 0)) AS m FROM f GROUP BY 1) SELECT cell, round(aet * m, 6) AS aet FROM e JOIN m USING (cell)",
     ),
     "anomaly_means": (
-        lambda t: _rounded(balance.anomaly_means(t.daily().selectExpr("station as variable", "year(date) as year", "q as value").groupBy("variable", "year").agg(F.avg("value").alias("value")), (1993, 1994))),
-        f"WITH {_DAILY}, y AS (SELECT station, year(date) AS y, avg(q) AS v FROM daily GROUP BY ALL) SELECT station AS variable, round(avg(v), 6) AS value FROM y WHERE y BETWEEN 1993 AND 1994 GROUP BY 1",
+        lambda t: _rounded(balance.anomaly_means(t.daily().selectExpr("station as variable", "year(date) as year", "q as value").groupBy("variable", "year").agg(F.avg("value").alias("value")), (1996, 1998))),
+        f"WITH {_DAILY}, y AS (SELECT station, year(date) AS y, avg(q) AS v FROM daily GROUP BY ALL) SELECT station AS variable, round(avg(v), 6) AS value FROM y WHERE y BETWEEN 1996 AND 1998 GROUP BY 1",
     ),
     "yearly_sum_of_months": (
         lambda t: _rounded(balance.yearly_sum(_sql(t, _MONTHS).selectExpr("station", "year", "month", "q as value").where("(station + month) % 11 <> 0"), ("station", "year")), 3),
