@@ -44,6 +44,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table written below the shared folder and read back. Loops of joins need this in place of ``cut``: a checkpoint
+    keeps its plan's estimated size, joins multiply estimates, and after some rounds these are numbers of millions of digits."""
+    path = fresh_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import cut
+from freshet.llm.common import written
 
 
 def _to_ends(hook: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def _to_ends(hook: DataFrame) -> DataFrame:
         for _ in range(3):
             up = hook.select(F.col("a").alias("from"), F.col("b").alias("to"))
             hook = hook.join(up, hook["b"] == up["from"], "left").select("a", F.coalesce("to", "b").alias("b"), F.col("to").isNotNull().alias("further"))
-        hook = cut(hook)
+        hook = written(hook)
         if hook.where("further").isEmpty():
             return hook.select("a", "b")
 
@@ -24,20 +24,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, root: the smallest node reachable, for every node that has an edge (a, b).
 
     Each round hooks every group of nodes to its smallest neighbouring group, follows chains of hooks to their ends,
-    relabels, and drops edges inside a group. State is cut to the shared checkpoint folder every
+    relabels, and drops edges inside a group. State is written to the shared folder every
     round; nothing but a row count reaches the driver. A hub's rows are spread by the skew join of adaptive execution.
     """
-    edges = cut(edges.select("a", "b").where("a <> b").distinct())
+    edges = written(edges.select("a", "b").where("a <> b").distinct())
     if edges.isEmpty():
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     state = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
-    state = cut(state)
+    state = written(state)
     group = edges
     for _ in range(max_rounds):
         both = group.select("a", "b").unionByName(group.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = cut(both.groupBy("a").agg(F.min("b").alias("b")).where("b < a"))
+        hook = written(both.groupBy("a").agg(F.min("b").alias("b")).where("b < a"))
         hook = _to_ends(hook)
-        state = cut(state.join(hook, state["root"] == hook["a"], "left").select("node", F.coalesce("b", "root").alias("root")))
+        state = written(state.join(hook, state["root"] == hook["a"], "left").select("node", F.coalesce("b", "root").alias("root")))
         left = hook.select(F.col("a").alias("la"), F.col("b").alias("lb"))
         right = hook.select(F.col("a").alias("ra"), F.col("b").alias("rb"))
         group = (
@@ -45,7 +45,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .select(F.coalesce("lb", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
             .where("a <> b").distinct()
         )
-        group = cut(group)
+        group = written(group)
         if group.isEmpty():
             return state
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
