@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from freshet.llm.common import cut, exact_rank
+from freshet.llm.common import cut, exact_rank, written
 
 #: Share of a shard's quota that one piece of a group takes at most: a larger group is salted into pieces.
 PIECE = 0.5
@@ -41,7 +41,7 @@ def _targeted(state: DataFrame, target: DataFrame) -> DataFrame:
 
 def propagate(linked: DataFrame, quotas: list[int], rounds: int = 8) -> DataFrame:
     """uid, node (group piece), hot, shard after label propagation of (uid, node, hot, shard); shards x shards numbers reach the
-    driver each round."""
+    driver each round. State is a table between rounds: a checkpoint's estimated size would grow with each round's joins."""
     total = sum(quotas)
     state = linked
     for _ in range(rounds):
@@ -67,7 +67,7 @@ def propagate(linked: DataFrame, quotas: list[int], rounds: int = 8) -> DataFram
         first = moves.join(F.broadcast(whole), ["shard", "target", "turn"], "left_semi").select("uid", F.col("target").alias("to"))
         some = exact_rank(moves.join(F.broadcast(part), ["shard", "target", "turn"]), ["shard", "target"], ["node", "uid"], "rank", total).where("rank < rest").select("uid", F.col("target").alias("to"))
         go = first.unionByName(some)
-        state = cut(state.join(go, "uid", "left").select("uid", "node", "hot", F.coalesce("to", "shard").alias("shard")))
+        state = written(state.join(go, "uid", "left").select("uid", "node", "hot", F.coalesce("to", "shard").alias("shard")))
     return state
 
 

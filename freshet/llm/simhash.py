@@ -140,9 +140,13 @@ def near_copies(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame
 
 def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """The documents without near copies (texts whose sets of ``words``-word shingles have a Jaccard similarity of ``least`` or
-    more, see overlap.py): of each component the one with the smallest doc_id stays, with all its columns.
-    Of rows that repeat that id one stays. Rows with a null id cannot be named by a link and stay."""
-    firsts = overlap.classes(docs, words, least).where("doc_id = component_id").select(F.col("component_id").alias("__keep")).distinct()
-    kept = docs.join(firsts, docs["doc_id"] == firsts["__keep"], "left_semi")
-    kept = kept.withColumn("__i", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__i = 1").drop("__i")
-    return kept.unionByName(docs.where("doc_id is null"))
+    more, see overlap.py): of each component one row stays, with all its columns: that of the smallest doc_id (nulls last), then
+    of the smallest hash of its text. Of rows that repeat its id and text the one of the smallest other columns stays.
+    Rows of equal ids and other texts are documents of their own."""
+    keep = cut(overlap.keepers(docs, words, least)).select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("n").alias("__n"))
+    rows = docs.withColumn("__h", F.xxhash64("text"))
+    same = rows["doc_id"].eqNullSafe(keep["__id"]) & (rows["__h"] == keep["__t"])
+    lone = rows.join(keep.where("__n = 1"), same, "left_semi").drop("__h")
+    # repeated rows meet in partial aggregates, not in one task
+    many = rows.join(keep.where("__n > 1"), same, "left_semi").groupBy("doc_id", "__h").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return lone.unionByName(many)

@@ -55,3 +55,17 @@ def test_pairs_across_groups_of_a_band_are_seen(spark, monkeypatch):
     rows = planted(6, 8)
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == kept(rows)
+
+
+def test_repeated_ids_keep_unique_texts(spark):
+    rows = [(3, "A"), (5, "A"), (5, "B"), (5, "B"), (None, "A"), (None, "C"), (None, "C"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one(docs).collect()), key=str) == sorted([(3, "A"), (5, "B"), (None, "C"), (None, None)], key=str)
+
+
+def test_blocks_of_a_band_see_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "bands", lambda hashes: overlap.np.zeros(1, "int64"))
+    monkeypatch.setattr(overlap, "MEET_ROWS", 7)
+    rows = planted(8, 8)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == kept(rows)
