@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from freshet.llm import language_id, mixing, neighbours, packing, secret_scan, sharding, simhash, spotsigs, token_files, toxicity
+from freshet.llm import filter_audit, language_id, mixing, neighbours, oracles, packing, secret_scan, sharding, simhash, spotsigs, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +29,12 @@ QUERIES = {
     "op8_label_propagation_shards": lambda spark, d: sharding.assign(_table(spark, d, "documents")),
     "op9_source_mix": lambda spark, d: mixing.mix_sizes(_table(spark, d, "documents")),
     "op10_secret_scan": lambda spark, d: secret_scan.digest(_table(spark, d, "documents")),
+    "op11_filter_audit": lambda spark, d: filter_audit.audit(_table(spark, d, "documents"), _table(spark, d, "labels")),
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
+    "op11_filter_audit": oracles.FILTER_AUDIT,
     "op9_source_mix": r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
