@@ -34,3 +34,28 @@ WITH d AS (
 )
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM summed
 """
+
+JACCARD_JOIN = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d
+), named AS (
+  SELECT doc_id, len(s) AS n_shingles, min(doc_id) OVER (PARTITION BY list_sort(s)) AS node FROM sets
+), nodes AS (
+  SELECT node, any_value(s) AS s FROM named JOIN sets USING (doc_id) WHERE len(s) > 0 GROUP BY node
+), each AS (
+  SELECT node, len(s) AS n, hash(unnest(s)) AS h FROM nodes
+), edges AS (
+  SELECT x.node AS a, y.node AS b FROM each x JOIN each y ON x.h = y.h AND x.node < y.node AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+  GROUP BY x.node, y.node, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), both_ways AS (
+  SELECT a, b FROM edges UNION SELECT b, a FROM edges
+), reach AS (
+  SELECT node, node AS other FROM nodes UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.other = e.a
+), roots AS (
+  SELECT node, min(other) AS root FROM reach GROUP BY node
+)
+SELECT n.doc_id, n.n_shingles::BIGINT AS n_shingles, CASE WHEN n.n_shingles = 0 THEN n.doc_id ELSE r.root END AS component_id FROM named n LEFT JOIN roots r USING (node)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from freshet.llm import conversation_repair, filter_audit, language_id, mixing, neighbours, oracles, packing, secret_scan, sharding, simhash, spotsigs, token_files, toxicity
+from freshet.llm import conversation_repair, filter_audit, jaccard_join, language_id, mixing, neighbours, oracles, packing, secret_scan, sharding, simhash, spotsigs, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +31,12 @@ QUERIES = {
     "op10_secret_scan": lambda spark, d: secret_scan.digest(_table(spark, d, "documents")),
     "op11_filter_audit": lambda spark, d: filter_audit.audit(_table(spark, d, "documents"), _table(spark, d, "labels")),
     "op12_conversation_repair": lambda spark, d: conversation_repair.repaired(_table(spark, d, "conversations")),
+    "op13_jaccard_join": lambda spark, d: jaccard_join.classes(_table(spark, d, "documents")),
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
+    "op13_jaccard_join": oracles.JACCARD_JOIN,
     "op11_filter_audit": oracles.FILTER_AUDIT,
     "op9_source_mix": r"""
 WITH sized AS (
