@@ -12,6 +12,7 @@ sizes and parities allow the similarity are counted, in blocks, so every link th
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,8 +31,8 @@ SEED = 42
 BUCKET_BITS, ROW_BITS = 20, 12
 #: Fragments of the order at least; more where the longest set has over ``SEGMENT`` shingles a fragment.
 FRAGMENTS, SEGMENT = 8, 4096
-#: Nodes of a prefix group that meet in one task, rounds of heads, bits of parities, words that a worker remembers, rows it holds at once.
-MEET_ROWS, ROUNDS, BITS, WORDS, SLICE = 2048, 2, 512, 300_000, 128
+#: Nodes of a prefix group that meet in one task, rounds of heads, bits of parities, bytes hashed at once, rows a worker holds at once.
+MEET_ROWS, ROUNDS, BITS, CHUNK, SLICE = 2048, 1, 1024, 1 << 20, 128
 #: Occurrences of a hash bucket for which its prefix groups get another salt.
 SALT_ROWS = 100_000
 #: Bits a wanted node has in the filter of the second reading, and the most bits of that filter.
@@ -40,34 +41,75 @@ _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 _LOW = np.uint64((1 << BUCKET_BITS) - 1)
 
 
-class _Words(dict):
-    """Hashes of words, for the life of a worker."""
+_draw = np.random.default_rng(SEED)
+#: A drawn number for each byte, 0 for white space; an odd base and its inverse modulo 2^64.
+_BYTES = _draw.integers(1, 1 << 64, 256, np.uint64)
+_SOLID = np.ones(256, bool)
+_SOLID[[32, *range(9, 14)]] = False
+_BYTES[~_SOLID] = 0
+_BASE = int(_draw.integers(0, 1 << 64, dtype=np.uint64)) | 1
+_UP = np.multiply.accumulate(np.array([1] + [_BASE] * CHUNK, np.uint64))
+_DOWN = np.multiply.accumulate(np.array([1] + [pow(_BASE, -1, 1 << 64)] * CHUNK, np.uint64))
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word, SEED)
-        return value
-
-
-_words = _Words()
 
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word: its bytes' numbers times powers of the base, summed over whole chunks of text at once. A word that
+    fills a chunk is hashed by itself."""
+    import xxhash
 
-def shingles(text: str | None, words: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles: of all ``words`` words in a row, or of the whole text if it has
-    fewer. Empty without a word."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    each = np.fromiter(map(_words.__getitem__, tokens), np.uint64, len(tokens))
-    length = min(words, len(tokens))
-    out = np.full(len(tokens) - length + 1, length, np.uint64)
+    hashes, starts, at = [], [], 0
+    while at < len(data):
+        part = np.frombuffer(data, np.uint8, min(CHUNK, len(data) - at), at)
+        solid = _SOLID[part]
+        if len(part) == CHUNK and at + CHUNK < len(data):
+            gaps = np.flatnonzero(~solid)
+            if not len(gaps):
+                found = _SPACE.search(data, at + CHUNK)
+                end = found.start() if found else len(data)
+                hashes.append(np.array([xxhash.xxh64_intdigest(data[at:end], SEED)], np.uint64))
+                starts.append(np.array([at]))
+                at = end
+                continue
+            part, solid = part[: gaps[-1] + 1], solid[: gaps[-1] + 1]
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], solid, [False]])))
+        first, last = edges[::2], edges[1::2]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTES[part] * _UP[: len(part)], out=sums[1:])
+        h = (sums[last] - sums[first]) * _DOWN[first]
+        h ^= (last - first).astype(np.uint64) * _FACTORS[0]
+        h ^= h >> np.uint64(31)
+        h *= _FACTORS[1]
+        h ^= h >> np.uint64(29)
+        hashes.append(h)
+        starts.append(first + at)
+        at += len(part)
+    return (np.concatenate(hashes), np.concatenate(starts)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _mixed(each: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each ``length`` words in a row."""
+    out = np.full(max(0, len(each) - length + 1), length, np.uint64)
     for i in range(length):
-        out = (out ^ each[i : i + len(out)]) * _FACTORS[i % 5]
+        out ^= each[i : i + len(out)]
+        out *= _FACTORS[i % 5]
         out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return out
+
+
+def shingle_sets(texts: list[str | None], words: int = 5) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its word shingles: of all ``words`` words in a row (A-Z lower-cased), or of
+    the whole text if it has fewer. Empty without a word. Texts are hashed together."""
+    raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    begun = np.cumsum([0, *[len(r) + 1 for r in raw]])
+    each, starts = _word_hashes(b"\n".join(raw))
+    cuts = np.searchsorted(starts, begun).tolist()
+    whole, out = _mixed(each, words), []
+    for a, b in zip(cuts, cuts[1:]):
+        found = whole[a : b - words + 1] if b - a >= words else _mixed(each[a:b], b - a) if b > a else each[:0]
+        found = np.sort(found)
+        out.append(found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found)
+    return out
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,9 +130,9 @@ def bucket_sizes(docs: DataFrame, words: int = 5) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, n = np.zeros(1 << BUCKET_BITS, np.int64), [np.zeros(0, np.uint64)], 0
         for part in _slices(batches):
-            for t in part.column("text"):
-                held.append(shingles(t.as_py(), words))
-                n += len(held[-1])
+            for found in shingle_sets(part.column("text").to_pylist(), words):
+                held.append(found)
+                n += len(found)
                 if n > len(counts):
                     counts += np.bincount((np.concatenate(held) & _LOW).astype(np.int64), minlength=len(counts))
                     held, n = held[:1], 0
@@ -140,32 +182,43 @@ def _salt(node: int, hashes: np.ndarray, salts: np.ndarray) -> np.ndarray:
     return np.where(salts > 1, drawn + np.uint64(1), np.uint64(0)).astype(np.int32)
 
 
-def _named(docs: DataFrame, order: object, words: int, least: int) -> DataFrame:
-    """doc_id, node (null without a word), size, parities, prefix and the salts of the prefix of every row."""
+def _named(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, node (null without a word), size and parities of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            sets = shingle_sets(part.column("text").to_pylist(), words)
+            nodes = pa.array([_name(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), nodes, pa.array([len(s) for s in sets], pa.int64()), _lists([_parities(s) for s in sets])], ["doc_id", "node", "size", "odd"])
+
+    rows = docs.select("doc_id", "text")
+    fields = {"node": T.LongType(), "size": T.LongType(), "odd": T.ArrayType(T.LongType())}
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *[T.StructField(k, v) for k, v in fields.items()]]))
+
+
+def _prefixes(docs: DataFrame, order: object, words: int, least: int) -> DataFrame:
+    """node, key, salt: the first shingles of each set in the global order. A task sends a set once; equal texts in other tasks send it again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, salts = order.value
+        seen = set()
         for part in _slices(batches):
-            nodes, sizes, odd, prefixes, salted = [], [], [], [], []
-            for t in part.column("text"):
-                found = shingles(t.as_py(), words)
+            nodes, keys, salted = [], [], []
+            for found in shingle_sets(part.column("text").to_pylist(), words):
                 n = len(found)
-                nodes.append(_name(found) if n else None)
-                sizes.append(n)
-                odd.append(_parities(found))
+                node = _name(found) if n else None
+                if node is None or node in seen:
+                    continue
+                seen.add(node)
                 bucket = (found & _LOW).astype(np.int64)
-                first = np.argsort(ranks[bucket], kind="stable")[: n - -(-n * least // 100) + 1 if n else 0]
-                prefixes.append(found[first].view(np.int64))
-                salted.append(_salt(nodes[-1], found[first], salts[bucket[first]]) if n else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _lists(odd), _lists(prefixes), _lists(salted)],
-                ["doc_id", "node", "size", "odd", "prefix", "salts"],
-            )
+                first = np.argsort(ranks[bucket], kind="stable")[: n - -(-n * least // 100) + 1]
+                nodes.append(np.full(len(first), node))
+                keys.append(found[first].view(np.int64))
+                salted.append(_salt(node, found[first], salts[bucket[first]]))
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (nodes, keys, salted)], ["node", "key", "salt"])
 
-    rows = docs.select("doc_id", "text")
-    longs = T.ArrayType(T.LongType())
-    fields = {"node": T.LongType(), "size": T.LongType(), "odd": longs, "prefix": longs, "salts": T.ArrayType(T.IntegerType())}
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *[T.StructField(k, v) for k, v in fields.items()]]))
+    return docs.select("text").mapInArrow(run, "node long, key long, salt int")
 
 
 def _possible(least: int) -> Column:
@@ -195,7 +248,8 @@ def _bitmap(nodes: DataFrame, bits: int) -> np.ndarray:
 
 
 def _segments(docs: DataFrame, nodes: DataFrame, fragment_of: object, words: int) -> DataFrame:
-    """node, fragment and the shingles of the node's set in that fragment, of the nodes given."""
+    """node, fragment and the shingles of the node's set in that fragment, of at least the nodes given. A task sends a set once; equal
+    texts in other tasks send it again."""
     spark = docs.sparkSession
     bits = 1 << 13
     while bits < min(MAX_FILTER_BITS, FILTER_BITS * nodes.count()):
@@ -206,8 +260,7 @@ def _segments(docs: DataFrame, nodes: DataFrame, fragment_of: object, words: int
         filter_, fragments, seen = wanted.value, fragment_of.value, set()
         for part in _slices(batches):
             out = ([], [], [])
-            for t in part.column("text"):
-                found = shingles(t.as_py(), words)
+            for found in shingle_sets(part.column("text").to_pylist(), words):
                 if not len(found):
                     continue
                 node = _name(found)
@@ -223,16 +276,17 @@ def _segments(docs: DataFrame, nodes: DataFrame, fragment_of: object, words: int
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), _lists(out[2])], ["node", "fragment", "hashes"])
 
-    every = docs.select("text").mapInArrow(run, "node long, fragment int, hashes array<long>")
-    # a task sends a set once; equal texts in other tasks send it again
-    return written(every.join(nodes, "node", "left_semi").dropDuplicates(["node", "fragment"]))
+    return docs.select("text").mapInArrow(run, "node long, fragment int, hashes array<long>")
 
 
 def _linked(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b) of at least ``least`` percent: overlaps are counted for each fragment apart, then summed per pair."""
-    x, y = segments.select(F.col("node").alias("a"), "fragment", F.col("hashes").alias("x")), segments.select(F.col("node").alias("b"), "fragment", F.col("hashes").alias("y"))
-    partial = pairs.join(x, "a").join(y, ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"))
-    overlap = partial.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    """The pairs (a, b) of at least ``least`` percent: overlaps are counted for each fragment apart, then summed per pair. Segments go to
+    the pairs of their node, where the two of a fragment meet."""
+    ends = pairs.select(F.col("a").alias("node"), "a", "b").unionByName(pairs.select(F.col("b").alias("node"), "a", "b"))
+    sent = segments.join(ends, "node")
+    side = lambda c: F.first(F.when(F.col("node") == F.col(c), F.col("hashes")), ignorenulls=True)
+    met = sent.groupBy("a", "b", "fragment").agg(side("a").alias("x"), side("b").alias("y")).where("x is not null and y is not null")
+    overlap = met.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n")).groupBy("a", "b").agg(F.sum("n").alias("n"))
     own = lambda c: sizes.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"))
     whole = overlap.join(own("a"), "a").join(own("b"), "b")
     return written(whole.where(100 * F.col("n") >= least * (F.col("a_size") + F.col("b_size") - F.col("n"))).select("a", "b"))
@@ -242,19 +296,18 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
-def links(docs: DataFrame, named: DataFrame, fragment_of: object, words: int = 5, least: int = 80) -> DataFrame:
+def links(docs: DataFrame, named: DataFrame, order: object, fragment_of: object, words: int = 5, least: int = 80) -> DataFrame:
     """Edges (a, b), a > b, between nodes, whose components are those of all pairs of at least ``least`` percent."""
-    nodes = written(named.where("node is not null").dropDuplicates(["node"]).drop("doc_id"))
-    traits = nodes.select("node", "size", "odd")
+    traits = written(named.where("node is not null").select("node", "size", "odd").dropDuplicates(["node"]))
     group = Window.partitionBy("key", "salt")
-    keyed = nodes.select("node", F.explode(F.arrays_zip(F.col("prefix").alias("key"), F.col("salts").alias("salt"))).alias("k")).select("node", "k.*")
-    shared = written(keyed.withColumn("n", F.count("*").over(group)).where("n > 1 or salt > 0").select("node", "key", "salt", F.col("node").alias("root")))
-    edges, segments, known = None, None, None
+    keyed = _prefixes(docs, order, words, least).withColumn("low", F.min("node").over(group)).withColumn("high", F.max("node").over(group))
+    shared = written(keyed.where("low < high or salt > 0").select("node", "key", "salt", F.col("node").alias("root")).distinct())
+    edges = None
 
     def count(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs)
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return _linked(pairs, _segments(docs, written(ends), fragment_of, words), nodes.select("node", "size"), least)
+        return _linked(pairs, _segments(docs, written(ends), fragment_of, words), traits, least)
 
     for turn in range(ROUNDS):
         # a drawn order of nodes, other in each round; its first node heads the group, but for the nodes of its own component
@@ -296,10 +349,10 @@ def classes(docs: DataFrame, words: int = 5, least: int = 80) -> DataFrame:
     ranks = np.empty(len(sizes), np.int32)
     ranks[np.argsort(sizes, kind="stable")] = np.arange(len(sizes), dtype=np.int32)
     order = spark.sparkContext.broadcast((ranks, (sizes // SALT_ROWS + 1).astype(np.uint32)))
-    named = written(_named(docs, order, words, least))
+    named = written(_named(docs, words))
     longest = named.agg(F.max("size")).first()[0] or 0
     fragment_of = spark.sparkContext.broadcast(bounds(sizes, max(FRAGMENTS, -(-longest // SEGMENT))))
-    roots = components(links(docs, named, fragment_of, words, least)).withColumnRenamed("node", "own")
+    roots = components(links(docs, named, order, fragment_of, words, least)).withColumnRenamed("node", "own")
     ids = named.groupBy("node").agg(F.min("doc_id").alias("first")).where("node is not null")
     owned = ids.join(roots, ids["node"] == roots["own"], "left").select(F.col("node").alias("own"), "first", F.coalesce("root", "node").alias("root"))
     names = owned.groupBy("root").agg(F.min("first").alias("component"))

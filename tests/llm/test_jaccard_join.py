@@ -51,7 +51,7 @@ def texts(draw, families=16):
 @pytest.mark.parametrize("small", [False, True])
 def test_classes_equal_brute_force(spark, monkeypatch, small):
     if small:  # blocks, salts, fragments and the filter's false hits come into play
-        for name, value in {"MEET_ROWS": 3, "SALT_ROWS": 20, "SEGMENT": 8, "FRAGMENTS": 3, "ROUNDS": 1, "FILTER_BITS": 0, "SLICE": 7, "WORDS": 50}.items():
+        for name, value in {"MEET_ROWS": 3, "SALT_ROWS": 20, "SEGMENT": 8, "FRAGMENTS": 3, "ROUNDS": 1, "FILTER_BITS": 0, "SLICE": 7}.items():
             monkeypatch.setattr(jj, name, value)
     draw = random.Random(3)
     rows = [*enumerate(texts(draw)), (900, "one two"), (901, "ONE  two"), (902, ""), (903, None), (904, " \n\t"), (905, "É a b c d"), (906, "é a b c d"), (907, "a b c d e"), (908, "A b\tc d e"), (None, "a b c d e"), (None, "lone words"), (None, None), (903, "a b"), (903, "a b"), (7, "seven again")]
