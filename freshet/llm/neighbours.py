@@ -231,9 +231,13 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, lists: int | None =
     asking = cut(asked.select("v").distinct().join(rep.select("v", "rep"), "v").select("rep", "v"))
     scored = [_scored(rep, asking, level, k, lists) for level in levels]
     scored = cut(reduce(DataFrame.unionByName, scored).groupBy("q", "rep").agg(F.max("score").alias("score")))
-    # a query needs as many answers as there are, and k + 1 at most, its own class among them
-    found = scored.join(rep.select("rep", "n"), "rep").groupBy("q").agg(F.sum("n").alias("found"))
-    few = asking.join(found, asking["rep"] == found["q"], "left").where(F.coalesce("found", F.lit(0)) < min(rows.count(), k + 1)).select("rep", "v")
+    # a query needs k answers or as many as there are: rows of other ids than its own, each id and vector once
+    ids = cut(rows.join(rep.select("v", "rep"), "v").select("rep", "vec_id").distinct())
+    members = cut(_first_members(ids, k + 1))
+    queries = cut(asked.join(rep.select("v", "rep"), "v").select(F.col("vec_id").alias("query_id"), F.col("rep").alias("q")).distinct())
+    answering = scored.join(members, "rep").join(queries, "q").where("vec_id <> query_id").groupBy("query_id", "q").agg(F.count("*").alias("found"))
+    short = queries.join(answering, ["query_id", "q"], "left").where(F.coalesce("found", F.lit(0)) < min(ids.count() - 1, k))
+    few = asking.join(short.select(F.col("q").alias("rep")).distinct(), "rep", "left_semi").select("rep", "v")
     few = cut(few)
     if not few.isEmpty():
         n = sum(size for _, _, size in levels)
@@ -244,10 +248,9 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, lists: int | None =
         scored = scored.unionByName(more).groupBy("q", "rep").agg(F.max("score").alias("score"))
     top = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
     best = scored.withColumn("i", F.row_number().over(top)).where(F.col("i") <= k + 1).drop("i")
-    each = best.join(_first_members(rows.join(rep.select("v", "rep"), "v").select("rep", "vec_id").distinct(), k + 1), "rep")
+    each = best.join(members, "rep")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     answers = each.withColumn("i", F.row_number().over(order)).where(F.col("i") <= 2 * k + 2).select("q", "vec_id", "score")
-    queries = asked.join(rep.select("v", "rep"), "v").select(F.col("vec_id").alias("query_id"), F.col("rep").alias("q")).distinct()
     final = queries.join(answers, "q").where("query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id"))
     return final.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

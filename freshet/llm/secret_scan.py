@@ -20,9 +20,9 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-#: Stands for each code point of a base span when candidates are looked for; a run beside it is no candidate.
+#: Stands for each code point of a base span when candidates are looked for; what is left of a run beside it is a run of its own.
 FILL = "\uffff"
-CANDIDATE = f"(?<![A-Za-z0-9+/_={FILL}-])[A-Za-z0-9+/_=-]{{20,}}+(?!{FILL})"
+CANDIDATE = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 #: Elements that running sums append to one by one.
 CHUNK = 256
 #: Lower ends of the length classes; each has its own false-discovery control.
@@ -80,8 +80,8 @@ def _filled(text: Column, pattern: str, keep=None) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Spans of runs of 20 token characters or more that touch no base span. A base span that another one cuts ends beside
-    filled code points, where no run is a candidate either."""
+    """Spans of runs of 20 token characters or more outside base spans. Where a base span lies in a longer run, what is left of
+    it on either side is a run of its own, if that long."""
     free = let(let(_filled(text, ASSIGN, lambda t: F.char_length(t) >= 12), lambda t: _filled(t, ACCESS)), lambda t: _filled(t, HEX))
     return F.when(F.regexp_like(text, F.lit(r"[A-Za-z0-9+/_=-]{20}")), let(free, lambda t: _spans(t, CANDIDATE, "random"))).otherwise(F.expr("array()").cast(_SPANS))
 
@@ -244,18 +244,23 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def mask(docs: DataFrame, rate: float = 0.01, level: float = 0.001, by: str = "[SECRET]") -> DataFrame:
-    """The documents with every span (overlapping ones together) replaced by ``by``, and n_chars, where there is such a
-    column, counted again in changed rows. No row is dropped."""
-    rows = cut(scanned(docs.select("text", F.struct("*").alias("__row"))))  # texts are scanned once
+    """The documents with every span (overlapping or adjoining ones together) replaced by ``by``, and n_chars, where there is such a
+    column, counted again in changed rows. A span of any kind but assign takes the letters, digits, _ and - beside it along, so
+    that no part of a longer secret stays. No row is dropped."""
+    others = [c for c in docs.columns if c != "text"]
+    rows = cut(scanned(docs.select("text", F.struct(F.lit(0).alias("__none"), *others).alias("__row"))))  # texts are scanned once
     rows = rows.withColumn("__spans", _by_start(F.concat("base", _found(_limits(rows, rate, level)))))
+    ahead = lambda piece, cut_: F.when(cut_, F.regexp_replace(piece, r"^[A-Za-z0-9_-]++", "")).otherwise(piece)
+    behind = lambda piece, cut_: F.when(cut_, F.regexp_replace(piece, r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++\z", "")).otherwise(piece)
 
     def step(state: Column, s: Column) -> Column:
-        between = F.substr(F.col("text"), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        fresh = s["start"] >= state["at"]
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, F.concat(state["out"], between, F.lit(by))).otherwise(state["out"]).alias("out"))
+        wide = s["kind"] != "assign"
+        between = behind(ahead(F.substr(F.col("text"), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0))), state["wide"]), wide)
+        fresh, last = s["start"] >= state["at"], s["end"] > state["at"]
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, let(between, lambda b: F.when((b == "") & (state["out"] != ""), state["out"]).otherwise(F.concat(state["out"], b, F.lit(by))))).otherwise(state["out"]).alias("out"), F.when(last, wide).otherwise(state["wide"]).alias("wide"))
 
-    clean = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substr(F.col("text"), s["at"] + 1)))
-    hit = F.size("__spans") > 0
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(False).alias("wide"))
+    clean = F.aggregate("__spans", start, step, lambda s: F.concat(s["out"], ahead(F.substr(F.col("text"), s["at"] + 1), s["wide"])))
     new = F.when(F.size("__spans") > 0, clean).otherwise(F.col("text"))
     rows = rows.withColumn("__new", new)
     out = {"text": F.col("__new"), "n_chars": F.when(F.size("__spans") > 0, F.char_length("__new").cast("long")).otherwise(F.col("__row.n_chars")) if "n_chars" in docs.columns else None}

@@ -27,8 +27,6 @@ CHAIN = 2
 #: Rows whose neighbours are looked up together, and the most cells that the range of ids is cut into: beyond their product a
 #: cell has more rows, so that tables with a row per cell stay small.
 RANGE_ROWS, MAX_CELLS = 512, 65_536
-#: Likenesses below it are not told apart in the query: they count as 0.
-PRUNED = 0.2
 _OPEN, _CLOSE = "\x01", "\x02"
 
 
@@ -142,7 +140,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     The edited text is the text with its last floor(n_chars / 3) code points replaced by the first as many (or all) of the
-    next row's. A likeness below ``PRUNED`` counts as 0. Null texts count as empty; a lone row's next is itself; repeated rows get a row each; null ids come last.
+    next row's. Both likenesses are exact: of two given fingerprints nothing is left to search, so the partition by set
+    length, which rules out candidates, has its place in ``pairs`` only. Null texts count as empty; a lone row's next is itself; repeated rows get a row each; null ids come last.
     """
     near = with_next(docs, signatures(F.col("text")))
     n = F.char_length("text")
@@ -151,5 +150,5 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     edited = edited.select("*", signatures(F.col("edited")).alias("edited_fp"))
     return edited.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text(F.col("fp")).alias("fingerprint"),
-        as_text(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp"), PRUNED).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp"), PRUNED).alias("near_next"),
+        as_text(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
     )

@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
 Pairs of zstandard dictionaries are trained, one of each on windows of toxic texts and one on windows of ordinary texts. A window
-is a word and the marks at its ends, as markers of toxicity differ in their endings and neighbours; all windows of the whole text
+is a word between spaces, without the marks around it; all windows of the whole text
 count, each time that they occur. A window's distance is its length under the ordinary dictionary less its length under the toxic
 one, on average over the pairs. A text's score is a logistic of its largest distances, of the numbers and shares of its windows
 beyond calibrated thresholds and of their mean distance, fitted on labelled texts that the dictionaries have not seen.

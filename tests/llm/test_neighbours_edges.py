@@ -53,3 +53,13 @@ def test_queries_whose_lists_are_too_short_are_held_against_all(spark, monkeypat
     got = neighbours.search(spark.createDataFrame([(i, x.tolist(), "", 0) for i, x in vectors], SCHEMA), k=20, lists=60).toPandas()
     want = nearest(vectors, 20, 20)
     assert {q: list(g.sort_values("rank")["vec_id"]) for q, g in got.groupby("query_id")} == {q: [j for j, _ in v] for q, v in want.items()}
+
+
+@pytest.mark.parametrize("times", [1, 10])
+def test_repeated_rows_leave_no_query_short_of_answers(spark, monkeypatch, times):
+    monkeypatch.setattr(neighbours, "PROBES", 1)
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8).tolist(), "r", 1) for i in range(300)] * times
+    got = neighbours.search(spark.createDataFrame(rows, SCHEMA), k=20, lists=60).toPandas()
+    assert got.groupby("query_id").size().to_dict() == {q: 20 for q in range(0, 300, 20)}
+    assert not got.duplicated(["query_id", "vec_id"]).any()
