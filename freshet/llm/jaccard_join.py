@@ -5,8 +5,8 @@ sets as similar as ``least`` share a shingle among the first of each, so candida
 into fragments; a set has a segment in each. Overlaps are counted for each fragment apart and summed per pair, so no task holds
 a whole set, however long the text.
 
-Not all candidates are compared. In rounds, each node is held against one head of its prefix groups and linked nodes become one
-component; groups that lie within one component are done. In the groups that are left, all pairs across components whose
+Not all candidates are compared. In rounds, each node is held against one head of its prefix groups (first the node with the most
+company, then drawn ones) and linked nodes become one component; groups that lie within one component are done. In the groups that are left, all pairs across components whose
 sizes and parities allow the similarity are counted, in blocks, so every link that matters for components is found.
 """
 
@@ -32,7 +32,7 @@ BUCKET_BITS, ROW_BITS = 20, 12
 #: Fragments of the order at least; more where the longest set has over ``SEGMENT`` shingles a fragment.
 FRAGMENTS, SEGMENT = 8, 4096
 #: Nodes of a prefix group that meet in one task, rounds of heads, bits of parities, bytes hashed at once, rows a worker holds at once.
-MEET_ROWS, ROUNDS, BITS, CHUNK, SLICE = 2048, 1, 1024, 1 << 20, 128
+MEET_ROWS, ROUNDS, BITS, CHUNK, SLICE = 2048, 2, 1024, 1 << 20, 128
 #: Occurrences of a hash bucket for which its prefix groups get another salt.
 SALT_ROWS = 100_000
 #: Bits a wanted node has in the filter of the second reading, and the most bits of that filter.
@@ -300,8 +300,11 @@ def links(docs: DataFrame, named: DataFrame, order: object, fragment_of: object,
     """Edges (a, b), a > b, between nodes, whose components are those of all pairs of at least ``least`` percent."""
     traits = written(named.where("node is not null").select("node", "size", "odd").dropDuplicates(["node"]))
     group = Window.partitionBy("key", "salt")
-    keyed = _prefixes(docs, order, words, least).withColumn("low", F.min("node").over(group)).withColumn("high", F.max("node").over(group))
-    shared = written(keyed.where("low < high or salt > 0").select("node", "key", "salt", F.col("node").alias("root")).distinct())
+    keyed = _prefixes(docs, order, words, least).select("*", F.min("node").over(group).alias("low"), F.max("node").over(group).alias("high"), F.count("*").over(group).alias("n"))
+    shared = written(keyed.where("low < high or salt > 0").select("node", "key", "salt", "n").distinct())
+    # the more company a node has, the more of its group it is likely to be similar to: such nodes head their groups first
+    company = shared.groupBy("node").agg(F.sum("n").alias("company"))
+    shared = written(shared.join(company, "node").select("node", "key", "salt", "company", F.col("node").alias("root")))
     edges = None
 
     def count(pairs: DataFrame) -> DataFrame:
@@ -310,8 +313,9 @@ def links(docs: DataFrame, named: DataFrame, order: object, fragment_of: object,
         return _linked(pairs, _segments(docs, written(ends), fragment_of, words), traits, least)
 
     for turn in range(ROUNDS):
-        # a drawn order of nodes, other in each round; its first node heads the group, but for the nodes of its own component
-        drawn = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("draw"), F.col("node").alias("head"), F.col("root").alias("head_root")))
+        # after the first round a drawn order of nodes; its first node heads the group, but for the nodes of its own component
+        place = F.xxhash64(F.lit(turn), "node") if turn else -F.col("company")
+        drawn = F.min(F.struct(place.alias("draw"), F.col("node").alias("head"), F.col("root").alias("head_root")))
         heads = shared.groupBy("key", "salt").agg(drawn.alias("h"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
         met = shared.join(heads.select("key", "salt", "h.head", "h.head_root"), ["key", "salt"]).where("root <> head_root")
         # of the heads that a node meets, the one that it shares most of its prefix with
@@ -324,7 +328,7 @@ def links(docs: DataFrame, named: DataFrame, order: object, fragment_of: object,
             break
         edges = found if edges is None else edges.unionByName(found)
         roots = components(edges).withColumnRenamed("node", "own").withColumnRenamed("root", "now")
-        shared = written(shared.join(roots, shared["node"] == roots["own"], "left").select("node", "key", "salt", F.coalesce("now", "root").alias("root")))
+        shared = written(shared.join(roots, shared["node"] == roots["own"], "left").select("node", "key", "salt", "company", F.coalesce("now", "root").alias("root")))
     # all pairs across components, of groups as a whole, in blocks
     mixed = shared.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / MEET_ROWS).cast("int").alias("blocks")).where("low < high").select("key", "blocks")
     left = shared.join(mixed, "key").join(traits, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
