@@ -6,27 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from freshet.functions.columns import no_nan
+from freshet.functions.columns import no_nan, refuse
 
-#: Column of each variant of actual evaporation (fixed values); the first has its balance stored.
-AET_COLUMNS = {
-    "cgiar": "aet_yr", "lc": "aet_lc", "tc": "aet_tc", "fu": "aet_fu", "cfu": "aet_cfu", "fu15": "aet_fu15", "fu20": "aet_fu20", "fu35": "aet_fu35", "mod16": "aet_mod16", "cmod16": "aet_cmod16",
-}
-
-
-def refuse(when: Column, why: str, value: Column) -> Column:
-    """``value``, or an error where ``when`` holds."""
-    return F.when(when, F.raise_error(F.lit(why))).otherwise(value)
-
-
-def raw_balance(rows: DataFrame, aet: str = "cgiar") -> Column:
-    """Yearly balance before adjustment: the stored one, or precipitation less the variant's evaporation."""
-    if aet not in AET_COLUMNS:
-        raise ValueError(f"unknown variant {aet}; one of {', '.join(AET_COLUMNS)}")
-    missing = {"ro_raw"} - set(rows.columns) if aet == "cgiar" else {"p_yr", AET_COLUMNS[aet]} - set(rows.columns)
-    if missing:
-        raise ValueError(f"missing: {', '.join(sorted(missing))}")
-    return F.col("ro_raw") if aet == "cgiar" else F.col("p_yr") - F.col(AET_COLUMNS[aet])
+def raw_balance(variant: str, precipitation: Column, evaporation: dict[str, Column], stored: dict[str, Column] | None = None) -> Column:
+    """Yearly balance before adjustment under a variant of evaporation: the one that is stored for it, if any, or what evaporation leaves
+    of precipitation. The caller says which Column each variant is."""
+    if variant in (stored or {}):
+        return stored[variant]
+    if variant not in evaporation:
+        raise LookupError(f"{variant} is neither stored nor among {sorted(evaporation)}")
+    return precipitation - evaporation[variant]
 
 
 def class_ratios(fractions: DataFrame, aet: DataFrame, measured: dict[str, float], min_cells: int = 1, clamp: tuple[float, float] = (0.25, 4.0)) -> DataFrame:
@@ -108,35 +97,40 @@ def licence_depth(uses: DataFrame, gauges: DataFrame, straddling: str = "split",
     return gauges.join(total, "station", "left").select("station", (F.coalesce("_v", F.lit(0.0)) / (F.col("area_km2") * 1e6) * 1000).alias("depth"))
 
 
-def gate(hw_adj: Column, hw_raw: Column, nes_adj: Column, nes_raw: Column, margin: float = 1.0) -> Column:
-    """By which arm an adjustment ships, from mean absolute errors on headwater and nested gauges: headwater, margin, nested, or
-    dropped. An error that is no finite number refuses."""
-    unknown = F.lit(False)
-    for x in (hw_adj, hw_raw, nes_adj, nes_raw):
-        unknown = unknown | no_nan(x).isNull() | (F.abs(x) == float("inf"))
-    arm = F.when(hw_adj < hw_raw, "headwater").when(hw_adj - hw_raw <= margin, "margin").when(nes_adj < nes_raw, "nested").otherwise("dropped")
-    return refuse(unknown, "the gate needs four finite errors", arm)
+def gate(headwater: tuple[Column, Column], nested: tuple[Column, Column], allowance: float = 1.0) -> Column:
+    """By which rule an adjustment ships, from pairs of errors (with it, without it) on headwater and on nested gauges: headwater (it helps
+    there), margin (it harms there by the allowance at most), nested (it helps there), else dropped. Errors that are no finite
+    numbers are refused when read."""
+    harm, gain = headwater[0] - headwater[1], nested[1] - nested[0]
+    out = F.lit("dropped")
+    for name, holds in reversed((("headwater", harm < 0), ("margin", harm <= allowance), ("nested", gain > 0))):
+        out = F.when(holds, name).otherwise(out)
+    finite = F.forall(F.array(*headwater, *nested), lambda x: no_nan(x).isNotNull() & (F.abs(x) < float("inf")))
+    return refuse(~F.coalesce(finite, F.lit(False)), "an error of the gate is not finite", out)
 
 
-def choose_variant(scores: DataFrame, incumbent: str, margin: float, slack_mae: float, slack_share: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """The variant that ships: of those that beat the incumbent on headwater gauges by the margin, are no worse on all and hold
-    the slack on nested ones, the best on headwater gauges; else the incumbent. ``scores``: aet, hw, all, nes_mae, nes_in20."""
-    now = scores.where(F.col("aet") == incumbent).select(*by, *[F.col(c).alias(f"_{c}") for c in ("hw", "all", "nes_mae", "nes_in20")])
-    both = scores.join(now, list(by)) if by else scores.crossJoin(F.broadcast(now))  # one row: the incumbent's
-    fine = (F.col("hw") <= F.col("_hw") - margin) & (F.col("all") <= F.col("_all")) & (F.col("nes_mae") <= F.col("_nes_mae") + slack_mae) & (F.col("nes_in20") >= F.col("_nes_in20") - slack_share)
-    best = F.min(F.when(fine, F.struct("hw", "aet")))["aet"]
-    return both.groupBy(*by).agg(F.coalesce(best, F.lit(incumbent)).alias("aet"))
+def choose_variant(scores: DataFrame, incumbent: str, limits: dict[str, float], lead: str, by: tuple[str, ...] = (), name: str = "aet") -> DataFrame:
+    """by and the variant that ships: of the variants whose scores all exceed the incumbent's by their limit at most (a negative limit asks
+    for a lead; scores for which more is better are given negated), the one with the least ``lead``; without one the incumbent stays. Groups without the incumbent have no row."""
+    reference = scores.where(F.col(name) == incumbent).select(*by, F.struct(*limits).alias("_held"))
+    met = scores.join(reference, list(by)) if by else scores.crossJoin(F.broadcast(reference))  # one row: the incumbent's
+    within = F.forall(F.array(*[F.col(c) - F.col("_held")[c] <= most for c, most in limits.items()]), lambda x: x)
+    ranked = met.where(F.coalesce(within, F.lit(False))).groupBy(*by).agg(F.min_by(name, F.struct(lead, name)).alias("_best"))
+    here = reference.select(*by)
+    out = here.join(ranked, list(by), "left") if by else here.crossJoin(ranked)  # without ``by`` both are one row
+    return out.select(*by, F.coalesce("_best", F.lit(incumbent)).alias(name))
 
 
-def implied_shape(p: Column, e: Column, aet: Column, low: float = 1.0 + 1e-6, high: float = 60.0, steps: int = 60) -> Column:
+def implied_shape(p: Column, e: Column, aet: Column, low: float = 1.0001, high: float = 50.0, steps: int = 60) -> Column:
     """The shape at which the formula of precipitation and potential evaporation gives ``aet``, by bisection. Evaporation of 0 or
-    less, or beyond either supply, has none; beyond what ``high`` gives it is infinite."""
+    less has none (null). At or above the smaller supply, or beyond what ``high`` gives, it is infinite; at or below what ``low`` gives, 1."""
     formula = lambda w: p + e - F.pow(F.pow(p, w) + F.pow(e, w), 1 / w)
     middle = lambda s: (s["a"] + s["b"]) / 2
     start = F.struct(F.lit(low).alias("a"), F.lit(high).alias("b"))
     halved = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda s, _: F.struct(F.when(formula(middle(s)) < aet, middle(s)).otherwise(s["a"]).alias("a"), F.when(formula(middle(s)) < aet, s["b"]).otherwise(middle(s)).alias("b")), middle)
     supply = F.least(p, e)
-    return F.when((aet <= 0) | (aet > supply) | (supply <= 0), None).when(aet >= formula(F.lit(high)), F.lit(float("inf"))).otherwise(halved)
+    known = aet.isNotNull() & ~F.isnan(aet) & supply.isNotNull()
+    return F.when(known & (aet > 0), F.when((aet >= supply) | (aet > formula(F.lit(high))), F.lit(float("inf"))).when(aet <= formula(F.lit(low)), F.lit(1.0)).otherwise(halved))
 
 
 def ratio_classes(sites: DataFrame, min_years: int = 3, low: float = 0.9, high: float = 1.1) -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from freshet.functions.columns import refuse
+from freshet.sources.shared import settled
+
 METHODS = ("ols", "move1", "ratio")
 #: Degrees of freedom up to which quantiles of Student's t are looked up; beyond, a series in 1 / df holds nine digits.
 TABLED = 200
@@ -71,6 +74,12 @@ def _usable(values: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return kept.withColumn("_v", F.when(days, F.col("value")).otherwise(F.ln("value")))
 
 
+def _once(values: DataFrame, key: list[str]) -> DataFrame:
+    """``values``; a year of a record given twice is an error when read."""
+    n = F.count("*").over(Window.partitionBy(*key))
+    return values.select("*", n.alias("_n")).withColumn("_v", refuse(F.col("_n") > 1, "more than one value of a station and year", F.col("_v"))).drop("_n")
+
+
 def extend(targets: DataFrame, donors: DataFrame, chain: DataFrame, method: str = "ols", by: tuple[str, ...] = ("variable", "period"), k: int = 5, level: float = 0.9, residuals: tuple[float, float] | None = None, min_years: int = 3) -> DataFrame:
     """target, by, year, value, lower, upper, donor, source: a target's own years ("observed") and those it gets from donors ("extended").
 
@@ -78,14 +87,14 @@ def extend(targets: DataFrame, donors: DataFrame, chain: DataFrame, method: str
     serve. A donor serves if it has every usable year of the target, and varies over them; the ``k`` nearest do, and each further
     year comes from the nearest that has it. ``ols`` has the interval of a prediction, the others that of ``residuals`` (two
     quantiles on the scale of the fit), if given. Fits are on logs; of variables named ``*_cov_day``, on days. Values of 0 or less
-    serve no fit on logs (see ``report``). Targets under ``min_years`` or without donors keep their own years.
+    serve no fit on logs (see ``report``), a year given twice is an error. Targets under ``min_years`` or without donors keep their own years.
     """
     if method not in METHODS:
         raise ValueError(f"method is one of {METHODS}")
     if not (0 < level < 1 and k >= 1 and min_years >= 3):
         raise ValueError("level is between 0 and 1, k 1 or more, min_years 3 or more")
-    t = _usable(targets, by).select("target", *by, "year", F.col("value").alias("_y0"), F.col("_v").alias("_y"))
-    d = _usable(donors, by).select("donor", *by, "year", F.col("value").alias("_x0"), F.col("_v").alias("_x"))
+    t = _once(_usable(targets, by), ["target", *by, "year"]).select("target", *by, "year", F.col("value").alias("_y0"), F.col("_v").alias("_y"))
+    d = _once(_usable(donors, by), ["donor", *by, "year"]).select("donor", *by, "year", F.col("value").alias("_x0"), F.col("_v").alias("_x"))
     own = t.groupBy("target", *by).agg(F.count("*").alias("_own"))
     shared = chain.select("target", "donor", "distance").where("target <> donor").join(t, "target").join(d, ["donor", *by, "year"])
     x, y = F.col("_x"), F.col("_y")
@@ -193,7 +202,7 @@ def quantiles_of_others(rows: DataFrame, group: str, value: str, probabilities:
     plus the number of own values with r_i - i <= j: no group is set against the others' rows. Null where there are no others.
     """
     by = by or []
-    ranked = ordered_rank(rows.select(*by, group, F.col(value).alias("_v")), by, "_v", [group], "_rank")
+    ranked = settled(ordered_rank(rows.select(*by, group, F.col(value).alias("_v")), by, "_v", [group], "_rank"), "ranked")  # read four times below
     total = ranked.groupBy(*by).agg(F.count("*").alias("_all"))
     own = ranked.withColumn("_below", F.col("_rank") - F.row_number().over(Window.partitionBy(*by, group).orderBy("_rank")) + 1)
     sizes = ranked.groupBy(*by, group).agg(F.count("*").alias("_own"))
@@ -210,6 +219,7 @@ def pseudo_coverage(pseudo: DataFrame, by: tuple[str, ...] = ("variable", "perio
     """by, method, n, coverage: the share of held-out years inside each method's interval: of ols its own, of the others that of the
     other stations' errors."""
     tails = ((1 - level) / 2, (1 + level) / 2)
+    pseudo = settled(pseudo, "pseudo")
     out = pseudo.groupBy(*by).agg(F.lit("ols").alias("method"), F.count("*").alias("n"), F.avg(F.col("value").between(F.col("lower"), F.col("upper")).cast("double")).alias("coverage"))
     for method in METHODS[1:]:
         quantiles = quantiles_of_others(pseudo, "station", f"r_{method}", tails, list(by))

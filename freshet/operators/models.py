@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from freshet.functions.columns import normal_tail, refuse
+
 
 def donor_mean(targets: DataFrame, donors: DataFrame, features: list[str], value: str, k: int = 5) -> DataFrame:
     """id, value: inverse-distance mean over the k nearest donors. Weights 1 / (d + 1e-6 m), m the median distance to all donors;
@@ -36,7 +38,8 @@ def donor_correlations(years: DataFrame, min_years: int = 30) -> DataFrame:
 def carry_departures(years: DataFrame, weights: DataFrame, base: tuple[int, int], min_years: int = 10) -> DataFrame:
     """target, year, log_ratio, pct_normal, donors: the weighted mean of the donors' log ratios to their own baseline mean, the
     weights renormalised over the donors present. Values of 0 or less are dropped, and donors with a short baseline."""
-    kept = years.where("value > 0")
+    twice = F.count("*").over(Window.partitionBy("station", "year"))
+    kept = years.where("value > 0").select("station", "year", "value", twice.alias("_n")).select("station", "year", refuse(F.col("_n") > 1, "more than one value of a station and year", F.col("value")).alias("value"))
     normal = kept.where(F.col("year").between(*base)).groupBy("station").agg(F.avg("value").alias("_base"), F.count("*").alias("_n")).where(F.col("_n") >= min_years)
     ratio = kept.join(normal, "station").select(F.col("station").alias("donor"), "year", F.ln(F.col("value") / F.col("_base")).alias("_x"))
     got = weights.where("weight > 0").join(ratio, "donor").groupBy("target", "year").agg((F.sum(F.col("weight") * F.col("_x")) / F.sum("weight")).alias("log_ratio"), F.array_join(F.array_sort(F.collect_set("donor")), ",").alias("donors"))
@@ -110,6 +113,29 @@ def trend(years: DataFrame) -> DataFrame:
     return out.select("station", "n", "slope", "s", "var_s", z.alias("z"))
 
 
+def trend_significance(years: DataFrame, least: int = 4) -> DataFrame:
+    """What ``trend`` gives, and p, the two-sided probability of as large a rank statistic without a trend (normal, continuity and ties
+    corrected); null with fewer than ``least`` years. A year given twice is an error when read."""
+    n = F.count("*").over(Window.partitionBy("station", "year"))
+    kept = years.where(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double"))).select("station", "year", "value", n.alias("_n"))
+    kept = kept.select("station", "year", refuse(F.col("_n") > 1, "more than one value of a station and year", F.col("value")).alias("value"))
+    return trend(kept).withColumn("p", F.when(F.col("n") >= least, F.when(F.col("var_s") > 0, F.least(F.lit(1.0), normal_tail(F.col("z")))).otherwise(1.0)))
+
+
+def validation_table(rows: DataFrame, groups: tuple[str, ...], min_obs: float = 10.0) -> DataFrame:
+    """grouping ("all" or a column of ``groups``), level, the figures of ``skill`` over the annual rows (month 0), and nse_months, the
+    median over stations of the efficiency of their twelve months. ``rows``: station, month, obs, mod and the groups; every grouping
+    comes from one pass over the rows. A station and month given twice is an error when read."""
+    n = F.count("*").over(Window.partitionBy("station", "month"))
+    once = rows.select("*", n.alias("_n")).withColumn("obs", refuse(F.col("_n") > 1, "more than one row of a station and month", F.col("obs"))).drop("_n")
+    levels = F.explode(F.array(F.struct(F.lit("all").alias("grouping"), F.lit("all").alias("level")), *[F.struct(F.lit(g).alias("grouping"), F.col(g).cast("string").alias("level")) for g in groups])).alias("_g")
+    each = once.select("station", "month", "obs", "mod", levels).select("station", "month", "obs", "mod", "_g.*")
+    annual = skill(each.where("month = 0"), ("grouping", "level"), min_obs)
+    months = efficiency(each.where("month between 1 and 12"), ("grouping", "level", "station")).where("n = 12").groupBy("grouping", "level").agg(F.percentile("nse", F.lit(0.5)).alias("nse_months"))
+    same = (annual["grouping"] == months["grouping"]) & annual["level"].eqNullSafe(months["level"])
+    return annual.join(months, same, "left").select(*[annual[c] for c in annual.columns], "nse_months")
+
+
 def predict_shares(raw: DataFrame, by: tuple[str, ...] = ("id",), value: str = "share") -> DataFrame:
     """Monthly shares floored at 0 and brought to a sum of 1; null where all are 0."""
     low = F.when(F.col(value).isNotNull(), F.greatest(F.col(value), F.lit(0.0)))

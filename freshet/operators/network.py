@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from freshet.functions.columns import ancestors, at_least, depth_to_flow, flow_to_depth, under, upstream_of, volume_days
+from freshet.functions.columns import ancestors, at_least, depth_to_flow, flow_to_depth, refuse, under, upstream_of, volume_days
 
 
 def upstream_pairs(ws: DataFrame) -> DataFrame:
@@ -113,17 +113,45 @@ def snap_pick(candidates: DataFrame, stations: DataFrame, max_dev: float = 0.1)
     return out.select("station", "segment", (F.coalesce("reason", F.lit("")) == "ok").alias("accepted"), F.coalesce("reason", F.lit("no candidate")).alias("reason"))
 
 
+def check_bins(bins: DataFrame, values: list[str]) -> DataFrame:
+    """``bins`` if every sub-basin holds each of the 366 calendar days once, without nulls, and n_days are above 0 and the same for all
+    sub-basins; else an error. Two aggregates; what reaches the driver is one row each."""
+    day = F.try_to_date(F.concat_ws("-", F.lit("2000"), F.lpad(F.col("month").cast("string"), 2, "0"), F.lpad(F.col("day").cast("string"), 2, "0")))
+    lacking = [F.count_if(F.col(c).isNull()) for c in ("subid", "month", "day", "n_days", *values)]
+    per = bins.groupBy("subid").agg(F.count("*").alias("n"), F.countDistinct(day).alias("days"), sum(lacking, F.lit(0)).alias("nulls"))
+    bad = per.where("nulls > 0 or n <> 366 or days <> 366").limit(1).collect()
+    if bad:
+        raise ValueError(f"sub-basin {bad[0]['subid']} does not hold its 366 calendar days once, or has nulls")
+    odd = bins.groupBy("month", "day").agg(F.min("n_days").alias("low"), F.max("n_days").alias("high")).where("low <> high or low <= 0").limit(1).collect()
+    if odd:
+        raise ValueError(f"n_days of {odd[0]['month']}-{odd[0]['day']} differ between sub-basins or are not positive")
+    return bins
+
+
 def fold_leap_day(bins: DataFrame, values: list[str]) -> DataFrame:
-    """366 calendar bins to 365: 29 February into the 28th, weighted by n_days."""
-    day = F.when((F.col("month") == 2) & (F.col("day") == 29), 28).otherwise(F.col("day"))
-    return bins.groupBy("subid", "month", day.alias("day")).agg(F.sum("n_days").alias("n_days"), *[(F.sum(F.col(v) * F.col("n_days")) / F.sum("n_days")).alias(v) for v in values])
+    """366 calendar bins to 365: 29 February into the 28th, weighted by n_days. A bin given twice, and a null, are errors when read; see
+    ``check_bins`` for whole years."""
+    leap = (F.col("month") == 2) & (F.col("day") == 29)
+    day = F.when(leap, 28).otherwise(F.col("day"))
+    twice = (F.count_if(leap) > 1) | (F.count_if(~leap) > 1)
+    empty = sum([F.count_if(F.col(v).isNull()) for v in ("n_days", *values)], F.lit(0)) > 0
+    total = refuse(twice, "a calendar bin of a sub-basin repeats", refuse(empty, "a calendar bin has a null", F.sum("n_days")))
+    return bins.groupBy("subid", "month", day.alias("day")).agg(total.alias("n_days"), *[(F.sum(F.col(v) * F.col("n_days")) / F.sum("n_days")).alias(v) for v in values])
 
 
 def route(days: DataFrame, weights: DataFrame, on: list[str]) -> DataFrame:
     """segment, the ``on`` columns, q, clamped: accumulated flow of the upstream sub-basins plus the segment's share of its own
-    sub-basin's local flow, not below 0, to five decimals. ``weights``: segment, subid, share, upstream_subids (array)."""
-    local = weights.join(days.select("subid", *on, "q_local"), "subid").select("segment", *on, (F.col("q_local") * F.col("share")).alias("_q"))
-    above = weights.select("segment", F.explode("upstream_subids").alias("subid")).join(days.select("subid", *on, "q_acc"), "subid").select("segment", *on, F.col("q_acc").alias("_q"))
+    sub-basin's local flow, not below 0, to five decimals. ``weights``: segment, subid, share, upstream_subids (array). A sub-basin
+    without any day is an error when read: its segments would lack its flow."""
+    d = days.select(F.col("subid").alias("_sub"), *on, "q_local", "q_acc")
+
+    def met(wanted: DataFrame, q: Column) -> DataFrame:
+        both = wanted.join(d, wanted["subid"] == d["_sub"], "left")
+        lost = F.concat(F.lit("no days of sub-basin "), F.col("subid").cast("string"))
+        return both.select("segment", *on, refuse(F.col("_sub").isNull(), lost, q).alias("_q"))
+
+    local = met(weights.select("segment", "subid", "share"), F.col("q_local") * F.col("share"))
+    above = met(weights.select("segment", F.explode("upstream_subids").alias("subid")), F.col("q_acc"))
     raw = local.unionByName(above).groupBy("segment", *on).agg(F.sum("_q").alias("_q"))
     return raw.select("segment", *on, round_like_numeric(at_least(F.col("_q"), 0.0), 5).alias("q"), (F.col("_q") < 0).alias("clamped"))
 
@@ -140,10 +168,13 @@ def period_mean(days: DataFrame, by: list[str], value: str = "q") -> DataFrame:
 
 def pick_source(rows: DataFrame, far_low: float = 0.2) -> DataFrame:
     """The rows with ``pick``: routed, unless it is far below the balance on a line of its own; a missing one gives way. Neither:
-    null. ``rows``: routed, balance, own_line."""
+    null. ``rows``: routed, balance, own_line. Both flows are clamped before; one below 0, and a null own_line, are errors when read."""
+    if not 0 <= far_low < 1:
+        raise ValueError("far_low is at least 0 and below 1")
     low = F.coalesce((F.col("routed") < far_low * F.col("balance")) & F.col("own_line"), F.lit(False))
     pick = F.when(F.col("routed").isNull() & F.col("balance").isNull(), None).when(F.col("routed").isNull() | low, "balance").otherwise("routed")
-    return rows.withColumn("pick", pick)
+    below = (F.coalesce("routed", F.lit(0.0)) < 0) | (F.coalesce("balance", F.lit(0.0)) < 0)
+    return rows.withColumn("pick", refuse(below, "a negative flow", refuse(F.col("own_line").isNull(), "own_line is null", pick)))
 
 
 def tally(picked: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -165,7 +196,12 @@ def compare_values(a: DataFrame, b: DataFrame, keys: list[str], value: str, tole
 
 
 def dense_grid(values: DataFrame, sources: list[str], ids: DataFrame, times: range) -> DataFrame:
-    """Every source x id x time with its value or null."""
+    """Every source x id x time with its value or null. A value twice, and one of these sources outside ``times``, are errors when read."""
+    held = values.where(F.col("source").isin(list(sources)))
+    outside = F.concat(F.lit("outside the time base: "), F.col("month").cast("string"))
+    n = F.count("*").over(Window.partitionBy("source", "id", "month"))
+    month = refuse(~F.coalesce(F.col("month").between(times.start, times.stop - 1), F.lit(False)), F.coalesce(outside, F.lit("a null time")), F.col("month"))
+    values = held.select("*", n.alias("_n")).withColumn("month", refuse(F.col("_n") > 1, "more than one value of a source, id and time", month)).drop("_n")
     axes = ids.select("id").distinct().select("id", F.explode(F.array(*map(F.lit, sources))).alias("source")).select("*", F.explode(F.sequence(F.lit(times.start), F.lit(times.stop - 1))).alias("month"))
     return axes.join(values, ["source", "id", "month"], "left")
 

@@ -80,7 +80,7 @@ def _segments(t: Tables):
 
 PAIRS = {
     "raw_balance": (
-        lambda t: _rounded((rows := t.part.selectExpr("p_partkey as id", "p_size * 20D as p_yr", "p_partkey % 500 + 0D as aet_fu", "case when p_size % 9 <> 0 then p_size * 7D end as ro_raw")).select("id", balance.raw_balance(rows).alias("stored"), balance.raw_balance(rows, "fu").alias("fu"))),
+        lambda t: _rounded((rows := t.part.selectExpr("p_partkey as id", "p_size * 20D as p_yr", "p_partkey % 500 + 0D as aet_fu", "case when p_size % 9 <> 0 then p_size * 7D end as ro_raw")).select("id", *[balance.raw_balance(v, F.col("p_yr"), {"fu": F.col("aet_fu")}, {"stored": F.col("ro_raw")}).alias(v) for v in ("stored", "fu")])),
         "SELECT p_partkey AS id, CASE WHEN p_size % 9 <> 0 THEN p_size * 7.0 END AS stored, p_size * 20.0 - p_partkey % 500 AS fu FROM part",
     ),
     "aet_class_ratios": (
@@ -126,16 +126,18 @@ s AS (SELECT station, sum(weight * volume) AS a, sum(CASE WHEN straddles THEN 0
 g AS (SELECT s_suppkey AS station, (10 + s_suppkey % 9) * 1000 AS m FROM supplier) SELECT station, round(coalesce(a, 0) / m, 9) AS split, round(coalesce(b, 0) / m, 9) AS "none", round(coalesce(c, 0) / m, 9) AS whole FROM g LEFT JOIN s USING (station)""",
     ),
     "gate_rule": (
-        lambda t: t.part.select(F.col("p_partkey").alias("id"), balance.gate(F.expr("p_size + 0D"), F.expr("p_partkey % 50 + 0D"), F.expr("p_size % 7 + 0D"), F.expr("p_partkey % 7 + 0D"), 3.0).alias("arm")),
+        lambda t: t.part.select(F.col("p_partkey").alias("id"), balance.gate((F.expr("p_size + 0D"), F.expr("p_partkey % 50 + 0D")), (F.expr("p_size % 7 + 0D"), F.expr("p_partkey % 7 + 0D")), 3.0).alias("arm")),
         "SELECT p_partkey AS id, CASE WHEN p_size < p_partkey % 50 THEN 'headwater' WHEN p_size - p_partkey % 50 <= 3 THEN 'margin' WHEN p_size % 7 < p_partkey % 7 THEN 'nested' ELSE 'dropped' END AS arm FROM part",
     ),
     "aet_choice": (
-        lambda t: balance.choose_variant(_sql(t, _SCORES), "m0", 2.0, 5.0, 0.2, ("grp",)),
+        lambda t: balance.choose_variant(_sql(t, _SCORES).withColumn("far", -F.col("nes_in20")), "m0", {"hw": -2.0, "all": 0.0, "nes_mae": 5.0, "far": 0.2}, "hw", ("grp",)),
         f"""WITH s AS ({_SCORES}), i AS (SELECT * FROM s WHERE aet = 'm0') SELECT grp, coalesce(arg_min(aet, hw) FILTER (ok), 'm0') AS aet FROM (SELECT s.*, s.hw <= i.hw - 2 AND s."all" <= i."all" AND s.nes_mae <= i.nes_mae + 5 AND s.nes_in20 >= i.nes_in20 - 0.2 AS ok FROM s JOIN i USING (grp)) GROUP BY 1""",
     ),
     "implied_shape": (
-        lambda t: _rounded(t.part.select(F.col("p_partkey").alias("id"), balance.implied_shape(F.expr("900D"), F.expr("600D"), C.fu_evaporation(F.lit(900.0), F.lit(600.0), 2.6) + F.expr("cast(p_size - 25 as double) * 2")).alias("shape")).where("shape is not null").select("id", (F.lit(900.0) + 600.0 - F.pow(F.pow(F.lit(900.0), "shape") + F.pow(F.lit(600.0), "shape"), 1 / F.col("shape"))).alias("aet")), 3),
-        "SELECT p_partkey AS id, round(1500 - pow(pow(900, 2.6) + pow(600, 2.6), 1 / 2.6) + (p_size - 25) * 2, 3) AS aet FROM part WHERE 1500 - pow(pow(900, 2.6) + pow(600, 2.6), 1 / 2.6) + (p_size - 25) * 2 BETWEEN 0 AND 600",
+        lambda t: _rounded(t.part.select(F.col("p_partkey").alias("id"), (C.fu_evaporation(F.lit(900.0), F.lit(600.0), 2.6) + F.expr("cast(p_size - 25 as double) * 25")).alias("aet")).select("id", "aet", balance.implied_shape(F.expr("900D"), F.expr("600D"), F.col("aet")).alias("shape")).select(
+            "id", F.when(F.col("shape").isNull(), "none").when(F.col("shape") == float("inf"), "infinite").when(F.col("shape") == 1, "one").otherwise("found").alias("kind"), F.when(F.col("shape") == float("inf"), 600.0).otherwise(F.lit(900.0) + 600.0 - F.pow(F.pow(F.lit(900.0), "shape") + F.pow(F.lit(600.0), "shape"), 1 / F.col("shape"))).alias("aet")), 3),
+        """WITH a AS (SELECT p_partkey AS id, 1500 - pow(pow(900, 2.6) + pow(600, 2.6), 1 / 2.6) + (p_size - 25) * 25 AS aet FROM part), k AS (SELECT id, aet, CASE WHEN aet <= 0 THEN 'none' WHEN aet >= 600 OR aet > 1500 - pow(pow(900, 50) + pow(600, 50), 0.02) THEN 'infinite' WHEN aet <= 1500 - pow(pow(900, 1.0001) + pow(600, 1.0001), 1 / 1.0001) THEN 'one' ELSE 'found' END AS kind FROM a)
+SELECT id, kind, round(CASE kind WHEN 'found' THEN aet WHEN 'infinite' THEN 600 WHEN 'one' THEN 0 END, 3) AS aet FROM k""",
     ),
     "ratio_classes": (
         lambda t: _rounded(balance.ratio_classes(t.lineitem.selectExpr("l_suppkey as site", "l_suppkey % 4 as grp", "l_linenumber as year", "l_quantity + 0D as obs", "case when l_linenumber < 7 then l_quantity * (0.85D + l_suppkey % 5 / 10D) end as mod"))),

@@ -150,9 +150,9 @@ QUERIES = {
 
 
 def bound() -> dict:
-    from freshet.plans import more
+    from freshet.plans import more, studies
 
-    return {name: (lambda spark, folder, f=f: f(Tables(spark, folder))) for name, f in (QUERIES | more.QUERIES).items()}
+    return {name: (lambda spark, folder, f=f: f(Tables(spark, folder))) for name, f in (QUERIES | more.QUERIES | studies.QUERIES).items()}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

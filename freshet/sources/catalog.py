@@ -36,8 +36,8 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     if head["manifest_version"] != 1:
         raise ValueError(f"manifest version {head['manifest_version']} is not known")
     parts = parse_parts(raw.select(F.explode("parts").alias("p")).select("p.key", "p.rows", "p.bytes", "p.md5"))
-    bad = parts.groupBy("key").agg(F.count("*").alias("n"), F.min(F.regexp_like("md5", F.lit("^[0-9a-f]{32}$")).cast("int")).alias("good"), F.first("source").alias("source"))
-    bad = bad.where((F.col("n") > 1) | (F.col("good") == 0) | ~F.col("source").isin(list(head["sources"]))).limit(1).collect()
+    bad = parts.groupBy("key").agg(F.count("*").alias("n"), F.min(F.coalesce(F.regexp_like("md5", F.lit("^[0-9a-f]{32}$")), F.lit(False)).cast("int")).alias("good"), F.first("source").alias("source"))
+    bad = bad.where((F.col("n") > 1) | (F.col("good") == 0) | ~F.coalesce(F.col("source").isin(list(head["sources"])), F.lit(False))).limit(1).collect()
     if bad:
         raise ValueError(f"manifest entry {bad[0]['key']} repeats, has no md5 or an undescribed source")
     return parts

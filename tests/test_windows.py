@@ -12,15 +12,21 @@ def series(spark, values, first=date(2001, 1, 1)):
     return spark.createDataFrame(rows, "station string, date date, q double")
 
 
-def test_statistics_of_ten_days(spark):
-    r = windows.window_stats(series(spark, [float(i) for i in range(1, 11)]), JAN, threshold=3.5).first()
-    assert (r["mean"], r["min"], r["max"], r["min7"], r["frac_below"], r["cov_day"], r["n_days"]) == (5.5, 1, 10, 4, 0.3, 7, 10)
+#: Twelve days that add up to 64.
+TWELVE = [4.0, 9.0, 2.0, 7.0, 7.0, 1.0, 8.0, 3.0, 6.0, 5.0, 10.0, 2.0]
+FIRST_TWELVE = [("start", "01-01", "01-12")]
 
 
-def test_a_gap_moves_min7_and_leaves_no_cov_day(spark):
-    values = [1.0, None, *[float(i) for i in range(3, 11)]]
-    r = windows.window_stats(series(spark, values), JAN, threshold=3.5).first()
-    assert (r["min7"], r["n_days"], r["cov_day"]) == (6, 9, None) and r["frac_below"] == pytest.approx(2 / 9)
+def test_statistics_of_twelve_days(spark):
+    r = windows.window_stats(series(spark, TWELVE), FIRST_TWELVE, threshold=4.0).first()
+    # seven days add up to 38, 37, 34, 37, 40 and 35; half of 64 is passed on the seventh day
+    assert (r["min"], r["max"], r["cov_day"], r["n_days"]) == (1, 10, 7, 12)
+    assert (r["mean"], r["min7"], r["frac_below"]) == pytest.approx((64 / 12, 34 / 7, 4 / 12))
+
+
+def test_a_gap_leaves_one_run_of_seven_days_and_no_cov_day(spark):
+    r = windows.window_stats(series(spark, [*TWELVE[:4], None, *TWELVE[5:]]), FIRST_TWELVE, threshold=4.0).first()
+    assert (r["min7"], r["n_days"], r["cov_day"]) == (5, 11, None) and r["frac_below"] == pytest.approx(4 / 11)
 
 
 def test_a_window_over_new_year_has_the_year_of_its_start(spark):
