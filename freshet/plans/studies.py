@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.functions import columns as C
-from freshet.operators import extension, grids, models, network, products, selection, shapes, temperature, windows
-from freshet.plans.oracles import _MONTHLY, _YEARLY
-from freshet.plans.queries import _rounded, _zones
+from freshet.operators import extension, grids, models, network, products, report, selection, shapes, temperature, windows
+from freshet.plans.oracles import _DAILY, _MONTHLY, _WINDOWS, _YEARLY
+from freshet.plans.queries import WINDOWS, _rounded, _zones
 from freshet.plans.views import Tables
 
 BY = ("variable", "period")
@@ -196,6 +196,27 @@ k AS (SELECT *, avg(obs) OVER (PARTITION BY grouping, level, station) AS mm FROM
 b AS (SELECT grouping, level, median(nse) AS nse_months FROM s GROUP BY ALL)
 SELECT grouping, level, n, left_out, no_model, round(mean_error, 6) AS mean_error, round(median_error, 6) AS median_error, round(mae, 6) AS mae, round(within_20, 6) AS within_20, round(median_log, 6) AS median_log, round(sd_log, 6) AS sd_log, round(nse_months, 6) AS nse_months FROM a LEFT JOIN b USING (grouping, level)""",
     ),
+    "station_departures": (
+        lambda t: _rounded(report.departures(t.flagged(), WINDOWS, (1996, 1999), ("mean", "frac_below"), 3, 3, 1.0, 1996, 0.1)),
+        f"""WITH {_DAILY}, {_WINDOWS}, mon AS (SELECT station, year(date) AS y, month(date) AS m, avg(q) AS q, count(*) AS n FROM daily GROUP BY ALL), comp AS (SELECT station, y FROM mon WHERE n >= 20 GROUP BY ALL HAVING count(*) = 12),
+cnt AS (SELECT station, count(*) FILTER (y BETWEEN 1996 AND 1999) >= 3 AS inside FROM comp GROUP BY 1 HAVING count(*) >= 3), used AS (SELECT station, y FROM comp JOIN cnt USING (station) WHERE NOT inside OR y BETWEEN 1996 AND 1999),
+mm AS (SELECT station, m, avg(q) AS q FROM mon JOIN used USING (station, y) GROUP BY ALL), lev AS (SELECT station, sum(q * CASE WHEN m = 2 THEN 28.25 WHEN m IN (4, 6, 9, 11) THEN 30 ELSE 31 END::DOUBLE) / 365.25::DOUBLE AS t FROM mm GROUP BY 1),
+ends AS (SELECT station, min(date) AS a, max(date) AS b FROM daily GROUP BY 1),
+d AS (SELECT d.station, period, s, e, q, q < t AS low, q % 3 = 0 AS ice, year(date) >= 2000 AS prov, a, b, year(date) - CASE WHEN e < s AND strftime(date, '%m-%d') <= e THEN 1 ELSE 0 END AS year
+  FROM daily d JOIN ends USING (station) LEFT JOIN lev USING (station) JOIN wins ON CASE WHEN e < s THEN strftime(date, '%m-%d') >= s OR strftime(date, '%m-%d') <= e ELSE strftime(date, '%m-%d') BETWEEN s AND e END),
+x AS (SELECT *, make_date(year, s[1:2]::INT, s[4:5]::INT) AS f, CASE WHEN e = '02-29' THEN last_day(make_date(year + (e < s)::INT, 2, 1)) ELSE make_date(year + (e < s)::INT, e[1:2]::INT, e[4:5]::INT) END AS l FROM d),
+w AS (SELECT station, period, year::BIGINT AS year, count(*) AS n_days, avg(q) AS mean, avg(low::INT) AS below, avg(ice::INT) AS frac_ice, avg(prov::INT) AS frac_provisional FROM x WHERE f >= a AND l <= b GROUP BY station, period, year, f, l HAVING count(*) >= 0.1 * (l - f + 1)),
+k AS (SELECT *, unnest(['q_mean', 'q_frac_below']) AS variable, unnest([mean, below]) AS value FROM w WHERE NOT (period IN ('djf', 'feb') AND frac_provisional > 0)),
+nb AS (SELECT station, variable, period, avg(value) FILTER (year BETWEEN 1996 AND 1999) AS normal, count(*) FILTER (year BETWEEN 1996 AND 1999) AS n_base FROM k WHERE value IS NOT NULL GROUP BY ALL),
+mv AS (SELECT k.*, normal, n_base, CASE WHEN variable = 'q_mean' THEN 100 * (value - normal) / normal ELSE value - normal END AS anomaly FROM k JOIN nb USING (station, variable, period) WHERE value IS NOT NULL AND n_base >= 3),
+since AS (SELECT station, variable, period, year, anomaly FROM mv WHERE year >= 1996),
+pr AS (SELECT a.station, a.variable, a.period, median((b.anomaly - a.anomaly) / (b.year - a.year)) AS slope, sum(sign(b.anomaly - a.anomaly)) AS s FROM since a JOIN since b ON a.station = b.station AND a.variable = b.variable AND a.period = b.period AND a.year < b.year GROUP BY ALL),
+ti AS (SELECT station, variable, period, sum(t)::BIGINT AS n, sum(t * (t - 1) * (2 * t + 5)) AS c FROM (SELECT station, variable, period, anomaly, count(*) AS t FROM since GROUP BY ALL) GROUP BY ALL),
+z AS (SELECT *, (n * (n - 1) * (2 * n + 5) - c)::DOUBLE / 18 AS vs, CASE WHEN s > 0 THEN (s - 1) / sqrt(vs) WHEN s < 0 THEN (s + 1) / sqrt(vs) ELSE 0 END AS z, 1 / (1 + 0.2316419::DOUBLE * abs(z)) AS u FROM pr JOIN ti USING (station, variable, period)),
+tr AS (SELECT station, variable, period, slope, n AS n_trend, CASE WHEN n >= 4 THEN CASE WHEN vs > 0 THEN least(1, 2 * exp(-z * z / 2) * 0.3989422804014327::DOUBLE * u * (0.319381530::DOUBLE + u * (-0.356563782::DOUBLE + u * (1.781477937::DOUBLE + u * (-1.821255978::DOUBLE + u * 1.330274429::DOUBLE))))) ELSE 1 END END AS p FROM z)
+SELECT station, variable, period, year, round(value, 6) AS value, round(normal, 6) AS normal, n_base, round(anomaly, 6) AS anomaly, n_days, round(frac_ice, 6) AS frac_ice, round(frac_provisional, 6) AS frac_provisional, round(slope, 6) AS slope, round(p, 6) AS p, n_trend
+FROM mv LEFT JOIN tr USING (station, variable, period)""",
+    ),
 }
 
 QUERIES = {name: query for name, (query, _) in PAIRS.items()}

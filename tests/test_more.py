@@ -38,7 +38,7 @@ def test_degree_days_equal_a_plain_loop(spark):
 
 
 def test_a_season_cut_by_a_missing_day_has_no_degree_days(spark):
-    rows = year_of(warm, skip=(200,)) + year_of(warm, station="before", skip=(20, 62)) + year_of(warm, station="edge", skip=(112,))
+    rows = year_of(warm, skip=(200,)) + year_of(warm, station="before", skip=(20, 62)) + year_of(warm, station="edge", skip=(140,))
     got = {r["station"]: r["value"] for r in series.degree_days(days(spark, rows)).collect()}
     assert got["a"] is None and got["before"] is not None and got["edge"] is None
     assert series.degree_days(days(spark, [])).count() == 0
