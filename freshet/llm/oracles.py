@@ -59,3 +59,57 @@ WITH RECURSIVE d AS (
 )
 SELECT n.doc_id, n.n_shingles::BIGINT AS n_shingles, CASE WHEN n.n_shingles = 0 THEN n.doc_id ELSE r.root END AS component_id FROM named n LEFT JOIN roots r USING (node)
 """
+
+CONVERSATION_REPAIR = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))
+), named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda ch: ascii(ch)::BIGINT) AS bytes FROM conversations
+), drawn AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS k FROM named, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+  FROM drawn JOIN range(2) c(copy) ON copy = 0 OR k = 3 WHERE k <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged
+), faulty AS (
+  SELECT *, left(role, 1) AS r, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+    WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed
+), stats AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faulty GROUP BY 1
+), togo AS (
+  SELECT conv_id, n + 1 AS i, [0, 10, 5, 0] AS v FROM stats
+  UNION ALL
+  SELECT conv_id, i, [least(w[1], 5 + w[3]), least(w[2], 5 + w[3]), least(w[3], 5 + w[4]), least(w[4], 5 + w[3])] FROM (
+    SELECT conv_id, i, [least(u[1], 5 + u[3]), least(u[2], 5 + u[3]), least(u[3], 5 + u[4]), least(u[4], 5 + u[3])] AS w FROM (
+      SELECT f.conv_id, f.i, [
+        least(2 + v[1], CASE WHEN free THEN 1 + x + v[3] ELSE 1000000000 END, CASE WHEN free AND r = 's' THEN x + v[2] WHEN free AND r = 'u' THEN x + v[3] ELSE 1000000000 END),
+        least(2 + v[2], CASE WHEN free THEN 1 + x + v[3] ELSE 1000000000 END, CASE WHEN free AND r = 'u' THEN x + v[3] ELSE 1000000000 END),
+        least(2 + v[3], CASE WHEN free THEN 1 + x + v[4] ELSE 1000000000 END, CASE WHEN free AND r = 'a' THEN x + v[4] ELSE 1000000000 END),
+        least(2 + v[4], CASE WHEN free THEN 1 + x + v[3] ELSE 1000000000 END, CASE WHEN free AND r = 'u' THEN x + v[3] ELSE 1000000000 END)] AS u
+      FROM togo g JOIN (SELECT *, fault NOT IN ('b', 'd') AS free, CASE WHEN fault = 't' THEN 5 ELSE 0 END AS x FROM faulty) f ON f.conv_id IS NOT DISTINCT FROM g.conv_id AND f.i = g.i - 1))
+), cost AS (
+  SELECT g.conv_id, g.i, g.v, h.v AS ahead, f.r, f.fault NOT IN ('b', 'd') AS free, CASE WHEN f.fault = 't' THEN 5 ELSE 0 END AS x, f.role, f.text
+  FROM togo g LEFT JOIN togo h ON h.conv_id IS NOT DISTINCT FROM g.conv_id AND h.i = g.i + 1 LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM g.conv_id AND f.i = g.i
+), walk AS (
+  SELECT conv_id, 1::BIGINT AS i, 1 AS q, '' AS audit, []::VARCHAR[] AS turns FROM stats
+  UNION ALL
+  SELECT conv_id, CASE WHEN edit = 'I' THEN i ELSE i + 1 END, CASE edit WHEN 'D' THEN q WHEN 'K' THEN kept ELSE other END, audit || edit,
+    CASE edit WHEN 'D' THEN turns WHEN 'K' THEN list_append(turns, role || ':' || text) ELSE list_append(turns, CASE WHEN q = 3 THEN 'assistant:' ELSE 'user:' END || CASE WHEN edit = 'R' THEN text ELSE '' END) END
+  FROM (
+    SELECT *, CASE WHEN v[q] = 2 + ahead[q] THEN 'D' WHEN v[q] = 5 + v[other] THEN 'I' WHEN free AND kept IS NOT NULL AND v[q] = x + ahead[kept] THEN 'K' ELSE 'R' END AS edit FROM (
+      SELECT w.*, c.v, c.ahead, c.free, c.x, c.role, c.text, CASE WHEN w.q = 3 THEN 4 ELSE 3 END AS other,
+        CASE WHEN w.q = 1 AND c.r = 's' THEN 2 WHEN w.q IN (1, 2, 4) AND c.r = 'u' THEN 3 WHEN w.q = 3 AND c.r = 'a' THEN 4 END AS kept
+      FROM walk w JOIN cost c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.i = w.i WHERE c.ahead IS NOT NULL OR c.v[w.q] > 0))
+), done AS (
+  SELECT w.conv_id, w.audit, w.turns FROM walk w JOIN cost c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.i = w.i WHERE c.ahead IS NULL AND c.v[w.q] = 0
+), first AS (
+  SELECT conv_id, v[1] AS cost FROM togo WHERE i = 1
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(turns, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN first f ON f.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM o.conv_id
+"""

@@ -36,6 +36,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op12_conversation_repair": oracles.CONVERSATION_REPAIR,
     "op13_jaccard_join": oracles.JACCARD_JOIN,
     "op11_filter_audit": oracles.FILTER_AUDIT,
     "op9_source_mix": r"""
