@@ -86,7 +86,7 @@ def linear_fit(rows: DataFrame, y: str, xs: list[str], by: list[str]) -> DataFra
 
 def blocked_predictions(rows: DataFrame, y: str, xs: list[str], fold: str = "fold") -> DataFrame:
     """id, fold, obs, mod: each row predicted from the rows of the other folds. The sums of a fold taken from those of all give
-    what its fit needs, so that one pass serves every fold."""
+    what its fit needs, so that one pass serves every fold. Rows of a fold whose others are too few for a fit keep a null ``mod``."""
     kept, middle = _centred(rows, y, xs)
     cols = ["_one", *[f"_c_{x}" for x in xs]]
     per = _sums(kept, f"_c_{y}", cols, [fold])
@@ -97,7 +97,7 @@ def blocked_predictions(rows: DataFrame, y: str, xs: list[str], fold: str = "fol
     value = F.col("intercept")
     for x in xs:
         value = value + F.col(f"b_{x}") * F.col(x)
-    return kept.select("id", fold, F.col(y).alias("obs"), *xs).join(fits, fold).select("id", fold, "obs", value.alias("mod"))
+    return kept.select("id", fold, F.col(y).alias("obs"), *xs).join(fits, fold, "left").select("id", fold, "obs", value.alias("mod"))
 
 
 def _uniform(*parts: Column) -> Column:

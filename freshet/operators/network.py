@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from freshet.functions.columns import ancestors, at_least, depth_to_flow, flow_to_depth, refuse, under, upstream_of, volume_days
+from freshet.sources.shared import settled
 
 
 def upstream_pairs(ws: DataFrame) -> DataFrame:
@@ -29,8 +30,8 @@ def upstream_sums(ws: DataFrame, columns: list[str]) -> DataFrame:
     """
     regular = under(F.col("l"), F.col("w"))
     sums = [F.sum(c).alias(c) for c in columns]
-    # one row per pair of codes, which every branch below starts from: kept in memory or on disk, or each would scan anew
-    base = ws.groupBy("w", "l").agg(*sums).persist()
+    # one row per pair of codes, which every branch below starts from: a table, or each would scan anew; nothing stays cached
+    base = settled(ws.groupBy("w", "l").agg(*sums), "codes")
     own = base.where(regular)
     tree = own.select(F.explode(ancestors(F.col("w"))).alias("code"), *columns).groupBy("code").agg(*sums)
     # the stream's own rows from each place upward
@@ -50,8 +51,11 @@ def upstream_sums(ws: DataFrame, columns: list[str]) -> DataFrame:
     answer = at_code.unionByName(above).groupBy("w", "l").agg(*sums)
     keys = base.select("w", "l")
     told = keys.where(regular).join(answer, ["w", "l"], "left").select("w", "l", *columns)
-    # irregular rows as questions, and as contributors to everyone
+    # irregular rows as questions, and as contributors to everyone; without any, their joins are spared
     odd = base.where(~regular)
+    if odd.isEmpty():
+        total = told
+        return ws.select("id", "w", "l").join(total, ["w", "l"], "left").select("id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns])
     odd_up = odd.select(F.col("w").alias("w2"), F.col("l").alias("l2"), F.explode(ancestors(F.col("w"))).alias("w"), *columns)
     added = keys.join(odd_up, "w").where(upstream_of(F.col("w"), F.col("l"), F.col("w2"), F.col("l2"))).select("w", "l", *columns)
     all_up = own.select(F.col("w").alias("w2"), F.col("l").alias("l2"), F.explode(ancestors(F.col("w"))).alias("w"), *columns)

@@ -60,3 +60,10 @@ def test_publish_verify_and_scan(spark, tmp_path):
     parts = spark.createDataFrame([(p["key"], p["bytes"], p["md5"]) for p in manifest["parts"]], "key string, bytes long, md5 string")
     assert all(r["ok"] for r in catalog.verify(spark, root, parts).collect())
     assert catalog.scan(spark, root, parts, ids=[2]).count() == 1
+
+
+def test_sums_leave_nothing_cached(spark):
+    ws = spark.createDataFrame([(1, "100", "100", 5.0), (2, "100.000001", "100.000001", 2.0)], "id int, w string, l string, area double")
+    before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    assert {r["id"]: r["area"] for r in network.upstream_sums(ws, ["area"]).collect()} == {1: 7.0, 2: 2.0}
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before
