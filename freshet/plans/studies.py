@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.functions import columns as C
-from freshet.operators import extension, grids, models, network, products, report, selection, shapes, temperature, windows
+from freshet.operators import extension, grids, models, network, products, report, resampling, selection, shapes, temperature, windows
 from freshet.plans.oracles import _DAILY, _MONTHLY, _WINDOWS, _YEARLY
 from freshet.plans.queries import WINDOWS, _rounded, _zones
 from freshet.plans.views import Tables
@@ -217,6 +217,18 @@ tr AS (SELECT station, variable, period, slope, n AS n_trend, CASE WHEN n >= 4 T
 SELECT station, variable, period, year, round(value, 6) AS value, round(normal, 6) AS normal, n_base, round(anomaly, 6) AS anomaly, n_days, round(frac_ice, 6) AS frac_ice, round(frac_provisional, 6) AS frac_provisional, round(slope, 6) AS slope, round(p, 6) AS p, n_trend
 FROM mv LEFT JOIN tr USING (station, variable, period)""",
     ),
+    "change_interval": (
+        lambda t: _rounded(resampling.change_interval(t.yearly().selectExpr("*", "year % 2 = 0 as extended"), t.yearly().selectExpr("station", "(value - 25) / 4 as r"), (1995, 1997), (1998, 2001), 500)),
+        f"""WITH {_YEARLY}, part AS (SELECT station, CASE WHEN year <= 1997 THEN 'base' ELSE 'recent' END AS part, year, value, year % 2 = 0 AS ext FROM yearly WHERE year BETWEEN 1995 AND 2001),
+held AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY station, part) AS n FROM part WINDOW w AS (PARTITION BY station, part ORDER BY year)),
+errs AS (SELECT station, list((value - 25) / 4 ORDER BY (value - 25) / 4) AS r FROM yearly GROUP BY 1), dr AS (SELECT unnest(range(1, 501)) AS draw),
+z AS (SELECT station, part, draw, i, n, value + CASE WHEN ext THEN r[floor(('0x' || substr(md5(station || ':' || draw || ':' || part || ' error:' || i), 1, 13))::BIGINT::DOUBLE / 4503599627370496 * len(r))::BIGINT + 1] ELSE 0 END AS z FROM held JOIN errs USING (station), dr),
+k AS (SELECT station, part, draw, floor(('0x' || substr(md5(station || ':' || draw || ':' || part || ':' || slot), 1, 13))::BIGINT::DOUBLE / 4503599627370496 * n)::BIGINT AS i FROM (SELECT DISTINCT station, part, n FROM held) h, dr, range(1, 9) s(slot) WHERE slot <= n AND n >= 2),
+m AS (SELECT station, draw, avg(z) FILTER (part = 'recent') - avg(z) FILTER (part = 'base') AS d FROM k JOIN z USING (station, part, draw, i) GROUP BY ALL HAVING count(DISTINCT part) = 2),
+w AS (SELECT station, avg(value) FILTER (part = 'recent') - avg(value) FILTER (part = 'base') AS change FROM held GROUP BY 1)
+SELECT station, round(any_value(change), 6) AS change, round(quantile_cont(d, 0.05), 6) AS low, round(quantile_cont(d, 0.95), 6) AS high FROM m JOIN w USING (station) GROUP BY station""",
+    ),
+    "change_coverage": (lambda t: _rounded(resampling.change_coverage(t.yearly().selectExpr("*", "year % 2 = 0 as extended"), t.yearly().selectExpr("station", "(value - 25) / 4 as r"), (1995, 1997), (1998, 2001), 20, 40)), None),
 }
 
 QUERIES = {name: query for name, (query, _) in PAIRS.items()}
