@@ -32,7 +32,7 @@ BUCKET_BITS, ROW_BITS = 20, 12
 #: Fragments of the order at least; more where the longest set has over ``SEGMENT`` shingles a fragment.
 FRAGMENTS, SEGMENT = 8, 4096
 #: Nodes of a prefix group that meet in one task, rounds of heads, bits of parities, bytes hashed at once, rows a worker holds at once.
-MEET_ROWS, ROUNDS, BITS, CHUNK, SLICE = 2048, 2, 1024, 1 << 20, 128
+MEET_ROWS, ROUNDS, BITS, CHUNK, SLICE = 2048, 1, 1024, 1 << 20, 128
 #: Occurrences of a hash bucket for which its prefix groups get another salt.
 SALT_ROWS = 100_000
 #: Bits a wanted node has in the filter of the second reading, and the most bits of that filter.
@@ -304,7 +304,11 @@ def links(docs: DataFrame, named: DataFrame, order: object, fragment_of: object,
     shared = written(keyed.where("low < high or salt > 0").select("node", "key", "salt", "n").distinct())
     # the more company a node has, the more of its group it is likely to be similar to: such nodes head their groups first
     company = shared.groupBy("node").agg(F.sum("n").alias("company"))
-    shared = written(shared.join(company, "node").select("node", "key", "salt", "company", F.col("node").alias("root")))
+    # the shingles of a shared passage have the same nodes each: one of them stands for all, told by 128 bits of the nodes' hashes
+    alike = shared.groupBy("key", "salt").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("t"))
+    kept = alike.where("salt = 0").groupBy("k", "s", "t").agg(F.min("key").alias("key"), F.count("*").alias("weight")).select("key", F.lit(0).alias("salt"), "weight")
+    kept = kept.unionByName(alike.where("salt > 0").select("key", "salt", F.lit(1).cast("long").alias("weight")))
+    shared = written(shared.join(kept, ["key", "salt"]).join(company, "node").select("node", "key", "salt", "weight", "company", F.col("node").alias("root")))
     edges = None
 
     def count(pairs: DataFrame) -> DataFrame:
@@ -319,7 +323,7 @@ def links(docs: DataFrame, named: DataFrame, order: object, fragment_of: object,
         heads = shared.groupBy("key", "salt").agg(drawn.alias("h"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
         met = shared.join(heads.select("key", "salt", "h.head", "h.head_root"), ["key", "salt"]).where("root <> head_root")
         # of the heads that a node meets, the one that it shares most of its prefix with
-        votes = met.groupBy("node", "head").agg(F.count("*").alias("n"))
+        votes = met.groupBy("node", "head").agg(F.sum("weight").alias("n"))
         stars = votes.groupBy("node").agg(F.max(F.struct("n", "head"))["head"].alias("head")).alias("s")
         x, y = traits.alias("x"), traits.alias("y")
         stars = stars.join(x, F.expr("s.node = x.node")).join(y, F.expr("s.head = y.node")).where(_possible(least)).select(*_ordered("s.node", "s.head")).distinct()
@@ -328,7 +332,7 @@ def links(docs: DataFrame, named: DataFrame, order: object, fragment_of: object,
             break
         edges = found if edges is None else edges.unionByName(found)
         roots = components(edges).withColumnRenamed("node", "own").withColumnRenamed("root", "now")
-        shared = written(shared.join(roots, shared["node"] == roots["own"], "left").select("node", "key", "salt", "company", F.coalesce("now", "root").alias("root")))
+        shared = written(shared.join(roots, shared["node"] == roots["own"], "left").select("node", "key", "salt", "weight", "company", F.coalesce("now", "root").alias("root")))
     # all pairs across components, of groups as a whole, in blocks
     mixed = shared.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / MEET_ROWS).cast("int").alias("blocks")).where("low < high").select("key", "blocks")
     left = shared.join(mixed, "key").join(traits, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
