@@ -184,6 +184,6 @@ def majority(cells: DataFrame) -> DataFrame:
 
 
 def capped_mean(years: DataFrame, cap: float, first: bool) -> DataFrame:
-    """Mean over years with a cap: on each year (``first``) or on the mean."""
-    v = F.least(F.col("value"), F.lit(cap))
-    return years.groupBy("station").agg(F.avg(v).alias("value") if first else F.least(F.avg("value"), F.lit(cap)).alias("value"))
+    """Mean over years with a cap: on each year (``first``) or on the mean. A null value is no year; a station of nulls has a null."""
+    low = lambda x: F.when(x.isNotNull(), F.least(x, F.lit(cap)))
+    return years.groupBy("station").agg((F.avg(low(F.col("value"))) if first else low(F.avg("value"))).alias("value"))

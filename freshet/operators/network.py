@@ -87,6 +87,36 @@ def closure(ws: DataFrame, chosen: DataFrame) -> DataFrame:
     return ws.select("id", F.explode(ancestors(F.col("w"))).alias("_r")).join(top, "_r", "left_semi").select("id").distinct()
 
 
+def group_closures(ws: DataFrame, group: str = "grp") -> DataFrame:
+    """For every group, ``group`` and id of all rows in the subtrees of the roots of its rows' codes. Rows without codes are in none;
+    each group has its own roots, all found in one pass."""
+    coded = ws.where("w is not null and l is not null")
+    codes = coded.where(F.col(group).isNotNull()).select(F.col(group).alias("_g"), "w").distinct()
+    above = codes.select("_g", "w", F.explode(F.filter(ancestors(F.col("w")), lambda a: a != F.col("w"))).alias("_a"))
+    inside = above.join(codes.select("_g", F.col("w").alias("_a")), ["_g", "_a"], "left_semi").select("_g", "w").distinct()
+    top = codes.join(inside, ["_g", "w"], "left_anti").withColumnRenamed("w", "_r")
+    # roots of a group do not hold each other, so a row meets a group once
+    return coded.select("id", F.explode(ancestors(F.col("w"))).alias("_r")).join(top, "_r").select(F.col("_g").alias(group), "id", F.substr("_r", F.lit(1), F.lit(3)).alias("code"))
+
+
+def irregular_pairs(ws: DataFrame) -> DataFrame:
+    """id, id_up of the upstream pairs whose upper row is irregular: its place is not on or under its stream's code."""
+    odd = ws.where(~under(F.col("l"), F.col("w"))).select(F.col("id").alias("id_up"), F.col("w").alias("w2"), F.col("l").alias("l2"), F.explode(ancestors(F.col("w"))).alias("w"))
+    return ws.select("id", "w", "l").join(odd, "w").where(upstream_of(F.col("w"), F.col("l"), F.col("w2"), F.col("l2"))).select("id", "id_up")
+
+
+def closure_table(ws: DataFrame, group: str = "grp") -> DataFrame:
+    """A row per group: n, rows of its closure; groups, those its closure has rows of; codes, its roots' first labels; irregular, the
+    irregular pairs with the upper row in the closure. Lists are sorted and without repeats."""
+    held = group_closures(ws, group)
+    up = irregular_pairs(ws).groupBy(F.col("id_up").alias("id")).agg(F.count("*").alias("_n"))
+    rows = held.join(ws.select("id", F.col(group).alias("_own")), "id").join(up, "id", "left")
+    # lists from counts per pair of groups, which are few beside the rows
+    per = rows.groupBy(group, "_own", "code").agg(F.count("*").alias("n"), F.sum(F.coalesce("_n", F.lit(0))).alias("irregular"))
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    return per.groupBy(group).agg(F.sum("n").alias("n"), listed("_own").alias("groups"), listed("code").alias("codes"), F.sum("irregular").alias("irregular"))
+
+
 def reach(ws: DataFrame, start: DataFrame) -> DataFrame:
     """id of all rows upstream of any row of ``start``."""
     up = ws.select("id", F.col("w").alias("w2"), F.col("l").alias("l2"), F.explode(ancestors(F.col("w"))).alias("w"))
@@ -94,15 +124,23 @@ def reach(ws: DataFrame, start: DataFrame) -> DataFrame:
     return up.join(asked, "w").where(upstream_of(F.col("w"), F.col("l"), F.col("w2"), F.col("l2"))).select("id").distinct()
 
 
-def cv_folds(stations: DataFrame, letters: int = 4) -> DataFrame:
-    """station, fold, leak_up, leak_down: folds by the start of the name; the largest share (at most 1) of a station's area that
-    a station of another fold upstream covers, and whether one lies downstream. ``stations``: station, w, l, area."""
-    s = stations.select("station", F.substr("station", F.lit(1), F.lit(letters)).alias("fold"), "w", "l", "area")
+def cv_folds(stations: DataFrame, letters: int | None = 4) -> DataFrame:
+    """station, fold, nesting, leak_up, leak_down: folds by the start of the name (the whole name without ``letters``); whether any
+    station lies upstream; the largest share (at most 1) of a station's area that a station of another fold upstream covers, and
+    whether one lies downstream. ``stations``: station, w, l, area. A station twice, and a null, are errors when read."""
+    fold = F.col("station") if letters is None else F.substr("station", F.lit(1), F.lit(letters))
+    lacking = F.col("station").isNull() | F.col("w").isNull() | F.col("l").isNull() | F.col("area").isNull()
+    n = F.count("*").over(Window.partitionBy("station"))
+    s = stations.select("station", fold.alias("fold"), "w", "l", "area", n.alias("_n"), lacking.alias("_null"))
+    s = s.select("station", "fold", "w", "l", refuse(F.col("_null"), "a station has a null", refuse(F.col("_n") > 1, "a station repeats", F.col("area"))).alias("area"))
     up = s.select(F.col("station").alias("s2"), F.col("fold").alias("f2"), F.col("w").alias("w2"), F.col("l").alias("l2"), F.col("area").alias("a2"), F.explode(ancestors(F.col("w"))).alias("w"))
-    met = s.join(up, "w").where((F.col("fold") != F.col("f2")) & upstream_of(F.col("w"), F.col("l"), F.col("w2"), F.col("l2")))
-    above = met.groupBy("station").agg(F.max(F.least(F.lit(1.0), F.col("a2") / F.col("area"))).alias("leak_up"))
-    below = met.select(F.col("s2").alias("station")).distinct().withColumn("leak_down", F.lit(True))
-    return s.join(above, "station", "left").join(below, "station", "left").select("station", "fold", F.coalesce("leak_up", F.lit(0.0)).alias("leak_up"), F.coalesce("leak_down", F.lit(False)).alias("leak_down"))
+    met = s.join(up, "w").where((F.col("station") != F.col("s2")) & upstream_of(F.col("w"), F.col("l"), F.col("w2"), F.col("l2")))
+    other = F.col("fold") != F.col("f2")
+    above = met.groupBy("station").agg(F.max(F.when(other, F.least(F.lit(1.0), F.col("a2") / F.col("area")))).alias("leak_up"), F.lit("nested").alias("nesting"))
+    below = met.where(other).select(F.col("s2").alias("station")).distinct().withColumn("leak_down", F.lit(True))
+    return s.join(above, "station", "left").join(below, "station", "left").select(
+        "station", "fold", F.coalesce("nesting", F.lit("headwater")).alias("nesting"), F.coalesce("leak_up", F.lit(0.0)).alias("leak_up"), F.coalesce("leak_down", F.lit(False)).alias("leak_down")
+    )
 
 
 def snap_pick(candidates: DataFrame, stations: DataFrame, max_dev: float = 0.1) -> DataFrame:

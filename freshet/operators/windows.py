@@ -28,13 +28,28 @@ def check_windows(windows: list[tuple[str, str, str]]) -> list[tuple[str, str, s
     return windows
 
 
-def calendar_windows(spark: SparkSession) -> DataFrame:
+def calendar() -> list[tuple[str, str, str]]:
     """The twelve months and the four seasons; an end of 02-29 is the last day of February."""
     months = "jan feb mar apr may jun jul aug sep oct nov dec".split()
     ends = [f"{m:02d}-{n + (m == 2):02d}" for m, n in enumerate(COMMON_DAYS, 1)]
     rows = [(name, f"{m:02d}-01", ends[m - 1]) for m, name in enumerate(months, 1)]
-    rows += [("djf", "12-01", "02-29"), ("mam", "03-01", "05-31"), ("jja", "06-01", "08-31"), ("son", "09-01", "11-30")]
-    return spark.createDataFrame(rows, WINDOW_SCHEMA)
+    return rows + [("djf", "12-01", "02-29"), ("mam", "03-01", "05-31"), ("jja", "06-01", "08-31"), ("son", "09-01", "11-30")]
+
+
+def calendar_windows(spark: SparkSession) -> DataFrame:
+    """``calendar`` as a table."""
+    return spark.createDataFrame(calendar(), WINDOW_SCHEMA)
+
+
+def windows_of_record(daily: DataFrame, windows: list[tuple[str, str, str]], by: tuple[str, ...] = ("station",), value: str = "q") -> DataFrame:
+    """Per series and window, its month-days, in how many of its years the record has a day, how many of these have every day, and the days
+    that are there and that are lacking. A day given twice counts once."""
+    by = list(by)
+    days = in_windows(daily, windows, by, value).groupBy(*by, "period", "_s", "_e", "year", "_from", "_to").agg(F.countDistinct("date").alias("_n"))
+    length = F.datediff("_to", "_from") + 1
+    return days.groupBy(*by, "period", F.col("_s").alias("start"), F.col("_e").alias("end")).agg(
+        F.count("*").alias("years"), F.count_if(F.col("_n") == length).alias("complete"), F.sum("_n").alias("days"), F.sum(length - F.col("_n")).alias("lacking"),
+    )
 
 
 def _day(year: Column, md: Column) -> Column:

@@ -15,7 +15,7 @@ _FRACTIONS = "SELECT p_partkey AS cell, 'forest' AS class, CAST(p_size AS DOUBLE
 _AET = "SELECT p_partkey AS cell, CASE WHEN p_partkey % 17 <> 0 THEN CAST(200 + p_partkey % 211 AS DOUBLE) END AS aet FROM part"
 _SCORES = "SELECT s_nationkey AS grp, 'm' || CAST(s_suppkey % 4 AS VARCHAR(1)) AS aet, avg(CAST(s_suppkey * 31 % 97 AS DOUBLE)) AS hw, avg(CAST(s_suppkey * 17 % 89 AS DOUBLE)) AS \"all\", avg(CAST(s_suppkey * 13 % 83 AS DOUBLE)) AS nes_mae, avg(CAST(s_suppkey % 11 AS DOUBLE) / 11) AS nes_in20 FROM supplier GROUP BY 1, 2"
 _USES = "SELECT l_suppkey AS station, l_orderkey * 8 + l_linenumber AS point, l_partkey % 5 AS grp, CASE WHEN l_linenumber = 3 THEN 'other' ELSE 'consumptive' END AS class, CAST(l_linenumber AS DOUBLE) / 8 AS weight, CAST(l_quantity AS DOUBLE) AS volume, l_partkey % 5 < 2 AS straddles, CAST(100 + l_partkey % 5 AS DOUBLE) AS group_volume FROM lineitem"
-_NEAR = "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey"
+_NEAR = "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey AND abs(a.s_suppkey - b.s_suppkey) <= 200"
 _CAND = "SELECT c_nationkey AS station, CAST(year(o_orderdate) AS BIGINT) AS year, CAST(month(o_orderdate) % 3 AS BIGINT) AS m, avg(CAST(o_totalprice AS DOUBLE)) AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3"
 _MONTHS = "SELECT c_nationkey AS station, CAST(year(o_orderdate) AS BIGINT) AS year, CAST(month(o_orderdate) AS BIGINT) AS month, avg(CAST(o_totalprice AS DOUBLE)) AS q FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3"
 
@@ -30,9 +30,10 @@ def _sql(t: Tables, text: str):
 
 
 def _near(t: Tables):
-    n = t.supplier.select("s_suppkey", "s_nationkey")
-    pairs = n.alias("a").join(n.alias("b"), F.expr("a.s_nationkey = b.s_nationkey and a.s_suppkey <> b.s_suppkey"))
-    return pairs.selectExpr("cast(a.s_suppkey as string) as target", "cast(b.s_suppkey as string) as donor", "cast(abs(a.s_suppkey - b.s_suppkey) as double) as distance").selectExpr("*", "case when distance <= 100 then 1 / (1 + distance) else 0D end as weight")
+    """Suppliers of a nation within 200 numbers, by cells: a nation is a row of the grid, far from the others."""
+    places = t.supplier.selectExpr("cast(s_suppkey as string) as station", "s_suppkey + 0D as x", "s_nationkey * 1000D as y")
+    near = network.nearest_candidates(places, places.withColumnRenamed("station", "place"), 200.0, 401).where("station <> place")
+    return near.selectExpr("station as target", "place as donor", "distance", "case when distance <= 100 then 1 / (1 + distance) else 0D end as weight")
 
 
 _NEAR_SQL = f"near AS (SELECT a::VARCHAR AS target, b::VARCHAR AS donor, abs(a - b)::DOUBLE AS distance, CASE WHEN abs(a - b) <= 100 THEN 1 / (1 + abs(a - b)::DOUBLE) ELSE 0 END AS weight FROM ({_NEAR}))"

@@ -84,7 +84,7 @@ def _extend(method: str) -> str:
         "ols": "regr_slope(y, x) AS b, regr_intercept(y, x) AS a",
     }[method]
     return f"""WITH {_YEARLY}, short AS (SELECT station, year, {f} AS v FROM yearly WHERE (station::INT % 3 <> 0 OR year BETWEEN 1996 AND 1999) AND value > 0),
-chain AS (SELECT t.station AS target, d.station AS donor, abs(t.station::INT - d.station::INT) * 100 + d.station::INT AS rank FROM (SELECT DISTINCT station FROM yearly) t, (SELECT DISTINCT station FROM yearly) d WHERE t.station::INT % 3 = 0 AND d.station::INT % 3 <> 0),
+chain AS (SELECT t.station AS target, d.station AS donor, abs(t.station::INT - d.station::INT) * 100000 + d.station::INT AS rank FROM (SELECT DISTINCT station FROM yearly) t, (SELECT DISTINCT station FROM yearly) d WHERE t.station::INT % 3 = 0 AND d.station::INT % 3 <> 0 AND abs(t.station::INT - d.station::INT) <= 40),
 shared AS (SELECT c.*, t.v AS y, d.v AS x FROM chain c JOIN short t ON t.station = target JOIN short d ON d.station = donor AND d.year = t.year),
 own AS (SELECT station AS target, count(*) AS k FROM short GROUP BY station),
 fits AS (SELECT * FROM (SELECT target, donor, rank, count(*) AS n, {fit} FROM shared GROUP BY target, donor, rank) JOIN own USING (target) WHERE n >= 3 AND n = k),
@@ -102,8 +102,6 @@ ORACLES = {
   UNION ALL SELECT station, 'q_frac_below', period, year, frac_below, 'absolute', n_days FROM stats UNION ALL SELECT station, 'q_cov_day', period, year, cov_day::DOUBLE, 'absolute', n_days FROM stats)
 SELECT * FROM long WHERE value IS NOT NULL""",
     "window_fraction_flags": f"WITH {_DAILY}, {_window_stats('daily', 0.8)} SELECT station, period, year::BIGINT AS year, round(avg((q % 3 = 0)::INT), 6) AS frac_ice, round(avg((year(date) >= 2000)::INT), 6) AS frac_provisional FROM more GROUP BY ALL HAVING count(*) >= 0.8 * any_value(length)",
-    "calendar_windows": """SELECT * FROM (VALUES ('jan', '01-01', '01-31'), ('feb', '02-01', '02-29'), ('mar', '03-01', '03-31'), ('apr', '04-01', '04-30'), ('may', '05-01', '05-31'), ('jun', '06-01', '06-30'), ('jul', '07-01', '07-31'),
-  ('aug', '08-01', '08-31'), ('sep', '09-01', '09-30'), ('oct', '10-01', '10-31'), ('nov', '11-01', '11-30'), ('dec', '12-01', '12-31'), ('djf', '12-01', '02-29'), ('mam', '03-01', '05-31'), ('jja', '06-01', '08-31'), ('son', '09-01', '11-30')) t(period, start, "end")""",
     "flow_window_monthly": f"""WITH {_MONTHLY}, need AS (SELECT * FROM (VALUES ('jul', 7, 31), ('djf', 12, 31), ('djf', 1, 31), ('djf', 2, 28), ('jja', 6, 30), ('jja', 7, 31), ('jja', 8, 31), ('feb', 2, 28)) t(period, month, n)),
 ids AS (SELECT DISTINCT id FROM monthly)
 SELECT ids.id, period, CASE WHEN count(q) = count(*) THEN round(sum(q * n) / sum(n), 4) END AS value, 'monthly' AS basis FROM ids CROSS JOIN need LEFT JOIN monthly USING (id, month) GROUP BY ALL""",
@@ -147,7 +145,7 @@ SELECT segment, month, d AS day, round(greatest(sum(q), 0)::DECIMAL(30, 10), 5):
     "tree_closure": f"WITH {_TREE} SELECT DISTINCT t.id FROM tree t JOIN tree c ON c.id < 20 AND {_under('t.w', 'c.w')}",
     "tree_reach": f"WITH {_TREE} SELECT DISTINCT b.id FROM tree a JOIN tree b ON a.id < 20 AND {_up('a', 'b')}",
     "cv_folds": f"""WITH {_TREE}, s AS (SELECT lpad((id % 37)::VARCHAR, 4, '0') || id AS station, lpad((id % 37)::VARCHAR, 4, '0') AS fold, w, l, area FROM tree)
-SELECT s.station, s.fold, coalesce((SELECT max(least(1, b.area / s.area)) FROM s b WHERE b.fold <> s.fold AND {_up('s', 'b')}), 0) AS leak_up, EXISTS (SELECT 1 FROM s a WHERE a.fold <> s.fold AND {_up('a', 's')}) AS leak_down FROM s""".replace("max(least(1, b.area / s.area))", "round(max(least(1, b.area / s.area)), 6)"),
+SELECT s.station, s.fold, CASE WHEN EXISTS (SELECT 1 FROM s b WHERE b.station <> s.station AND {_up('s', 'b')}) THEN 'nested' ELSE 'headwater' END AS nesting, coalesce((SELECT max(least(1, b.area / s.area)) FROM s b WHERE b.fold <> s.fold AND {_up('s', 'b')}), 0) AS leak_up, EXISTS (SELECT 1 FROM s a WHERE a.fold <> s.fold AND {_up('a', 's')}) AS leak_down FROM s""".replace("max(least(1, b.area / s.area))", "round(max(least(1, b.area / s.area)), 6)"),
     "snap_pick": """WITH st AS (SELECT s_suppkey AS station, CASE WHEN s_suppkey % 5 <> 0 THEN 10000 + s_acctbal END AS gross FROM supplier),
 c AS (SELECT l_suppkey AS station, l_orderkey * 8 + l_linenumber AS segment, l_extendedprice::DOUBLE AS area, (l_tax * 100)::DOUBLE AS distance FROM lineitem),
 r AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY CASE WHEN gross IS NULL THEN distance ELSE abs(ln(area / gross)) END, distance, segment) AS i FROM c JOIN st USING (station)),
@@ -160,7 +158,7 @@ SELECT id, round(sum(CASE WHEN same = 1 THEN (d <= 1e-9 * m)::INT ELSE 1 / (d +
     "donor_correlations": f"WITH {_YEARLY} SELECT a.station AS target, b.station AS donor, CASE WHEN count(*) >= 5 THEN round(greatest(coalesce(corr(a.value, b.value), 0), 0), 6) ELSE 0 END AS r FROM yearly a JOIN yearly b ON a.year = b.year AND a.station <> b.station GROUP BY ALL",
     "departure_carry": f"""WITH {_YEARLY}, n AS (SELECT station, avg(value) AS base FROM yearly WHERE year BETWEEN 1995 AND 1999 AND value > 0 GROUP BY station HAVING count(*) >= 4),
 r AS (SELECT station AS donor, year, ln(value / base) AS x FROM yearly JOIN n USING (station) WHERE value > 0),
-w AS (SELECT t.station AS target, d.station AS donor, 1.0::DOUBLE / (1 + abs(t.station::INT - d.station::INT)) AS weight FROM (SELECT DISTINCT station FROM yearly) t, (SELECT DISTINCT station FROM yearly) d WHERE t.station <> d.station AND (t.station::INT + d.station::INT) % 4 = 0)
+w AS (SELECT t.station AS target, d.station AS donor, 1.0::DOUBLE / (1 + abs(t.station::INT - d.station::INT)) AS weight FROM (SELECT DISTINCT station FROM yearly) t, (SELECT DISTINCT station FROM yearly) d WHERE t.station <> d.station AND (t.station::INT + d.station::INT) % 4 = 0 AND abs(t.station::INT - d.station::INT) <= 40)
 SELECT target, year, round(sum(weight * x) / sum(weight), 6) AS log_ratio, round(100 * exp(sum(weight * x) / sum(weight)), 6) AS pct_normal, string_agg(donor, ',' ORDER BY donor) AS donors FROM w JOIN r USING (donor) GROUP BY target, year""",
     "window_extend_ratio": _extend("ratio"),
     "window_extend_move1": _extend("move1"),

@@ -12,6 +12,8 @@ from freshet.sources import catalog
 
 #: Windows of the queries: a month, a season over New Year, a summer, a leap-sensitive one.
 WINDOWS = [("jul", "07-01", "07-31"), ("djf", "12-01", "02-29"), ("jja", "06-01", "08-31"), ("feb", "02-01", "02-29")]
+#: A station's donors have numbers within so many of its own.
+NEAR = 40.0
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -34,17 +36,21 @@ def _validation(t: Tables) -> DataFrame:
     return t.monthly().selectExpr("id % 5 as grp", "id", "month", "q as obs", "case when (id + month) % 13 <> 0 then q * (0.7 + ((id * 7 + month * 3) % 11) / 16D) end as mod")
 
 
+def _apart(years: DataFrame, most: float, row: str = "0D") -> DataFrame:
+    """target, donor, distance of the stations within ``most`` numbers of each other (and of one ``row``), by cells of the grid."""
+    places = years.select("station").distinct().selectExpr("station", "cast(station as double) as x", f"{row} as y")
+    return network.nearest_candidates(places, places.withColumnRenamed("station", "place"), most, int(2 * most) + 1).where("station <> place").selectExpr("station as target", "place as donor", "distance")
+
+
 def _chain(years: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Short records of every third station, and the others as donors by their number."""
+    """Short records of every third station, and the others within ``NEAR`` numbers as donors."""
     short = years.where("cast(station as int) % 3 <> 0 or year between 1996 and 1999")
-    names = years.select("station").distinct()
-    chain = names.where("cast(station as int) % 3 = 0").selectExpr("station as target").crossJoin(F.broadcast(names.where("cast(station as int) % 3 <> 0").selectExpr("station as donor")))
-    return short, chain.selectExpr("target", "donor", "abs(cast(target as int) - cast(donor as int)) * 100 + cast(donor as int) as rank")
+    chain = _apart(years, NEAR).where("cast(target as int) % 3 = 0 and cast(donor as int) % 3 <> 0")
+    return short, chain.selectExpr("target", "donor", "distance * 100000 + cast(donor as int) as rank")
 
 
 def _carry_weights(years: DataFrame) -> DataFrame:
-    names = years.select("station").distinct()
-    return names.selectExpr("station as target").crossJoin(F.broadcast(names.selectExpr("station as donor"))).where("target <> donor and (cast(target as int) + cast(donor as int)) % 4 = 0").selectExpr("target", "donor", "1D / (1 + abs(cast(target as int) - cast(donor as int))) as weight")
+    return _apart(years, NEAR).where("(cast(target as int) + cast(donor as int)) % 4 = 0").selectExpr("target", "donor", "1 / (1 + distance) as weight")
 
 
 def _extend(t: Tables, method: str) -> DataFrame:
@@ -74,7 +80,6 @@ QUERIES = {
     "window_stats_sparse": lambda t: _rounded(_stats(t, "sparse", min_frac=0.2)),
     "window_stats_long": lambda t: _rounded(windows.as_long(_stats(t), "q_")),
     "window_fraction_flags": lambda t: _rounded(_stats(t, "flagged").select("station", "period", "year", "frac_ice", "frac_provisional")),
-    "calendar_windows": lambda t: windows.calendar_windows(t.spark),
     "flow_window_monthly": lambda t: _rounded(windows.climatology_windows(t.monthly(), WINDOWS), 4),
     "flow_window_daily": lambda t: _rounded(windows.climatology_windows(windows.day_climatology(t.daily()), WINDOWS, ("station",))),
     "station_doy": lambda t: _rounded(windows.day_climatology(t.daily()), 8),
@@ -150,9 +155,9 @@ QUERIES = {
 
 
 def bound() -> dict:
-    from freshet.plans import more, studies
+    from freshet.plans import more, studies, upkeep
 
-    return {name: (lambda spark, folder, f=f: f(Tables(spark, folder))) for name, f in (QUERIES | more.QUERIES | studies.QUERIES).items()}
+    return {name: (lambda spark, folder, f=f: f(Tables(spark, folder))) for name, f in (QUERIES | more.QUERIES | studies.QUERIES | upkeep.QUERIES).items()}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

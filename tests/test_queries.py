@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from freshet.plans import more, oracles, queries, studies
+from freshet.plans import more, oracles, queries, studies, upkeep
 from freshet.plans.views import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -15,7 +15,7 @@ def plain(v):
         return str(v)
 
 
-QUERIES, ORACLES = queries.QUERIES | more.QUERIES | studies.QUERIES, oracles.ORACLES | more.ORACLES | studies.ORACLES
+QUERIES, ORACLES = queries.QUERIES | more.QUERIES | studies.QUERIES | upkeep.QUERIES, oracles.ORACLES | more.ORACLES | studies.ORACLES | upkeep.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
