@@ -46,7 +46,7 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[str], li
     for row, text in enumerate(texts):
         if not text:
             continue
-        text = text.lower()
+        text = text.lower() + "\0"  # every text ends its last word, wherever it stands in a batch
         for start in range(0, len(text), PIECE_CHARS):
             before = min(start, MAX_N - 1)
             part = text[start - before : start + PIECE_CHARS]
@@ -63,10 +63,10 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[str], li
 
 def _grams(parts: list[str], known: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of each n-gram, which part it is of), those left out that touch no letter or end among the known code points."""
-    codes = np.frombuffer("\0".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.array([len(p) + 1 for p in parts])
-    part = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)[:-1]
-    fresh = np.arange(len(codes)) >= np.repeat(np.cumsum(sizes) - sizes + known, sizes)[:-1]
+    codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.array([len(p) for p in parts])
+    part = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
+    fresh = np.arange(len(codes)) >= np.repeat(np.cumsum(sizes) - sizes + known, sizes)
     letter = _letters()[codes]
     codes = np.where(letter, codes, 32).astype(np.uint32)
     keep = letter.copy()
