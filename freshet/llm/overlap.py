@@ -155,10 +155,17 @@ def links(named: DataFrame, docs: DataFrame, words: int = 5, least: float = 0.8)
     return near.unionByName(_verified(across, docs, distinct, words, least))
 
 
-def _rooted(docs: DataFrame, words: int, least: float) -> DataFrame:
-    """doc_id, t (the text's hash) and root (the component) of every row."""
+def _rooted(docs: DataFrame, words: int, least: float, found: DataFrame | None = None) -> DataFrame:
+    """doc_id, t (the text's hash) and root (the component) of every row. ``found``: t and grp, texts that another method groups; of
+    these the links that the exact similarity bears out count."""
     named = cut(_named(docs, words))
-    roots = components(links(named, docs, words, least)).withColumnRenamed("node", "own")
+    edges = links(named, docs, words, least)
+    if found is not None:
+        grouped = cut(named.select("t", "node").distinct().join(found.select("t", "grp").distinct(), "t").select("grp", "node").distinct())
+        heads = grouped.groupBy("grp").agg(F.min("node").alias("head"))
+        stars = grouped.join(heads, "grp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+        edges = edges.unionByName(_verified(stars, docs, named.groupBy("node").agg(F.min("t").alias("t")), words, least))
+    roots = components(edges).withColumnRenamed("node", "own")
     return named.select("doc_id", "t", "node").join(roots, named["node"] == roots["own"], "left").select("doc_id", "t", F.coalesce("root", "node").alias("root"))
 
 
@@ -172,9 +179,10 @@ def classes(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     return rows.join(names, "root").select("doc_id", "component_id")
 
 
-def keepers(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+def keepers(docs: DataFrame, words: int = 5, least: float = 0.8, found: DataFrame | None = None) -> DataFrame:
     """doc_id and t, the hash of the text, of the row that stands for each component: the one of the smallest doc_id (nulls
-    last), then of the smallest hash; and how many rows of ``docs`` are that row's equals in both."""
-    rows = _rooted(docs, words, least).groupBy("root", "doc_id", "t").agg(F.count("*").alias("n"))
+    last), then of the smallest hash; and how many rows of ``docs`` are that row's equals in both. Components are also over links
+    within the groups of ``found`` (t, grp)."""
+    rows = _rooted(docs, words, least, found).groupBy("root", "doc_id", "t").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t", "n")).alias("first")
     return rows.groupBy("root").agg(first).select("first.doc_id", "first.t", "first.n")

@@ -138,12 +138,19 @@ def near_copies(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame
     return classes(docs, words, max_bits).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def groups(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
+    """t (the text's hash) and grp of every distinct text: those of one grp are near copies by SimHash and its pivots (see ``classes``)."""
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    return classes(texts, words, max_bits).select(F.col("doc_id").alias("t"), F.col("component_id").alias("grp")).distinct()
+
+
 def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """The documents without near copies (texts whose sets of ``words``-word shingles have a Jaccard similarity of ``least`` or
-    more, see overlap.py): of each component one row stays, with all its columns: that of the smallest doc_id (nulls last), then
-    of the smallest hash of its text. Of rows that repeat its id and text the one of the smallest other columns stays.
+    more). SimHash finds them with its pivots, as ``classes`` does, and their exact similarity is checked; pairs that differ in too
+    many bits for it come from minimum hashes (see overlap.py). Of each component one row stays, with all its columns: that of the
+    smallest doc_id (nulls last), then of the smallest hash of its text. Of rows that repeat its id and text the one of the smallest other columns stays.
     Rows of equal ids and other texts are documents of their own."""
-    keep = cut(overlap.keepers(docs, words, least)).select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("n").alias("__n"))
+    keep = cut(overlap.keepers(docs, words, least, cut(groups(docs)))).select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("n").alias("__n"))
     rows = docs.withColumn("__h", F.xxhash64("text"))
     same = rows["doc_id"].eqNullSafe(keep["__id"]) & (rows["__h"] == keep["__t"])
     lone = rows.join(keep.where("__n = 1"), same, "left_semi").drop("__h")
