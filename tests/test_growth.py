@@ -1,8 +1,10 @@
 """Work that grows with the rows of a key: many rows of few codes, places and stations."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from freshet.operators import network, transfer
+from freshet.operators import models, network, transfer
+from freshet.plans import queries
 
 
 def _tree(spark, copies: int = 40):
@@ -48,3 +50,48 @@ def test_folds_of_many_stations_of_a_code(spark):
     down = {b for _, b in other}
     want = sorted((s, s[:4], "nested" if s in nested else "headwater", leak[s], s in down) for s in area)
     assert sorted(map(tuple, got.collect())) == want
+
+
+def _years(spark, stations=(1, 3, 97, 205, 1001)):
+    rows = [(str(s), 1990 + y, float((s * 7 + y * y * (s % 5)) % 13 + 1)) for s in stations for y in range(8) if (s + y) % 6]
+    return spark.createDataFrame(rows + [("7", 1990 + y, 2.5) for y in range(8)], "station string, year int, value double")
+
+
+def _no_pairs(df) -> bool:
+    return "FlatMapGroupsInArrow" in df._jdf.queryExecution().toString()
+
+
+def test_all_stations_correlate_without_a_row_per_pair_and_year(spark, monkeypatch):
+    years = _years(spark)
+    held = {}
+    for r in years.collect():
+        held.setdefault(r["station"], {})[r["year"]] = r["value"]
+    want = []
+    for a, x in held.items():
+        for b, y in held.items():
+            at = sorted(set(x) & set(y))
+            flat = len(at) < 5 or "7" in (a, b)  # one is constant
+            want += [(a, b, 0.0 if flat else round(max(float(np.corrcoef([x[i] for i in at], [y[i] for i in at])[0, 1]), 0.0), 9))] if a != b else []
+    want.sort()
+    for size in (2_000, 2):
+        monkeypatch.setattr(models.blocks.dealt, "__defaults__", (size,))
+        got = models.donor_correlations(years, 5)
+        assert sorted((r["target"], r["donor"], round(r["r"], 9)) for r in got.collect()) == want
+        assert _no_pairs(got)
+
+
+def test_stations_far_apart_carry_each_other(spark, monkeypatch):
+    monkeypatch.setattr(models, "CARRIED", 2)
+    years = _years(spark)
+    one = years.select(F.col("station").alias("target")).distinct()
+    weights = one.crossJoin(one.withColumnRenamed("target", "donor")).where("target <> donor and (int(target) + int(donor)) % 4 = 0").selectExpr("target", "donor", "1 / (1 + abs(int(target) - int(donor))) as weight")
+    plain = lambda df: sorted((r["target"], r["year"], round(r["log_ratio"], 9), round(r["pct_normal"], 9), r["donors"]) for r in df.collect())
+    got = plain(models.carry_from_all(years, queries._carry_weight, (1991, 1995), 3))
+    assert got == plain(models.carry_departures(years, weights, (1991, 1995), 3))
+    assert any("1001" in r[-1].split(",") for r in got if r[0] in ("3", "7"))
+
+
+def test_many_donors_are_all_compared(spark):
+    donors = spark.range(100_003).selectExpr("id", "cast(id as double) as a", "cast(id % 7 as double) as value")
+    targets = spark.createDataFrame([(1, 100_002.0), (2, None)], "id long, a double")
+    assert [tuple(r) for r in models.donor_mean(targets, donors, ["a"], "value").orderBy("id").collect()] == [(1, 100_002 % 7), (2, None)]
