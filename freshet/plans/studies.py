@@ -10,6 +10,7 @@ from freshet.operators import extension, grids, models, network, products, repor
 from freshet.plans.oracles import _DAILY, _MONTHLY, _WINDOWS, _YEARLY
 from freshet.plans.queries import WINDOWS, _rounded, _zones
 from freshet.plans.views import Tables
+from freshet.sources.shared import settled
 
 BY = ("variable", "period")
 _SPLINE = "[" + ",".join("[" + ",".join(repr(float(x)) for x in row) + "]" for row in shapes.spline_matrix()) + "]"
@@ -90,7 +91,7 @@ def _gauges(t: Tables) -> DataFrame:
 
 
 def _basis(t: Tables) -> DataFrame:
-    gauges = _gauges(t)
+    gauges = settled(_gauges(t), "gauges")  # read three times below
     fit = shapes.fit_basis(gauges, ["balance", "nation"], 3)
     return _rounded(shapes.predict_basis(fit, gauges, "station"), 8)
 
