@@ -139,14 +139,39 @@ def report(targets: DataFrame, donors: DataFrame, chain: DataFrame, by: tuple[st
     return counts.join(per, ["target", *by], "left").select("target", *by, "n_years", "dropped", F.coalesce("n_donors", F.lit(0)).alias("n_donors"), reason.alias("reason"))
 
 
-def blocks(values: DataFrame, length: int = 5, by: tuple[str, ...] = ("variable", "period")) -> DataFrame:
-    """station, by, year, block (its first year) of the years in whole blocks of ``length`` consecutive years with a value."""
+def _blocked(values: DataFrame, length: int, by: tuple[str, ...]) -> DataFrame:
+    """station, by, year, value, and block (its first year) of the years in whole blocks of ``length`` consecutive years, else null."""
     own = Window.partitionBy("station", *by).orderBy("year")
-    runs = values.where("value is not null").select("station", *by, "year", (F.col("year") - F.row_number().over(own)).alias("_run"))
+    runs = values.select("station", *by, "year", "value", (F.col("year") - F.row_number().over(own)).alias("_run"))
     run = Window.partitionBy("station", *by, "_run").orderBy("year")
     whole = Window.partitionBy("station", *by, "_run", "_part")
-    parts = runs.withColumn("_part", F.floor((F.row_number().over(run) - 1) / length)).select("*", F.count("*").over(whole).alias("_n"), F.min("year").over(whole).alias("block"))
-    return parts.where(F.col("_n") == length).select("station", *by, "year", "block")
+    parts = runs.withColumn("_part", F.floor((F.row_number().over(run) - 1) / length)).select("*", F.count("*").over(whole).alias("_n"), F.min("year").over(whole).alias("_first"))
+    return parts.select("station", *by, "year", "value", F.when(F.col("_n") == length, F.col("_first")).alias("block"))
+
+
+def blocks(values: DataFrame, length: int = 5, by: tuple[str, ...] = ("variable", "period")) -> DataFrame:
+    """station, by, year, block (its first year) of the years in whole blocks of ``length`` consecutive years with a value."""
+    return _blocked(values.where("value is not null"), length, by).where("block is not null").select("station", *by, "year", "block")
+
+
+def _fits(met: DataFrame, key: list[str], length: int, by: tuple[str, ...]) -> DataFrame:
+    """key, block, donor, distance, the sums of the donor's fit to the block's years, all of which it has, and ``_asked``: the years
+    beside the block that both have. ``met`` has a row per record (``_own``) and donor (``_theirs``, values by year), so all of it stays in the row."""
+    scale = lambda c: F.when(_is_days(by), c).otherwise(F.ln(c))
+    theirs = lambda o: F.col("_theirs")[o["year"]].cast("double")
+    each = met.select(*key, "donor", "distance", "_own", "_theirs", F.explode(F.array_distinct(F.filter("_own.block", lambda b: b.isNotNull()))).alias("block"))
+    both = F.transform(
+        F.filter("_own", lambda o: (o["block"] == F.col("block")) & theirs(o).isNotNull()),
+        lambda o: F.struct(theirs(o).alias("x0"), o["value"].cast("double").alias("y0"), scale(theirs(o)).alias("x"), scale(o["value"].cast("double")).alias("y")),
+    )
+    asked = F.transform(F.filter("_own", lambda o: ~o["block"].eqNullSafe(F.col("block")) & theirs(o).isNotNull()), lambda o: F.struct(o["year"].alias("year"), o["value"].alias("value"), theirs(o).alias("x0")))
+    each = each.select(*key, "block", "donor", "distance", both.alias("_both"), asked.alias("_asked")).where((F.size("_both") == length) & F.lit(length >= 3))
+    total = lambda of: F.aggregate("_both", F.lit(0.0), lambda s, p: s + of(p))
+    # from the first year's value on, so that equal values have just that mean and no squares
+    mean = lambda c: F.col("_both")[0][c] + total(lambda p: p[c] - F.col("_both")[0][c]) / length
+    each = each.select("*", mean("x").alias("mx"), mean("y").alias("my"), mean("x0").alias("mx0"), mean("y0").alias("my0"))
+    product = lambda a, b: total(lambda p: (p[a] - F.col(f"m{a}")) * (p[b] - F.col(f"m{b}")))
+    return each.select("*", product("x", "x").alias("sxx"), product("y", "y").alias("syy"), product("x", "y").alias("sxy")).drop("_both")
 
 
 def pseudo_records(values: DataFrame, chain: DataFrame, length: int = 5, by: tuple[str, ...] = ("variable", "period"), k: int = 5, level: float = 0.9, min_held: int = 3) -> DataFrame:
@@ -154,25 +179,39 @@ def pseudo_records(values: DataFrame, chain: DataFrame, length: int = 5, by: tup
     lower, upper (of ols): each block of a station's years plays a short record, and the station's other years are held out.
 
     ``values``: station, by, year, value; ``chain``: target, donor, distance. Years that some method cannot estimate are left out, and
-    blocks with fewer than ``min_held`` others. A block is one target of ``extend``: no station is paired beyond its chain.
+    blocks with fewer than ``min_held`` others. A block is one target as in ``extend``: no station is paired beyond its chain. A donor's
+    record is sent to a station once, as one row; its blocks, fits and estimates of all methods are made where it arrives.
     """
-    held = blocks(_usable(values, by), length, by)
-    named = held.withColumn("target", F.struct("station", "block"))
-    short = named.join(values, ["station", *by, "year"]).select("target", *by, "year", "value")
-    each = held.select("station", "block").distinct().join(chain.select(F.col("target").alias("station"), "donor", "distance"), "station")
-    each = each.where("station <> donor").select(F.struct("station", "block").alias("target"), F.struct(F.col("donor").alias("station"), F.lit(None).cast("int").alias("block")).alias("donor"), "distance")
-    others = values.select(F.struct("station", F.lit(None).cast("int").alias("block")).alias("donor"), *by, "year", "value")
-    out = None
-    for method in METHODS:
-        got = extend(short, others, each, method, by, k, level).where("source = 'extended'")
-        got = got.select("target", *by, "year", F.col("value").alias(method), *(["lower", "upper"] if method == "ols" else []))
-        out = got if out is None else out.join(got, ["target", *by, "year"])
-    flat = out.select(F.col("target.station").alias("station"), F.col("target.block").alias("block"), *[c for c in out.columns if c != "target"])
-    truth = _usable(values, by).select("station", *by, "year", "value", "_v")
-    scale = lambda c: F.when(_is_days(by), F.col(c)).otherwise(F.ln(c))
-    both = flat.join(truth, ["station", *by, "year"]).select("station", "block", *by, "year", "value", "_v", *METHODS, "lower", "upper", *[(F.col("_v") - scale(m)).alias(f"r_{m}") for m in METHODS])
-    both = both.withColumn("_n", F.count("*").over(Window.partitionBy("station", "block", *by))).where(F.col("_n") >= min_held)
-    return both.drop("_n", "_v")
+    if not (0 < level < 1 and k >= 1):
+        raise ValueError("level is between 0 and 1, k 1 or more")
+    key = ["station", *by]
+    records = _blocked(_usable(values, by).where("year is not null"), length, by).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("year", "block", "value"))).alias("_own"))
+    again = F.size(F.array_distinct("_own.year")) < F.size("_own")
+    records = settled(records.withColumn("_own", refuse(again, "more than one value of a station and year", F.col("_own"))), "records")  # read twice below
+    donors = records.select(F.col("station").alias("donor"), *by, F.map_from_arrays("_own.year", "_own.value").alias("_theirs"))
+    sent = chain.where("target <> donor").select(F.col("target").alias("station"), "donor", "distance").join(donors, "donor")
+    fits = _fits(sent.join(records.where(F.exists("_own.block", lambda b: b.isNotNull())), key), key, length, by)
+    # ranks of all donors (ratio) and of those that vary (ols, move1), in one order
+    near, varies = Window.partitionBy(*key, "block").orderBy("distance", "donor"), F.col("sxx") > 0
+    upto = near.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = fits.select("*", F.row_number().over(near).alias("_any"), F.sum(varies.cast("int")).over(upto).alias("_fit"))
+    ranked = ranked.withColumn("_any", F.when(F.col("_any") <= k, F.col("_any"))).withColumn("_fit", F.when(varies & (F.col("_fit") <= k), F.col("_fit")))
+    asked = ranked.where("_any is not null or _fit is not null").select("*", F.explode("_asked").alias("_at")).select("*", "_at.*").drop("_asked", "_at")
+    days, n = _is_days(by), length
+    x = F.when(days, F.col("x0")).otherwise(F.ln("x0"))
+    off, ratio = x - F.col("mx"), F.try_divide(F.col("x0") * F.col("my0"), F.col("mx0"))
+    slope, steep = F.try_divide("sxy", "sxx"), F.when(F.col("sxy") < 0, -1.0).otherwise(1.0) * F.sqrt(F.try_divide("syy", "sxx"))
+    freedom = max(1, n - 2)
+    half = t_quantile((1 + level) / 2, freedom) * F.sqrt(F.greatest(F.col("syy") - slope * F.col("sxy"), F.lit(0.0)) / freedom) * F.sqrt(1 + 1 / n + F.try_divide(off * off, F.col("sxx")))
+    guesses = {"ols": F.col("my") + slope * off, "move1": F.col("my") + steep * off, "ratio": F.when(days, ratio).otherwise(F.ln(ratio))}
+    guesses |= {"lower": guesses["ols"] - half, "upper": guesses["ols"] + half}
+    back = lambda c: F.when(days, c).otherwise(F.exp(c))
+    # the nearest donor of a year, without a sort of its donors
+    made = asked.select(*key, "block", "year", "value", "_any", "_fit", *[back(g).alias(m) for m, g in guesses.items()])
+    made = made.groupBy(*key, "block", "year", "value").agg(*[F.min_by(m, "_any" if m == "ratio" else "_fit").alias(m) for m in guesses]).where("ols is not null and move1 is not null and ratio is not null")
+    scale = lambda c: F.when(days, F.col(c)).otherwise(F.ln(c))
+    both = made.select("station", "block", *by, "year", "value", *METHODS, "lower", "upper", *[(scale("value") - scale(m)).alias(f"r_{m}") for m in METHODS])
+    return both.withColumn("_n", F.count("*").over(Window.partitionBy("station", "block", *by))).where(F.col("_n") >= min_held).drop("_n")
 
 
 def pseudo_scores(pseudo: DataFrame, by: tuple[str, ...] = ("variable", "period")) -> DataFrame:

@@ -109,3 +109,36 @@ def test_blocks_and_pseudo_records(spark):
     s = np.array([x["station"] for x in held])
     inside = [np.quantile(r[s != a], 0.05) <= x <= np.quantile(r[s != a], 0.95) for a, x in zip(s, r)]
     assert cover["ratio"] == pytest.approx(np.mean(inside))
+
+
+def test_pseudo_records_send_a_donor_once_and_equal_extended_records(spark):
+    draw = np.random.default_rng(8)
+    rows = []
+    for s in "abcdefg":
+        for v in ("q_mean", "q_cov_day"):
+            for y in range(1980, 1996):
+                value = 5.0 if s == "c" and y < 1988 else float(draw.uniform(-1 if v == "q_cov_day" else 0.5, 9))
+                rows += [(s, v, "all", y, None if draw.random() < 0.04 else 0.0 if v == "q_mean" and draw.random() < 0.02 else value)] if draw.random() < 0.95 else []
+    values = spark.createDataFrame(rows, "station string, variable string, period string, year int, value double")
+    chain = spark.createDataFrame([(s, d, float(abs(ord(s) - ord(d)))) for s in "abcdefg" for d in "abcdefg"], "target string, donor string, distance double")
+    got = extension.pseudo_records(values, chain, 3, k=2, min_held=1)
+    # a join of a record's years for each method took dozens of shuffles
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 12
+    blocks = extension.blocks(values.where("value > 0 or (variable = 'q_cov_day' and value is not null)"), 3)
+    short = blocks.join(values, ["station", "variable", "period", "year"]).selectExpr("concat(station, '@', block) as target", "variable", "period", "year", "value")
+    each = blocks.select("station", "block").distinct().join(chain.where("target <> donor").withColumnRenamed("target", "station"), "station").selectExpr("concat(station, '@', block) as target", "donor", "distance")
+    truth = {(s, v, y) for s, v, _, y, x in rows if x is not None and (x > 0 or v == "q_cov_day")}
+    want = {}
+    for m in extension.METHODS:
+        for r in extension.extend(short, values.withColumnRenamed("station", "donor"), each, m, k=2).where("source = 'extended'").collect():
+            s, b = r["target"].split("@")
+            if (s, r["variable"], r["year"]) in truth:
+                want.setdefault((s, int(b), r["variable"], r["year"]), {})[m] = (r["value"], r["lower"], r["upper"]) if m == "ols" else r["value"]
+    want = {at: [w["ols"][0], w["move1"], w["ratio"], *w["ols"][1:]] for at, w in want.items() if len(w) == 3}
+    held = {(r["station"], r["block"], r["variable"], r["year"]): [r[c] for c in ("ols", "move1", "ratio", "lower", "upper")] for r in got.collect()}
+    assert held.keys() == want.keys() and len(held) > 100
+    for at in held:
+        assert held[at] == pytest.approx(want[at], rel=1e-6, abs=1e-9), at
+    twice = values.unionByName(values.where("station = 'a' and year = 1985"))
+    with pytest.raises(Exception, match="more than one value"):
+        extension.pseudo_records(twice, chain, 3).count()
