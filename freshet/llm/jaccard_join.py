@@ -37,6 +37,8 @@ MEET_ROWS, ROUNDS, BITS, CHUNK, SLICE = 2048, 1, 1024, 1 << 20, 128
 SALT_ROWS = 100_000
 #: Bits a wanted node has in the filter of the second reading, and the most bits of that filter.
 FILTER_BITS, MAX_FILTER_BITS = 16, 1 << 27
+#: Bits of the parities that candidates show before their sets are sent, and the size of a set from which on they are asked for.
+SHARP_BITS, SHARP_SIZE = 4096, 256
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _LOW = np.uint64((1 << BUCKET_BITS) - 1)
 
@@ -164,9 +166,9 @@ def bounds(sizes: np.ndarray, fragments: int) -> np.ndarray:
     return out
 
 
-def _parities(hashes: np.ndarray) -> np.ndarray:
-    """Whether an odd number of shingles fell on each of ``BITS`` bits."""
-    odd = np.bincount((hashes >> np.uint64(32) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+def _parities(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Whether an odd number of shingles fell on each of ``bits`` bits."""
+    odd = np.bincount((hashes >> np.uint64(32) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -247,34 +249,66 @@ def _bitmap(nodes: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _segments(docs: DataFrame, nodes: DataFrame, fragment_of: object, words: int) -> DataFrame:
-    """node, fragment and the shingles of the node's set in that fragment, of at least the nodes given. A task sends a set once; equal
-    texts in other tasks send it again."""
-    spark = docs.sparkSession
+def _wanted(nodes: DataFrame) -> tuple[object, int]:
+    """The filter of the nodes given, broadcast, and its bits."""
     bits = 1 << 13
     while bits < min(MAX_FILTER_BITS, FILTER_BITS * nodes.count()):
         bits *= 2
-    wanted = spark.sparkContext.broadcast(_bitmap(nodes, bits))
+    return nodes.sparkSession.sparkContext.broadcast(_bitmap(nodes, bits)), bits
+
+
+def _sets(batches: Iterator[pa.RecordBatch], filter_: np.ndarray, bits: int, words: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Nodes and sets of the texts that the filter lets through. A task tells a set once; equal texts in other tasks tell it again."""
+    seen = set()
+    for part in _slices(batches):
+        out = []
+        for found in shingle_sets(part.column("text").to_pylist(), words):
+            node = _name(found) if len(found) else None
+            if node is None or node in seen or not filter_[node % bits >> 3] >> (7 - (node % bits & 7)) & 1:
+                continue
+            seen.add(node)
+            out.append((node, found))
+        if out:
+            yield out
+
+
+def _sharp(docs: DataFrame, wanted: tuple[object, int], words: int) -> DataFrame:
+    """node, size and ``SHARP_BITS`` parities, of at least the nodes wanted whose sets have ``SHARP_SIZE`` shingles or more."""
+    filter_, bits = wanted
+    width, least = SHARP_BITS, SHARP_SIZE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_, fragments, seen = wanted.value, fragment_of.value, set()
-        for part in _slices(batches):
+        for sets in _sets(batches, filter_.value, bits, words):
+            if sets := [(node, found) for node, found in sets if len(found) >= least]:
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in sets], pa.int64()), pa.array([len(s) for _, s in sets], pa.int64()), _lists([_parities(s, width) for _, s in sets])], ["node", "size", "odd"])
+
+    return docs.select("text").mapInArrow(run, "node long, size long, odd array<long>").dropDuplicates(["node"])
+
+
+def _sharpened(pairs: DataFrame, sharp: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) that may still be as similar as ``least`` percent by the sharper parities of both; exact, as ``_possible``."""
+    own = lambda c: sharp.select(F.col("node").alias(c), F.struct("size", "odd").alias(f"{c}_own"))
+    both = pairs.join(own("a"), "a", "left").join(own("b"), "b", "left")
+    apart = F.aggregate(F.zip_with("a_own.odd", "b_own.odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    fits = apart * (100 + least) <= (100 - least) * (F.col("a_own.size") + F.col("b_own.size"))
+    return both.where(F.coalesce(fits, F.lit(True))).select("a", "b")
+
+
+def _segments(docs: DataFrame, wanted: tuple[object, int], fragment_of: object, words: int) -> DataFrame:
+    """node, fragment and the shingles of the node's set in that fragment, of at least the nodes wanted."""
+    filter_, bits = wanted
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fragments = fragment_of.value
+        for sets in _sets(batches, filter_.value, bits, words):
             out = ([], [], [])
-            for found in shingle_sets(part.column("text").to_pylist(), words):
-                if not len(found):
-                    continue
-                node = _name(found)
-                bit = node % bits
-                if not filter_[bit >> 3] >> (7 - (bit & 7)) & 1 or node in seen:
-                    continue
-                seen.add(node)
+            for node, found in sets:
                 own = fragments[(found & _LOW).astype(np.int64)]
                 turn = np.argsort(own, kind="stable")
                 cuts = np.flatnonzero(np.diff(own[turn])) + 1
                 for segment in np.split(turn, cuts):
                     out[0].append(node), out[1].append(int(own[segment[0]])), out[2].append(found[segment].view(np.int64))
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), _lists(out[2])], ["node", "fragment", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), _lists(out[2])], ["node", "fragment", "hashes"])
 
     return docs.select("text").mapInArrow(run, "node long, fragment int, hashes array<long>")
 
@@ -312,9 +346,11 @@ def links(docs: DataFrame, named: DataFrame, order: object, fragment_of: object,
     edges = None
 
     def count(pairs: DataFrame) -> DataFrame:
+        ends = lambda p: _wanted(written(p.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
         pairs = written(pairs)
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return _linked(pairs, _segments(docs, written(ends), fragment_of, words), traits, least)
+        # whole sets are sent for few pairs only: near copies just under the limit are told by a twentieth of that
+        pairs = written(_sharpened(pairs, written(_sharp(docs, ends(pairs), words)), least))
+        return _linked(pairs, _segments(docs, ends(pairs), fragment_of, words), traits, least)
 
     for turn in range(ROUNDS):
         # after the first round a drawn order of nodes; its first node heads the group, but for the nodes of its own component

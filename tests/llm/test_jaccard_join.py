@@ -84,3 +84,17 @@ def test_a_pair_at_the_threshold_links(spark):
     rows = [(1, " ".join(a)), (2, " ".join(a + [f"b{i}" for i in range(21)])), (3, " ".join(a + [f"c{i}" for i in range(22)]))]
     got = {r["doc_id"]: r["component_id"] for r in jj.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_near_copies_under_the_limit_are_not_sent(spark, monkeypatch):
+    sent, linked = [], jj._linked
+    monkeypatch.setattr(jj, "_linked", lambda pairs, *rest: sent.extend(map(tuple, pairs.collect())) or linked(pairs, *rest))
+    # eight texts, each two of 76 %, and four copies of the first, of 93 %
+    base = [f"a{i}" for i in range(780)]
+    rows = [(t, " ".join(base + [f"b{t}x{i}" for i in range(120)])) for t in range(8)]
+    rows += [(100 + t, rows[0][1] + " " + " ".join(f"c{t}x{i}" for i in range(66))) for t in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, jj.classes(docs).collect()), key=str) == brute(rows)
+    # only the copies of the first are counted, each pair at most once a round
+    assert 4 <= len(sent) <= 10, len(sent)
+    assert len({node for pair in sent for node in pair}) == 5
