@@ -225,7 +225,8 @@ def ordered_rank(rows: DataFrame, by: list[str], value: str, tie: list[str], out
     """Rank from 0 of ``value`` within ``by``, without a task per group: rows are cut into ranges of values at approximate quantiles, ranked
     within, and the ranges before are added up. Nulls are left out."""
     kept = rows.where(F.col(value).isNotNull())
-    cuts = kept.groupBy(*by).agg(F.percentile_approx(value, F.lit([i / CUTS for i in range(1, CUTS)]), F.lit(1000)).alias("_cuts"))
+    # settled, so that its size is known: a small one is broadcast, and no row is dealt by ``by`` alone
+    cuts = settled(kept.groupBy(*by).agg(F.percentile_approx(value, F.lit([i / CUTS for i in range(1, CUTS)]), F.lit(1000)).alias("_cuts")), "cuts")
     dealt = kept.join(cuts, by) if by else kept.crossJoin(F.broadcast(cuts))
     dealt = dealt.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -238,30 +239,34 @@ def quantiles_of_others(rows: DataFrame, group: str, value: str, probabilities:
     """by, group, q_1, q_2, ...: for each group the quantiles (linear between neighbours) of the values of all other groups.
 
     Values are ranked once. Of a group's own ranks r_0 < r_1 < ..., r_i - i others lie below the i-th, so the j-th other has rank j
-    plus the number of own values with r_i - i <= j: no group is set against the others' rows. Null where there are no others.
+    plus the number of own values with r_i - i <= j: no group is set against the others' rows, and a group's ranks are counted where they
+    are once. Null where there are no others.
     """
     by = by or []
-    ranked = settled(ordered_rank(rows.select(*by, group, F.col(value).alias("_v")), by, "_v", [group], "_rank"), "ranked")  # read four times below
-    total = ranked.groupBy(*by).agg(F.count("*").alias("_all"))
-    own = ranked.withColumn("_below", F.col("_rank") - F.row_number().over(Window.partitionBy(*by, group).orderBy("_rank")) + 1)
-    sizes = ranked.groupBy(*by, group).agg(F.count("*").alias("_own"))
-    sizes = sizes.join(total, by) if by else sizes.crossJoin(F.broadcast(total))
-    at = F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("_all") - F.col("_own") - 1) * p).alias("h")) for i, p in enumerate(probabilities)])
-    wanted = sizes.select(*by, group, F.explode(at).alias("w")).where("w.h >= 0").select(*by, group, F.col("w.i").alias("_i"), F.explode(F.array(F.struct(F.floor("w.h").alias("j"), (1 - (F.col("w.h") - F.floor("w.h"))).alias("share")), F.struct(F.ceil("w.h").alias("j"), (F.col("w.h") - F.floor("w.h")).alias("share")))).alias("s")).select(*by, group, "_i", "s.*")
     same = [*by, group]
-    met = wanted.join(own.select(*same, "_below"), same).groupBy(*same, "_i", "j", "share").agg((F.col("j") + F.count_if(F.col("_below") <= F.col("j"))).alias("_rank"))
-    found = met.join(ranked.select(*by, "_rank", "_v"), [*by, "_rank"]).groupBy(*same).agg(*[F.sum(F.when(F.col("_i") == i, F.col("share") * F.col("_v"))).alias(f"q_{i + 1}") for i in range(len(probabilities))])
-    return sizes.select(*same).join(found, same, "left")
+    ranked = settled(ordered_rank(rows.select(*same, F.col(value).alias("_v")), by, "_v", [group], "_rank"), "ranked")  # read three times below
+    total = settled(ranked.groupBy(*by).agg(F.count("*").alias("_all")), "totals")  # as the cuts above
+    own = Window.partitionBy(*same)
+    each = ranked.select(*same, (F.col("_rank") - F.row_number().over(own.orderBy("_rank")) + 1).alias("_below"), F.count("*").over(own).alias("_own"))
+    each = each.join(total, by) if by else each.crossJoin(F.broadcast(total))
+    # the places of a quantile's two neighbours among the others
+    at = [(i, (F.col("_all") - F.col("_own") - 1) * p, end) for i, p in enumerate(probabilities) for end in ("floor", "ceil")]
+    place = lambda h, end: getattr(F, end)(h)
+    met = each.groupBy(*same).agg(F.max("_all").alias("_all"), F.max("_own").alias("_own"), *[F.count_if(F.col("_below") <= place(h, end)).alias(f"_{end}_{i}") for i, h, end in at])
+    part = lambda h, end: 1 - (h - F.floor(h)) if end == "floor" else h - F.floor(h)
+    wanted = F.array(*[F.struct(F.lit(i).alias("_i"), (place(h, end) + F.col(f"_{end}_{i}")).alias("_rank"), part(h, end).alias("_share")) for i, h, end in at])
+    # a share of 0 asks for nothing; a group without others, or without a name, has no place, but a row
+    wanted = met.select(*same, F.explode_outer(F.when(F.col(group).isNotNull() & (F.col("_all") > F.col("_own")), F.filter(wanted, lambda w: w["_share"] > 0))).alias("w")).select(*same, "w.*")
+    return wanted.join(ranked.select(*by, "_rank", "_v"), [*by, "_rank"], "left").groupBy(*same).agg(*[F.sum(F.when(F.col("_i") == i, F.col("_share") * F.col("_v"))).alias(f"q_{i + 1}") for i in range(len(probabilities))])
 
 
 def pseudo_coverage(pseudo: DataFrame, by: tuple[str, ...] = ("variable", "period"), level: float = 0.9) -> DataFrame:
     """by, method, n, coverage: the share of held-out years inside each method's interval: of ols its own, of the others that of the
-    other stations' errors."""
+    other stations' errors. Errors of all methods are ranked in one pass."""
     tails = ((1 - level) / 2, (1 + level) / 2)
-    pseudo = settled(pseudo, "pseudo")
-    out = pseudo.groupBy(*by).agg(F.lit("ols").alias("method"), F.count("*").alias("n"), F.avg(F.col("value").between(F.col("lower"), F.col("upper")).cast("double")).alias("coverage"))
-    for method in METHODS[1:]:
-        quantiles = quantiles_of_others(pseudo, "station", f"r_{method}", tails, list(by))
-        inside = pseudo.join(quantiles, [*by, "station"]).select(*by, F.col(f"r_{method}").between(F.col("q_1"), F.col("q_2")).cast("double").alias("_in"))
-        out = out.unionByName(inside.groupBy(*by).agg(F.lit(method).alias("method"), F.count("*").alias("n"), F.avg("_in").alias("coverage")))
-    return out
+    pseudo = settled(pseudo.select(*by, "station", F.col("value").between(F.col("lower"), F.col("upper")).alias("_in"), *[f"r_{m}" for m in METHODS[1:]]), "pseudo")  # read four times below
+    errors = pseudo.select(*by, "station", F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"r_{m}").alias("_r")) for m in METHODS[1:]])).alias("e")).select(*by, "station", "e.*")
+    quantiles = quantiles_of_others(errors, "station", "_r", tails, [*by, "method"])
+    inside = errors.join(quantiles, [*by, "method", "station"]).select(*by, "method", F.col("_r").between(F.col("q_1"), F.col("q_2")).alias("_in"))
+    covered = [F.count("*").alias("n"), F.avg(F.col("_in").cast("double")).alias("coverage")]
+    return pseudo.groupBy(*by).agg(F.lit("ols").alias("method"), *covered).unionByName(inside.groupBy(*by, "method").agg(*covered))

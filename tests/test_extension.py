@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -142,3 +143,37 @@ def test_pseudo_records_send_a_donor_once_and_equal_extended_records(spark):
     twice = values.unionByName(values.where("station = 'a' and year = 1985"))
     with pytest.raises(Exception, match="more than one value"):
         extension.pseudo_records(twice, chain, 3).count()
+
+
+def test_ranks_do_not_deal_rows_by_group_alone(spark):
+    rows = spark.range(2_000_000).selectExpr("id % 2 as p", "id % 1000 as g", "cast(hash(id) as double) as v")
+    plan = extension.ordered_rank(rows, ["p"], "v", ["g"], "r")._jdf.queryExecution().executedPlan().toString()
+    # two groups would be two tasks
+    assert not re.search(r"SortMergeJoin \[p#\d+L?\],", plan)
+    assert len(re.findall(r"SortMergeJoin \[p#\d+L?, _range#", plan)) == 1
+
+
+def test_quantiles_of_others_beside_infinite_values(spark):
+    inf = float("inf")
+    rows = [("x", g, v) for g, v in [(0, 5.0), (1, 1.0), (1, inf), (2, inf), (2, 2.0), (None, 3.0)]] + [("y", 7, 1.0), ("y", 7, 2.0)]
+    got = {(r["p"], r["g"]): r["q_1"] for r in extension.quantiles_of_others(spark.createDataFrame(rows, "p string, g int, v double"), "g", "v", (0.75,), ["p"]).collect()}
+    # the median's neighbours are one place, the other has no share
+    assert got == {("x", 0): inf, ("x", 1): inf, ("x", 2): inf, ("x", None): None, ("y", 7): None}
+
+
+def test_coverage_of_all_methods_equals_numpy_and_ranks_once(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    rows = [(f"s{int(s)}", v, "all", 0.0, float(draw.normal()), 0.5, *map(float, draw.normal(size=2))) for v in ("a", "b") for s in draw.integers(0, 6, 120)]
+    pseudo = spark.createDataFrame(rows, "station string, variable string, period string, lower double, value double, upper double, r_move1 double, r_ratio double")
+    tables, write = [], extension.settled
+    monkeypatch.setattr(extension, "settled", lambda df, name: tables.append(name) or write(df, name))
+    got = {(r["variable"], r["method"]): (r["n"], r["coverage"]) for r in extension.pseudo_coverage(pseudo, level=0.8).collect()}
+    assert tables.count("ranked") == 1
+    for v in ("a", "b"):
+        own = [r for r in rows if r[1] == v]
+        hits = {"ols": [0 <= r[4] <= 0.5 for r in own]}
+        for m, i in (("move1", 6), ("ratio", 7)):
+            bounds = {s: np.quantile([r[i] for r in own if r[0] != s], (0.1, 0.9)) for s in {r[0] for r in own}}
+            hits[m] = [bounds[r[0]][0] <= r[i] <= bounds[r[0]][1] for r in own]
+        for m, h in hits.items():
+            assert got[v, m] == (120, pytest.approx(np.mean(h))), (v, m)
