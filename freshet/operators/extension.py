@@ -155,17 +155,16 @@ def blocks(values: DataFrame, length: int = 5, by: tuple[str, ...] = ("variable"
 
 
 def _fits(met: DataFrame, key: list[str], length: int, by: tuple[str, ...]) -> DataFrame:
-    """key, block, donor, distance, the sums of the donor's fit to the block's years, all of which it has, and ``_asked``: the years
-    beside the block that both have. ``met`` has a row per record (``_own``) and donor (``_theirs``, values by year), so all of it stays in the row."""
+    """key, block, donor, distance, the sums of the donor's fit to the block's years, all of which it has, and ``_x``: its values in the
+    record's years. ``met`` has a row per record (``_own``) and donor (``_theirs``, values by year), so all of it stays in the row."""
     scale = lambda c: F.when(_is_days(by), c).otherwise(F.ln(c))
-    theirs = lambda o: F.col("_theirs")[o["year"]].cast("double")
-    each = met.select(*key, "donor", "distance", "_own", "_theirs", F.explode(F.array_distinct(F.filter("_own.block", lambda b: b.isNotNull()))).alias("block"))
+    met = met.select(*key, "donor", "distance", "_own", F.transform("_own", lambda o: F.col("_theirs")[o["year"]].cast("double")).alias("_x"))
+    each = met.select("*", F.explode(F.array_distinct(F.filter("_own.block", lambda b: b.isNotNull()))).alias("block"))
     both = F.transform(
-        F.filter("_own", lambda o: (o["block"] == F.col("block")) & theirs(o).isNotNull()),
-        lambda o: F.struct(theirs(o).alias("x0"), o["value"].cast("double").alias("y0"), scale(theirs(o)).alias("x"), scale(o["value"].cast("double")).alias("y")),
+        F.filter(F.arrays_zip("_own", "_x"), lambda p: (p["_own"]["block"] == F.col("block")) & p["_x"].isNotNull()),
+        lambda p: F.struct(p["_x"].alias("x0"), p["_own"]["value"].cast("double").alias("y0"), scale(p["_x"]).alias("x"), scale(p["_own"]["value"].cast("double")).alias("y")),
     )
-    asked = F.transform(F.filter("_own", lambda o: ~o["block"].eqNullSafe(F.col("block")) & theirs(o).isNotNull()), lambda o: F.struct(o["year"].alias("year"), o["value"].alias("value"), theirs(o).alias("x0")))
-    each = each.select(*key, "block", "donor", "distance", both.alias("_both"), asked.alias("_asked")).where((F.size("_both") == length) & F.lit(length >= 3))
+    each = each.select(*key, "block", "donor", "distance", "_x", both.alias("_both")).where((F.size("_both") == length) & F.lit(length >= 3))
     total = lambda of: F.aggregate("_both", F.lit(0.0), lambda s, p: s + of(p))
     # from the first year's value on, so that equal values have just that mean and no squares
     mean = lambda c: F.col("_both")[0][c] + total(lambda p: p[c] - F.col("_both")[0][c]) / length
@@ -187,16 +186,21 @@ def pseudo_records(values: DataFrame, chain: DataFrame, length: int = 5, by: tup
     key = ["station", *by]
     records = _blocked(_usable(values, by).where("year is not null"), length, by).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("year", "block", "value"))).alias("_own"))
     again = F.size(F.array_distinct("_own.year")) < F.size("_own")
-    records = settled(records.withColumn("_own", refuse(again, "more than one value of a station and year", F.col("_own"))), "records")  # read twice below
+    records = settled(records.withColumn("_own", refuse(again, "more than one value of a station and year", F.col("_own"))), "records")  # read three times below
     donors = records.select(F.col("station").alias("donor"), *by, F.map_from_arrays("_own.year", "_own.value").alias("_theirs"))
-    sent = chain.where("target <> donor").select(F.col("target").alias("station"), "donor", "distance").join(donors, "donor")
-    fits = _fits(sent.join(records.where(F.exists("_own.block", lambda b: b.isNotNull())), key), key, length, by)
+    # dealt once, before a row is many blocks; what follows is by station as well
+    sent = chain.where("target <> donor").select(F.col("target").alias("station"), "donor", "distance").join(donors, "donor").repartition(*key)
+    records = records.where(F.exists("_own.block", lambda b: b.isNotNull()))
+    fits = _fits(sent.join(records, key), key, length, by)
     # ranks of all donors (ratio) and of those that vary (ols, move1), in one order
     near, varies = Window.partitionBy(*key, "block").orderBy("distance", "donor"), F.col("sxx") > 0
     upto = near.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = fits.select("*", F.row_number().over(near).alias("_any"), F.sum(varies.cast("int")).over(upto).alias("_fit"))
     ranked = ranked.withColumn("_any", F.when(F.col("_any") <= k, F.col("_any"))).withColumn("_fit", F.when(varies & (F.col("_fit") <= k), F.col("_fit")))
-    asked = ranked.where("_any is not null or _fit is not null").select("*", F.explode("_asked").alias("_at")).select("*", "_at.*").drop("_asked", "_at")
+    # the record's other years meet only donors that are asked
+    asked = ranked.where("_any is not null or _fit is not null").join(records, key)
+    others = F.filter(F.arrays_zip("_own", "_x"), lambda p: ~p["_own"]["block"].eqNullSafe(F.col("block")) & p["_x"].isNotNull())
+    asked = asked.withColumn("_at", F.explode(others)).select("*", "_at._own.year", "_at._own.value", F.col("_at._x").alias("x0")).drop("_own", "_x", "_at")
     days, n = _is_days(by), length
     x = F.when(days, F.col("x0")).otherwise(F.ln("x0"))
     off, ratio = x - F.col("mx"), F.try_divide(F.col("x0") * F.col("my0"), F.col("mx0"))

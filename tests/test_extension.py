@@ -177,3 +177,11 @@ def test_coverage_of_all_methods_equals_numpy_and_ranks_once(spark, monkeypatch)
             hits[m] = [bounds[r[0]][0] <= r[i] <= bounds[r[0]][1] for r in own]
         for m, h in hits.items():
             assert got[v, m] == (120, pytest.approx(np.mean(h))), (v, m)
+
+
+def test_pseudo_records_deal_a_donor_before_it_is_many_blocks(spark):
+    values = spark.range(400).selectExpr("cast(id % 20 as string) as station", "'q_mean' as variable", "'all' as period", "cast(id div 20 as int) as year", "1D + id % 7 as value")
+    chain = spark.range(400).selectExpr("cast(id % 20 as string) as target", "cast(id div 20 as string) as donor", "1D * abs(id % 20 - id div 20) as distance")
+    plan = extension.pseudo_records(values, chain, 3)._jdf.queryExecution().executedPlan().toString()
+    # a row per donor and block, with the years asked of it, was dealt again
+    assert not re.search(r"hashpartitioning\([^)]*block#", plan)
