@@ -93,6 +93,21 @@ def test_stations_far_apart_carry_each_other(spark, monkeypatch):
     assert any("1001" in r[-1].split(",") for r in got if r[0] in ("3", "7"))
 
 
+def test_donors_are_sent_to_a_few_blocks_however_many_targets(spark, monkeypatch):
+    sent, deal = [], models.blocks.dealt
+    monkeypatch.setattr(models.blocks, "dealt", lambda *a, **k: sent.append(deal(*a, **k)) or sent[-1])
+    monkeypatch.setattr(models, "CARRIED", 1)
+    monkeypatch.setattr(models, "LISTS", 100)
+    # some lack years, every seventh has no baseline and is a target only, values of 0 count for nothing
+    rows = [(str(s), 1990 + y, float((s * 7 + y * y * (s % 5)) % 13)) for s in range(150) for y in range(8) if (s + y) % 6 and (s % 7 or y > 5)]
+    years = spark.createDataFrame(rows, "station string, year int, value double")
+    one = years.select(F.col("station").alias("target")).distinct()
+    weights = one.crossJoin(one.withColumnRenamed("target", "donor")).where("target <> donor and (int(target) + int(donor)) % 4 = 0").selectExpr("target", "donor", "1 / (1 + abs(int(target) - int(donor))) as weight")
+    plain = lambda df: sorted((r["target"], r["year"], round(r["log_ratio"], 9), round(r["pct_normal"], 9), r["donors"]) for r in df.collect())
+    assert plain(models.carry_from_all(years, queries._carry_weight, (1991, 1995), 3)) == plain(models.carry_departures(years, weights, (1991, 1995), 3))
+    assert sent[-1][1] == 4 * spark.sparkContext.defaultParallelism < 150
+
+
 def test_many_donors_are_all_compared(spark):
     donors = spark.range(100_003).selectExpr("id", "cast(id as double) as a", "cast(id % 7 as double) as value")
     targets = spark.createDataFrame([(1, 100_002.0), (2, None)], "id long, a double")
