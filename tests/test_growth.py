@@ -93,11 +93,50 @@ def test_stations_far_apart_carry_each_other(spark, monkeypatch):
     assert any("1001" in r[-1].split(",") for r in got if r[0] in ("3", "7"))
 
 
+def test_stations_meet_in_a_few_blocks_by_the_years_they_have(spark, monkeypatch):
+    sent, deal = [], models.blocks.dealt
+    monkeypatch.setattr(models.blocks, "dealt", lambda *a, **k: sent.append(deal(*a, **k)) or sent[-1])
+    monkeypatch.setattr(deal, "__defaults__", (2,))
+    # groups with all years, with six, with four; some with years that no other has, and two without a value in one or any
+    has = lambda s, y: s % 3 == 0 or y not in ((), (2, 5), (0, 1, 6, 7))[s % 3] if s < 225 else (s >> (y % 5)) & 1 or y == s % 8
+    value = lambda s, y: None if s == 7 and y == 3 or s == 231 else 2.1 if s % 50 == 3 else 1e6 + (s * 7 + y * y * (s % 5 + 1)) % 13
+    held = {str(s): {1990 + y: value(s, y) for y in range(8) if has(s, y)} for s in range(240)}
+    years = spark.createDataFrame([(s, y, v) for s, x in held.items() for y, v in x.items()], "station string, year int, value double")
+    want = {}
+    for a, x in held.items():
+        for b, y in held.items():
+            at = set(x) & set(y)
+            if a == b or not at:
+                continue
+            p, q = np.array([(x[i], y[i]) for i in sorted(at) if x[i] is not None and y[i] is not None]).reshape(-1, 2).T
+            flat = len(at) < 5 or len(p) < 2 or p.max() == p.min() or q.max() == q.min()
+            want[a, b] = 0.0 if flat else max(float(np.corrcoef(p, q)[0, 1]), 0.0)
+    got = models.donor_correlations(years, 5, 6).collect()
+    assert len(got) == len(want) and {(r["target"], r["donor"]) for r in got} == set(want)
+    assert all(abs(r["r"] - want[r["target"], r["donor"]]) < 6e-7 and round(r["r"], 6) == r["r"] for r in got)
+    assert sent[-1][1] ** 2 < 16 * spark.sparkContext.defaultParallelism
+
+
+def test_lists_that_differ_in_one_place_are_joined_once(monkeypatch):
+    names = sorted(str(i) for i in range(60))
+    rng = np.random.default_rng(5)
+    for most in (1 << 20, 100):
+        monkeypatch.setattr(models, "LISTS", most)
+        lists = models._Lists(names)
+        for mask in (rng.random(60) < 0.5, np.ones(60, bool), np.arange(60) == 7):
+            for own in [None, *range(60)]:
+                m = mask.copy()
+                if own is not None and own % 3:
+                    m[own] = False
+                want = ",".join(n for n, x in zip(names, m) if x)
+                if want:
+                    assert lists(m.copy(), own).decode() == want
+
+
 def test_donors_are_sent_to_a_few_blocks_however_many_targets(spark, monkeypatch):
     sent, deal = [], models.blocks.dealt
     monkeypatch.setattr(models.blocks, "dealt", lambda *a, **k: sent.append(deal(*a, **k)) or sent[-1])
     monkeypatch.setattr(models, "CARRIED", 1)
-    monkeypatch.setattr(models, "LISTS", 100)
     # some lack years, every seventh has no baseline and is a target only, values of 0 count for nothing
     rows = [(str(s), 1990 + y, float((s * 7 + y * y * (s % 5)) % 13)) for s in range(150) for y in range(8) if (s + y) % 6 and (s % 7 or y > 5)]
     years = spark.createDataFrame(rows, "station string, year int, value double")
